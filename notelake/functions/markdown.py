@@ -309,27 +309,24 @@ def chunk_notes(docs: DataFrame, body: str = "body", params: ChunkParams = Chunk
     staged = (
         docs.filter(~is_blank(F.col(body)))
         .withColumn("_lines", F.split(F.col(body), "\n", -1))
-        .withColumns(
-            {
-                "_fences": F.filter(
-                    positions, lambda i: F.ltrim(line(i), F.lit(WHITESPACE)).startswith(FENCE)
-                ),
-                "_heads": F.filter(
-                    positions, lambda i: line(i).startswith("#") & line(i).rlike(HEADING)
-                ),
-            }
-        )
+        # Bound inside the expression: a column used once could be inlined by the
+        # optimiser into the lambda and be computed again for every line.
         .withColumn(
             "_heads",
-            F.transform(
-                F.filter(
-                    "_heads",
-                    lambda i: F.size(F.filter("_fences", lambda f: f < i)) % 2 == 0,
-                ),
-                lambda i: F.struct(
-                    i.alias("line"),
-                    F.length(F.regexp_extract(line(i), HEADING, 1)).alias("level"),
-                    trim_ws(F.regexp_extract(line(i), HEADING, 2)).alias("title"),
+            let(
+                F.filter(positions, lambda i: F.ltrim(line(i), F.lit(WHITESPACE)).startswith(FENCE)),
+                lambda fences: F.transform(
+                    F.filter(
+                        positions,
+                        lambda i: line(i).startswith("#")
+                        & line(i).rlike(HEADING)
+                        & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 0),
+                    ),
+                    lambda i: F.struct(
+                        i.alias("line"),
+                        F.length(F.regexp_extract(line(i), HEADING, 1)).alias("level"),
+                        trim_ws(F.regexp_extract(line(i), HEADING, 2)).alias("title"),
+                    ),
                 ),
             ),
         )
@@ -382,7 +379,10 @@ def chunk_notes(docs: DataFrame, body: str = "body", params: ChunkParams = Chunk
     )
     keep = [c for c in docs.columns if c != body]
     return (
-        parts.select(*keep, F.posexplode("_parts").alias("chunk_index", "_part"))
+        # Outer: a plain explode would infer a size filter and push the whole
+        # computation a second time below the projections.
+        parts.select(*keep, F.posexplode_outer("_parts").alias("chunk_index", "_part"))
+        .filter("chunk_index IS NOT NULL")
         .select(*keep, "chunk_index", "_part.*")
         .withColumns(
             {

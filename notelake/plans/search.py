@@ -66,14 +66,15 @@ def search(
     return SearchOutput(results, report)
 
 
-_NO_SCORE = F.lit(None).cast("double")
+def _no_score() -> Column:
+    return F.lit(None).cast("double")
 
 
 def _ranked(df: DataFrame, rrf: Column, lex: Column, vec: Column) -> DataFrame:
     return df.select(
         "query_id", "doc_id", "chunk_index", "rank", "score",
         lex.cast("double").alias("lex_norm"), vec.cast("double").alias("vec_norm"),
-        rrf.cast("double").alias("rrf_score"), _NO_SCORE.alias("rerank_score"),
+        rrf.cast("double").alias("rrf_score"), _no_score().alias("rerank_score"),
     )
 
 
@@ -82,7 +83,7 @@ def _linear(lex: DataFrame | None, vec: DataFrame | None, params: SearchParams,
     wl = 0.0 if mode == "vec_only" else params.lexical_weight
     wv = 0.0 if mode == "bm25_only" else params.vector_weight
     fused = top_k(linear_fusion(lex, vec, wl, wv), params.top_k)
-    return _ranked(fused, _NO_SCORE, F.col("lex_norm"), F.col("vec_norm"))
+    return _ranked(fused, _no_score(), F.col("lex_norm"), F.col("vec_norm"))
 
 
 def _classic(
@@ -111,7 +112,7 @@ def _classic(
             "query_id", "cast(null as bigint) doc_id", "cast(null as int) chunk_index",
             "cast(null as int) rank", "cast(null as double) score",
         )
-        ranked = _ranked(empty, _NO_SCORE, _NO_SCORE, _NO_SCORE)
+        ranked = _ranked(empty, _no_score(), _no_score(), _no_score())
     elif mode == "bm25_only":
         ranked = _linear(words(queries), None, params, mode)
     elif mode == "vec_only":
@@ -250,11 +251,11 @@ def _deep(
         mixed = blend(best.join(scored, "query_id", "left_semi"), scores, params)
         plain = best.join(scored, "query_id", "left_anti")
         ranked = _final(mixed, F.col("rerank_score")).unionByName(
-            _final(plain.withColumn("rrf_score", F.col("score")), _NO_SCORE)
+            _final(plain.withColumn("rrf_score", F.col("score")), _no_score())
         )
     else:
         scored = None
-        ranked = _final(best.withColumn("rrf_score", F.col("score")), _NO_SCORE)
+        ranked = _final(best.withColumn("rrf_score", F.col("score")), _no_score())
     ranked = ranked.filter(F.col("rank") < params.top_k)
     report = _deep_report(gate, fused, variants, scored, scorer is not None, skip_reranking)
     return ranked, report

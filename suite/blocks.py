@@ -47,13 +47,13 @@ def bm25(
 {p}phrases AS (SELECT {keys}, namespace, phrase, count(*) AS repeats FROM {p}said GROUP BY ALL),
 {p}need AS (SELECT {keys}, count(*) AS n_phrases FROM {p}phrases GROUP BY ALL),
 {p}parts AS (
-  SELECT phrase, len(t) AS phrase_len, unnest(t) AS term, unnest(range(len(t))) AS at
+  SELECT phrase, len(t) AS phrase_len, unnest(t) AS term, unnest(range(len(t))) AS ofs
   FROM (SELECT DISTINCT phrase, t FROM {p}said)
 ),
 {p}hit AS (
-  SELECT phrase, doc_id, lang, fld, pos - at AS start
+  SELECT phrase, doc_id, lang, fld, pos - ofs AS start
   FROM {p}parts JOIN tok USING (term)
-  GROUP BY phrase, phrase_len, doc_id, lang, fld, pos - at HAVING count(*) = phrase_len
+  GROUP BY phrase, phrase_len, doc_id, lang, fld, pos - ofs HAVING count(*) = phrase_len
 ),
 {p}wtf AS (
   SELECT phrase, doc_id, lang, sum(CASE fld {case} END) AS wtf FROM {p}hit GROUP BY ALL

@@ -92,7 +92,7 @@ def title_fallback(spark, sf):
     "frontmatter_fields",
     f"""
 SELECT {DOC_PATH_SQL} AS doc_path, source || ' ' || doc_id AS title, lang || ',' || source AS tags,
-       'chars:' || n_chars AS properties, 'other' AS source_kind, 10::BIGINT AS body_offset
+       'chars:' || n_chars AS properties, 'other' AS source_kind, 8::BIGINT AS body_offset
 FROM documents""",
 )
 def frontmatter_fields(spark, sf):

@@ -269,9 +269,9 @@ judged AS (SELECT query_id, doc_id, quality::DOUBLE AS grade FROM lex_all JOIN l
 @query(
     "recall_at_k",
     f"""WITH {TOKENS}, {SENTENCES_SQL}, {bm25('sentences', None, out='lex_all')}, {_JUDGED},
-ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(at + 2)) AS ideal FROM (
-  SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) - 1 AS at FROM judged)
-  WHERE at < 10 GROUP BY 1),
+ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(ord + 2)) AS ideal FROM (
+  SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) - 1 AS ord FROM judged)
+  WHERE ord < 10 GROUP BY 1),
 hits AS (SELECT query_id, count(*) AS hits, min(rank) AS best, sum((pow(2, grade) - 1) / log2(rank + 2)) AS gain
   FROM lex_all JOIN judged USING (query_id, doc_id) WHERE rank < 10 GROUP BY 1),
 per AS (SELECT coalesce(hits, 0) / n::DOUBLE AS recall, coalesce(1.0::DOUBLE / (best + 1), 0) AS mrr, coalesce(gain, 0) / ideal AS ndcg
