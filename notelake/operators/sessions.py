@@ -220,7 +220,9 @@ def session_markdown(sessions: DataFrame) -> DataFrame:
         ),
         lit("\n"),
     )
-    day = F.date_format(F.timestamp_millis("last_saved_at"), "yyyy-MM-dd")
+    # The UTC day, whatever the time zone of the session.
+    days = F.floor(F.col("last_saved_at") / 86_400_000).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return sessions.select(
         "session_id",
         F.concat(day, lit("_"), "session_id", lit(".md")).alias("file_name"),
