@@ -52,8 +52,17 @@ def _weighted(weights: dict[str, float]) -> Column:
     return sum((F.col(f"tf_{f}") * F.lit(float(weights[f])) for f in FIELDS), F.lit(0.0))
 
 
+def _listed(df: DataFrame, words: set[str]) -> DataFrame:
+    """Rows of the given terms. One SQL text is far quicker to build than one
+    literal per word; tokens hold letters and numbers only, so nothing needs quoting."""
+    if not words:
+        return df.filter("false")
+    return df.filter("term IN (" + ", ".join(f"'{w}'" for w in sorted(words)) + ")")
+
+
 def match_phrases(
     postings: DataFrame,
+    positions: DataFrame | None,
     terms: DataFrame,
     weights: dict[str, float],
     known: set[str] | None = None,
@@ -61,87 +70,96 @@ def match_phrases(
     """Chunks that hold a phrase: ``phrase, doc_id, chunk_index, namespace, n_tokens, wtf``.
 
     ``wtf`` is the field-weighted number of occurrences. One-token phrases read
-    the counts only; longer ones check adjacency inside one field by position.
+    ``postings``; longer ones check adjacency inside one field in ``positions``.
     ``known`` is the set of phrases when the caller has it at hand.
     """
     several_terms = known is None or any(" " in p for p in known)
     if known is not None:
         terms = F.broadcast(terms)
-        words = sorted({t for p in known for t in p.split(" ")})
-        if len(words) <= MAX_TERM_LIST:
-            # A literal list reaches the scan (sorted files skip row groups by it)
-            # and moves below the grouping of an index that is built on the fly.
-            postings = postings.filter(F.col("term").isin(words))
+        # A literal list reaches the scan: sorted files skip row groups by it.
+        one = {p for p in known if " " not in p}
+        more = {t for p in known if " " in p for t in p.split(" ")}
+        if len(one) <= MAX_TERM_LIST:
+            postings = _listed(postings, one)
+        if positions is not None and len(more) <= MAX_TERM_LIST:
+            positions = _listed(positions, more)
     held = [*CHUNK_KEY, "namespace", "n_tokens"]
     single = postings.join(terms.filter("phrase_len = 1"), "term").select(
         "phrase", *held, _weighted(weights).alias("wtf")
     )
     if not several_terms:
         return single
+    if positions is None:
+        raise ValueError("phrases of several tokens need the positions table")
     field_weight = F.element_at(
-        F.array(*[F.lit(float(weights[f])) for f in FIELDS]), F.col("_at.field") + 1
+        F.array(*[F.lit(float(weights[f])) for f in FIELDS]), F.col("field") + 1
     )
     several = (
-        postings.join(terms.filter("phrase_len > 1"), "term")
-        .select("phrase", "phrase_len", *held, "offset", F.explode("positions").alias("_at"))
-        .groupBy(
-            *CHUNK_KEY,
-            "phrase",
-            "phrase_len",
-            "namespace",
-            "n_tokens",
-            F.col("_at.field").alias("field"),
-            (F.col("_at.pos") - F.col("offset")).alias("start"),
-        )
-        .agg(F.count("*").alias("_n"), F.first(field_weight).alias("_w"))
+        positions.join(terms.filter("phrase_len > 1"), "term")
+        .withColumn("start", F.col("pos") - F.col("offset"))
+        .groupBy("phrase", "phrase_len", *held, "field", "start")
+        .agg(F.count("*").alias("_n"))
         .filter("_n = phrase_len")
-        .groupBy(*CHUNK_KEY, "phrase", "namespace", "n_tokens")
-        .agg(F.sum("_w").alias("wtf"))
-        .select("phrase", *held, "wtf")
+        .groupBy("phrase", *held)
+        .agg(F.sum(field_weight).alias("wtf"))
     )
     return single.unionByName(several)
 
 
 def phrase_idf(matches: DataFrame, stats: DataFrame, floor: float) -> DataFrame:
-    """Inverse document frequency per phrase, never below ``floor``."""
+    """``phrase, df, idf``: chunks that hold a phrase, and its weight (never below ``floor``)."""
     n = stats.select(F.col("n_rows").cast("double")).scalar()
-    df = F.count("*").cast("double")
+    df = F.col("df").cast("double")
     raw = F.log((n - df + 0.5) / (df + 0.5))
-    return matches.groupBy("phrase").agg(F.when(raw <= 0, floor).otherwise(raw).alias("idf"))
+    counted = matches.groupBy("phrase").agg(F.count("*").alias("df"))
+    return counted.withColumn("idf", F.when(raw <= 0, floor).otherwise(raw))
 
 
 def bm25_scores(
     queries: DataFrame,
     postings: DataFrame,
+    positions: DataFrame | None,
     stats: DataFrame,
     params: SearchParams = SearchParams(),
     keys: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
     """Score of every chunk that holds all phrases of a query.
 
-    A query with a ``namespace`` only sees that namespace; document frequencies
-    and the average length stay those of the whole corpus.
+    The rarest phrase of a query names the chunks that can match; only for those
+    the other phrases are looked up, so a frequent word next to a rare one costs
+    nothing per query. A query with a ``namespace`` only sees that namespace;
+    document frequencies and the average length stay those of the whole corpus.
     """
     phrases, rows = pin_if_small(phrases_of(queries, keys))
     known = None if rows is None else set(rows["phrase"].to_pylist())
-    matches = match_phrases(postings, phrase_terms(phrases), params.field_weights, known)
-    avg_len = stats.select(F.col("total_tokens") / F.col("n_rows")).scalar()
+    matches = match_phrases(postings, positions, phrase_terms(phrases), params.field_weights, known)
     idf = phrase_idf(matches, stats, params.idf_floor)
-    k1, b = params.bm25_k1, params.bm25_b
-    norm = 1 - b + b * F.col("n_tokens") / avg_len
-    part = (
-        F.col("repeats")
-        * F.col("idf")
-        * (F.col("wtf") * (k1 + 1))
-        / (F.col("wtf") + k1 * norm)
+
+    # One row per query with all its phrases, rarest first; a query with a phrase
+    # that never occurs has no result and is gone here.
+    asked = (
+        phrases.withColumnRenamed("namespace", "_only")
+        .join(idf, "phrase")
+        .groupBy(*keys, "_only", "n_phrases")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "phrase", "repeats", "idf"))).alias("_parts"))
+        .filter(F.size("_parts") == F.col("n_phrases"))
+        .withColumn("_rarest", F.col("_parts")[0]["phrase"])
     )
-    # The phrase table and its frequencies are query-sized: one row per distinct phrase.
-    asked = phrases.withColumnRenamed("namespace", "_only").join(idf, "phrase")
     if known is not None:
         asked = F.broadcast(asked)
-    return (
-        matches.join(asked, "phrase")
+    wanted = (
+        matches.join(asked, F.col("phrase") == F.col("_rarest"))
         .filter(F.col("_only").isNull() | (F.col("_only") == F.col("namespace")))
+        .select(*keys, *CHUNK_KEY, "n_phrases", F.explode("_parts").alias("_part"))
+        .select(*keys, *CHUNK_KEY, "n_phrases", "_part.phrase", "_part.repeats", "_part.idf")
+    )
+    k1, b = params.bm25_k1, params.bm25_b
+    avg_len = stats.select(F.col("total_tokens") / F.col("n_rows")).scalar()
+    norm = 1 - b + b * F.col("n_tokens") / avg_len
+    part = F.col("repeats") * F.col("idf") * (F.col("wtf") * (k1 + 1)) / (F.col("wtf") + k1 * norm)
+    return (
+        matches.select("phrase", *CHUNK_KEY, "n_tokens", "wtf")
+        .join(wanted, ["phrase", *CHUNK_KEY])
         .groupBy(*CHUNK_KEY, *keys, "n_phrases")
         .agg(F.count("*").alias("_hit"), F.sum(part).alias("score"))
         .filter("_hit = n_phrases")
@@ -152,10 +170,11 @@ def bm25_scores(
 def bm25_topk(
     queries: DataFrame,
     postings: DataFrame,
+    positions: DataFrame | None,
     stats: DataFrame,
     k: int | None = None,
     params: SearchParams = SearchParams(),
     keys: tuple[str, ...] = ("query_id",),
 ) -> DataFrame:
     """Best ``k`` chunks per query by BM25: ``keys, doc_id, chunk_index, score, rank``."""
-    return top_k(bm25_scores(queries, postings, stats, params, keys), k or params.candidate_k, keys)
+    return top_k(bm25_scores(queries, postings, positions, stats, params, keys), k or params.candidate_k, keys)

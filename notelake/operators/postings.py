@@ -85,23 +85,28 @@ def token_positions(rows: DataFrame) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, shards: int | None = None) -> DataFrame:
+    """Spread chunk rows by their key.
+
+    The grouping by chunk and term finds this distribution and shuffles nothing
+    again. A frequent term is spread over all shards, so none of them is hot.
+    """
+    return rows.repartition(shards, *CHUNK_KEY) if shards else rows.repartition(*CHUNK_KEY)
+
+
 def build_postings(rows: DataFrame, shards: int | None = None) -> DataFrame:
-    """One row per (term, chunk): token count per field, positions, chunk length.
+    """One row per (term, chunk): token count per field and chunk length.
 
-    The chunk rows are spread by their key first: the grouping, and later the
-    scoring of a query, both find that distribution and shuffle nothing again. A
-    frequent term is spread over all shards, so none of them is hot.
+    Positions are a table of their own (``token_positions``), which only phrases
+    of several tokens read.
     """
-    spread = (
-        rows.repartition(shards, *CHUNK_KEY) if shards else rows.repartition(*CHUNK_KEY)
-    )
     counts = [
         F.count_if(F.col("field") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(FIELDS)
     ]
     return (
-        token_positions(spread)
+        token_positions(spread(rows, shards))
         .groupBy(*CHUNK_KEY, "term", "namespace", "n_tokens")
-        .agg(*counts, F.collect_list(F.struct("field", "pos")).alias("positions"))
+        .agg(*counts)
     )
 
 

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from notelake.functions.markdown import chunk_notes, parse_notes
 from notelake.functions.text import content_hash, is_blank
 from notelake.operators.namespaces import assign_namespaces
-from notelake.operators.postings import CHUNK_KEY, build_postings, chunk_lengths, lexical_rows
+from notelake.operators.postings import (
+    CHUNK_KEY,
+    build_postings,
+    chunk_lengths,
+    lexical_rows,
+    spread,
+    token_positions,
+)
 from notelake.operators.sizing import broadcast_if_small
 from notelake.operators.vectors import check_dimension
 from notelake.params import ChunkParams
@@ -75,12 +82,13 @@ def _write_version(
     shards: int | None,
 ) -> None:
     """Write the tables one after the other, each from the one before, then commit."""
-    tables = ["docs", "chunks", "postings", "lengths"]
+    tables = ["docs", "chunks", "postings", "positions", "lengths"]
     known = [c for c in DOC_COLS if c in docs.columns]
     write_table(docs.select(*known), root, "docs", version)
     chunks = write_table(chunk_notes(docs, params=params).select(*CHUNK_COLS), root, "chunks", version)
     rows = lexical_rows(chunks)
     write_table(build_postings(rows, shards), root, "postings", version)
+    write_table(token_positions(spread(rows, shards)), root, "positions", version)
     write_table(chunk_lengths(rows), root, "lengths", version)
     if embedder is not None:
         vectors = write_table(embed_chunks(chunks, embedder), root, "vectors", version)
@@ -173,11 +181,14 @@ def delete_documents(spark: SparkSession, root: str, doc_ids: DataFrame) -> int:
     return version
 
 
-def rebuild_lexical(chunks: DataFrame, docs: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of the chunks that have a document, all five fields included."""
+def rebuild_lexical(
+    chunks: DataFrame, docs: DataFrame, shards: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, positions and lengths of the chunks that have a document, all five
+    fields included."""
     held = chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
     rows = lexical_rows(held)
-    return build_postings(rows, shards), chunk_lengths(rows)
+    return build_postings(rows, shards), token_positions(spread(rows, shards)), chunk_lengths(rows)
 
 
 def index_stats(changes: DataFrame, chunks: DataFrame, lengths: DataFrame, vectors: DataFrame | None, docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from notelake.operators.postings import corpus_stats
 
-TABLES = ("docs", "chunks", "postings", "lengths", "vectors")
+TABLES = ("docs", "chunks", "postings", "positions", "lengths", "vectors")
 _MANIFEST = "version int, kind string, dimension int, tables string"
 
 
@@ -29,6 +29,7 @@ class NoteIndex:
     docs: DataFrame
     chunks: DataFrame
     postings: DataFrame | None
+    positions: DataFrame | None
     lengths: DataFrame | None
     vectors: DataFrame | None
     version: int = 0
@@ -53,7 +54,7 @@ def manifest(spark: SparkSession, root: str) -> list:
 def write_table(df: DataFrame, root: str, table: str, version: int) -> DataFrame:
     """Write one table of a version and return what was written."""
     path = f"{root}/{table}/version={version}"
-    if table == "postings":
+    if table in ("postings", "positions"):
         # Sorted terms let a scan skip row groups by the query's terms.
         df = df.sortWithinPartitions("term")
     df.write.mode("overwrite").parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import content_hash, token_estimate
-from notelake.operators.postings import build_postings, chunk_lengths
+from notelake.operators.postings import build_postings, chunk_lengths, spread, token_positions
 from notelake.sources.store import NoteIndex, commit, load_index, write_table
 from notelake.sources.workdir import work_dir
 
@@ -93,9 +93,10 @@ def index(spark: SparkSession, sf: str) -> NoteIndex:
         held = write_table(chunks(spark, sf), root, "chunks", 1)
         rows = held.withColumnRenamed("text", "body")
         write_table(build_postings(rows), root, "postings", 1)
+        write_table(token_positions(spread(rows)), root, "positions", 1)
         write_table(chunk_lengths(rows), root, "lengths", 1)
         write_table(vectors(spark, sf), root, "vectors", 1)
-        names = ["docs", "chunks", "postings", "lengths", "vectors"]
+        names = ["docs", "chunks", "postings", "positions", "lengths", "vectors"]
         commit(spark, root, 1, "full", names, 64)
         _BUILT[key] = root
     return load_index(spark, _BUILT[key])

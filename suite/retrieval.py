@@ -36,7 +36,7 @@ _OUT = "SELECT query_id::BIGINT AS query_id, doc_id, rank, round(score, 6) AS sc
 
 def words(spark, sf, queries, k=P.candidate_k, params=P):
     held = index(spark, sf)
-    return bm25_topk(queries, held.postings, held.stats, k, params)
+    return bm25_topk(queries, held.postings, held.positions, held.stats, k, params)
 
 
 @query("bm25_topk", f"WITH {TOKENS}, {SENTENCES_SQL}, {bm25('sentences', 10)} {_OUT} lex")
@@ -284,7 +284,7 @@ def recall_at_k(spark, sf):
 
     held = index(spark, sf)
     asked = sentences(spark, sf).select("query_id", "text")
-    scored = bm25_scores(asked, held.postings, held.stats)
+    scored = bm25_scores(asked, held.postings, held.positions, held.stats)
     judged = scored.join(table(spark, sf, "labels").filter("quality > 0"), "doc_id").select(
         "query_id", "doc_id", "chunk_index", F.col("quality").cast("double").alias("grade")
     )
