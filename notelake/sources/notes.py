@@ -113,12 +113,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_submodule_files(spark: SparkSession, root: str) -> DataFrame:
-    """Submodule files of many repositories below ``root``: ``repo, content``.
+def read_submodule_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Submodule files of many repositories: ``repo, content``.
 
-    The file name starts with a dot, which Spark lists only when it is named.
+    One file ``<repo>.gitmodules`` per repository. Spark never lists names that
+    start with a dot, so the files are collected under visible names.
     """
-    return spark.read.text(f"{root.rstrip('/')}/*/.gitmodules", wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("repo"),
-        F.col("value").alias("content"),
+    return (
+        spark.read.option("pathGlobFilter", "*.gitmodules")
+        .text(folder, wholetext=True)
+        .select(
+            F.regexp_extract(F.input_file_name(), "([^/]+)\\.gitmodules$", 1).alias("repo"),
+            F.col("value").alias("content"),
+        )
     )
