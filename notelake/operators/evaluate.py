@@ -18,10 +18,10 @@ def quality(results: DataFrame, judged: DataFrame, k: int = 10, keys: tuple[str,
     ideal_order = Window.partitionBy("query_id").orderBy(F.desc("grade"), *[F.asc(c) for c in keys])
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
     ideal = (
-        relevant.withColumn("_at", F.row_number().over(ideal_order) - 1)
-        .filter(F.col("_at") < k)
+        relevant.withColumn("_rn", F.row_number().over(ideal_order))
+        .filter(F.col("_rn") <= k)
         .groupBy("query_id")
-        .agg(F.sum(gain / F.log2(F.col("_at") + 2)).alias("_ideal"))
+        .agg(F.sum(gain / F.log2(F.col("_rn") + 1)).alias("_ideal"))
     )
     totals = relevant.groupBy("query_id").agg(F.count("*").alias("_relevant"))
     hits = (

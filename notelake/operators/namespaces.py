@@ -14,6 +14,8 @@ from notelake.params import NAMESPACE_PARENTS
 SECTION = '^\\[submodule\\s+"(.+)"\\]$'
 KEY_VALUE = "^(\\w+)\\s*=\\s*(.+)$"
 
+MAX_LISTED_NAMES = 1000
+
 
 def submodules(files: DataFrame) -> DataFrame:
     """Declared submodules of many repositories: ``repo, content`` to
@@ -84,6 +86,23 @@ def submodule_warnings(declared: DataFrame, directories: DataFrame) -> DataFrame
     )
 
 
+def with_namespace(docs: DataFrame, namespaces: DataFrame, path: str = "doc_path", default: str = "root") -> DataFrame:
+    """Add the ``namespace`` of every row by its path.
+
+    A short list of names is looked up inside the row, so that the rows, which
+    may hold whole texts, are not shuffled. Only a long list is joined.
+    """
+    names = namespaces.filter(F.col("name") != default).select("name").distinct()
+    listed = [r.name for r in names.limit(MAX_LISTED_NAMES + 1).collect()]
+    if len(listed) <= MAX_LISTED_NAMES:
+        # Ancestors come deepest first, so the first hit is the longest name.
+        known = F.array(*[F.lit(n) for n in listed]).cast("array<string>")
+        hit = F.get(F.array_intersect(ancestors(F.col(path)), known), F.lit(0))
+        return docs.withColumn("namespace", F.coalesce(hit, F.lit(default)))
+    assigned = assign_namespaces(docs.select(F.col(path).alias("path")).distinct(), namespaces, default)
+    return docs.join(assigned.withColumnRenamed("path", path), path)
+
+
 def assign_namespaces(paths: DataFrame, namespaces: DataFrame, default: str = "root") -> DataFrame:
     """Namespace of every ``path``: the longest namespace name that is an ancestor."""
     named = broadcast_if_small(namespaces.filter(F.col("name") != default).select("name").distinct())

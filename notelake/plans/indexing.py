@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.markdown import chunk_notes, parse_notes
 from notelake.functions.text import content_hash, is_blank
-from notelake.operators.namespaces import assign_namespaces
+from notelake.operators.namespaces import with_namespace
 from notelake.operators.postings import (
     CHUNK_KEY,
     build_postings,
@@ -43,8 +43,7 @@ def prepare_docs(notes: DataFrame, namespaces: DataFrame | None = None) -> DataF
     docs = parse_notes(notes).filter(~is_blank(F.col("body")))
     if namespaces is None:
         return docs.withColumn("namespace", F.lit("root"))
-    assigned = assign_namespaces(docs.select(F.col("doc_path").alias("path")), namespaces)
-    return docs.join(assigned.withColumnRenamed("path", "doc_path"), "doc_path")
+    return with_namespace(docs, namespaces)
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = EMBED_BATCH) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a temporary folder is made.
+    Only a local session without that setting gets a temporary folder; on a
+    cluster the folder has to be shared and therefore has to be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
+    if not named and not held and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not named:
         named = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="notelake-")
     if not held:

@@ -95,6 +95,13 @@ def test_scores_match_the_formula(spark, lexical, query):
         assert got[key] == pytest.approx(want[key], rel=1e-12)
 
 
+def test_large_query_tables_take_the_open_join(spark, lexical, monkeypatch):
+    small = ask(spark, lexical, "jwt-validation endpoint")
+    monkeypatch.setattr("notelake.operators.lexical.pin_if_small", lambda df: (df, None))
+    assert ask(spark, lexical, "jwt-validation endpoint") == small
+    assert ask(spark, lexical, "oauth")[0] == [10, 11]
+
+
 def test_postings_layout(spark, lexical):
     row = lexical[0].filter("term = 'oauth' AND doc_id = 11").first()
     assert (row.tf_title, row.tf_body, row.n_tokens) == (0, 2, 9)

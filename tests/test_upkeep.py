@@ -73,6 +73,15 @@ def test_submodules_and_namespaces(spark):
     assert [r.path for r in ns.submodule_warnings(declared, dirs).collect()] == ["libs/shared-utils"]
 
 
+def test_namespace_lookup_and_join_agree(spark, monkeypatch):
+    names = spark.createDataFrame([("root",), ("services/auth",), ("services",)], "name string")
+    docs = spark.createDataFrame([("services/auth/a.md",), ("services/x.md",), ("serv/x.md",), ("y.md",)], "doc_path string")
+    want = {"services/auth/a.md": "services/auth", "services/x.md": "services", "serv/x.md": "root", "y.md": "root"}
+    assert {r.doc_path: r.namespace for r in ns.with_namespace(docs, names).collect()} == want
+    monkeypatch.setattr(ns, "MAX_LISTED_NAMES", 1)
+    assert {r.doc_path: r.namespace for r in ns.with_namespace(docs, names).collect()} == want
+
+
 def test_scorer_answers(spark):
     raw = spark.createDataFrame(
         [
