@@ -18,10 +18,12 @@ from notelake.operators.rerank import (
     parse_indexed_scores,
     parse_scores,
     rerank_cache_text,
+    rerank_inputs,
     response_variants,
+    score_with,
 )
 from notelake.plans.search import expansion_gate, search
-from suite.blocks import TOKENS, bm25, knn, rrf, tok
+from suite.blocks import DOCVEC, TOKENS, bm25, knn, rrf, tok
 from suite.inputs import DOC_PATH_SQL, SENTENCES_SQL, index, sentences, table
 from suite.registry import query
 from suite.retrieval import BOTH, LINEAR, LISTS, P, both_engines, ranked, words
@@ -332,8 +334,6 @@ def position_blend(spark, sf):
         vec.select("query_id", "doc_id", "chunk_index", "rank")
     )
     best = top_k(rrf_fusion(lists), P.rerank_limit).drop("best_rank")
-    from notelake.operators.rerank import rerank_inputs
-
     inputs = rerank_inputs(best, index(spark, sf).chunks).join(
         sentences(spark, sf).select("query_id", F.col("text").alias("query_text")), "query_id"
     )
@@ -409,3 +409,57 @@ def detail_brief(spark, sf):
     return detail(out, "brief").withColumns(
         {"score": F.round("score", 6), "rank": F.col("rank").cast("long"), "chunk_index": F.col("chunk_index").cast("long")}
     )
+
+
+@query(
+    "detail_normal",
+    f"""WITH {BOTH}, {LINEAR}, {_cut('norm', _LIN, 'lex_norm', 'vec_norm')}
+SELECT query_id, rank, doc_id, 0::BIGINT AS chunk_index, source AS title, {DOC_PATH_SQL} AS doc_path, lang AS heading_path,
+       CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS snippet,
+       round(score, 6) AS score, round(lex_norm, 6) AS lex_norm, round(vec_norm, 6) AS vec_norm
+FROM ranked JOIN documents USING (doc_id)""",
+)
+def detail_normal(spark, sf):
+    out = search(sentences(spark, sf), index(spark, sf), params=replace(P, fusion="linear")).results
+    rounded = {c: F.round(c, 6) for c in ("score", "lex_norm", "vec_norm")}
+    return detail(out, "normal").withColumns(
+        {**rounded, "rank": F.col("rank").cast("long"), "chunk_index": F.col("chunk_index").cast("long")}
+    )
+
+
+_INSIDE = f"""{TOKENS}, {SENTENCES_SQL}, {DOCVEC},
+inside AS (SELECT query_id, s.text, 'en' AS namespace, embedding::DOUBLE[] AS qv
+           FROM sentences s LEFT JOIN embeddings ON vec_id = item_id),
+{bm25('inside', 50, namespace=True)}, {knn('inside', 50, scope='v.lang = q.namespace')}"""
+
+
+@query("search_namespace", f"WITH {_INSIDE}, {LISTS}, {rrf('lists')}, {_cut('fused', 'score')} {_SHAPE}")
+def search_namespace(spark, sf):
+    """Hybrid search inside one namespace: both engines filter before the cut."""
+    asked = sentences(spark, sf).withColumn("namespace", F.lit("en"))
+    return shaped(search(asked, index(spark, sf)).results)
+
+
+def length_scores(question: str, texts: list[str]) -> list[float]:
+    """A scorer function: longer candidates score higher, up to 1."""
+    return [len(t) / 500 for t in texts]
+
+
+@query(
+    "rerank_function",
+    f"""WITH {BOTH}, {LISTS}, {rrf('lists')}
+SELECT query_id, doc_id, round(least(1, length(substring(text, 1, 500)) / 500.0::DOUBLE), 6) AS score
+FROM fused JOIN documents USING (doc_id) WHERE rank < 20""",
+)
+def rerank_function(spark, sf):
+    """A Python scorer over the candidates of each query, at most twenty per call."""
+    lex, vec = both_engines(spark, sf)
+    lists = lex.select("query_id", "doc_id", "chunk_index", "rank").unionByName(
+        vec.select("query_id", "doc_id", "chunk_index", "rank")
+    )
+    best = top_k(rrf_fusion(lists), P.rerank_limit)
+    inputs = rerank_inputs(best, index(spark, sf).chunks).join(
+        sentences(spark, sf).select("query_id", F.col("text").alias("query_text")), "query_id"
+    )
+    scored = score_with(inputs.select("query_id", "query_text", "doc_id", "chunk_index", "text"), length_scores)
+    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
