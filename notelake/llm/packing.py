@@ -10,7 +10,9 @@ frequent length is spread over many tasks, and take their place by a join on len
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -19,34 +21,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import CACHE_WORDS, raw_texts, slices, stored, text_of
+from notelake.llm.common import raw_texts, slices, stored, text_of
 
+#: Entries of each of a task's two caches (150 bytes each); one that is full starts anew.
+CACHE_RUNS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+#: Texts that need no normalising besides lower case: white space, visible ASCII and precomposed Latin letters.
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: How a run of their characters is divided: letters, single digits, contractions, other signs.
+PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next free one."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in visible]
+    return {x: chr(x) for x in visible} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+class Tokens(dict):
+    """Run of lower-case characters to its ids, as little-endian unsigned 32-bit bytes.
 
     The tokenizer neither merges nor composes characters across ASCII white space, which it drops, so
-    ids are made for each run of other characters once and looked up afterwards.
+    a run between white space has the same ids wherever it stands. Runs of plain texts are divided here
+    and go to the model part by part, each part once; runs that are not plain go through the whole
+    tokenizer.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_str(vocabulary), {}
+        self.tokenizer, self.letters, self.parts = Tokenizer.from_str(vocabulary), byte_letters(), {}
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def part(self, part: str) -> bytes:
+        if (value := self.parts.get(part)) is None:
+            if len(self.parts) >= CACHE_RUNS:
+                self.parts.clear()
+            found = self.tokenize(part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode())))
+            value = self.parts[part] = array("I", [x.id for x in found]).tobytes()
+        return value
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHE_RUNS:
+            self.clear()
+        value = self[run] = self.part(run) if run.isalpha() else b"".join(map(self.part, PARTS.findall(run)))
+        return value
+
+    def ids(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        runs = text.encode("utf-8", "replace").split()
+        if len(runs) == 1:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.ids(x.decode()) for x in runs])
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in texts]
-        every = set().union(*words)
-        if len(self.ids) + len(every) > CACHE_WORDS:
-            self.ids = {}
-        new = [x for x in every if x not in self.ids]
-        if new:
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            self.ids.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found, strict=True))
-        return [b"".join(map(self.ids.__getitem__, x)) for x in words]
+        return [self.ids(x.decode("utf-8", "replace")) for x in texts]
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
