@@ -73,7 +73,8 @@ def find_edges(docs: DataFrame, k: int, window: int) -> DataFrame:
 def compacted(edges: DataFrame) -> DataFrame:
     """row and its repeated edges in order: pos, joined (the edge before is in the same path)."""
     every = edges.select("row", F.posexplode("edges").alias("nr", "edge")).select("row", "nr", "edge.*")
-    twice = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # Written first: a join of two plain exchanges can split a very frequent edge over many tasks.
+    twice = stored(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     repeated = stored(every.join(twice, "hash"), "edges")
     order = Window.partitionBy("row").orderBy("nr")
     before, after = F.lag(F.struct("nr", "hash", "pos")).over(order), F.lead(F.struct("nr", "hash", "pos")).over(order)
@@ -84,7 +85,7 @@ def compacted(edges: DataFrame) -> DataFrame:
     )
     one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
     degrees = linked.groupBy("hash").agg(one("before").alias("one_before"), one("after").alias("one_after"))
-    degrees = degrees.where("one_before or one_after")
+    degrees = stored(degrees.where("one_before or one_after"), "degrees")
     known = linked.select("row", "nr", "hash", "pos").join(degrees, "hash", "left")
     each = F.struct("nr", "pos", F.coalesce("one_before", F.lit(False)).alias("b"), F.coalesce("one_after", F.lit(False)).alias("a"))
     # At most the edges of one document.
@@ -180,6 +181,6 @@ def repeated_passages(docs: DataFrame, *, window: int = 35, k: int = 20, id_col:
     keyed = docs.select(F.xxhash64("text").alias("content"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "doc_id", "text")
     parts = stored(path_windows(keyed.join(found, key).select("doc_id", "text", "steps"), k, window), "windows")
     beyond = parts.select("rid", F.explode("beyond").alias("w")).select("rid", "w.*")
-    twice = beyond.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(beyond.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "verified")
     starts = beyond.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("start").alias("starts"))
     return cut_repeats(parts.select("rid", "doc_id", "text", "inner").join(starts, "rid", "left").select("doc_id", "text", "inner", "starts"), window), others
