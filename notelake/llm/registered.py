@@ -1,6 +1,6 @@
 """All queries of the package, by name."""
 
-from notelake.llm import query_fingerprint, query_packing, query_rules, query_simhash, query_substring  # noqa: F401
+from notelake.llm import query_fingerprint, query_packing, query_pii, query_rules, query_simhash, query_substring  # noqa: F401
 from notelake.llm.queries import REGISTRY
 
 __all__ = ["REGISTRY"]
