@@ -3,8 +3,8 @@
 A word classifier learned from labelled rows gives every document a posterior over the domains: the mean
 over its words. Document rates r then minimise the squared distance between the expected domain tokens,
 sum of r * tokens * posterior, and their targets, by projected gradient: each step is one grouped sum over
-all documents, and only the totals of the domains reach the driver. The step is scaled by the inverse of the
-domains' token cross moments, so few steps are needed. Rates are rounded to copies by a hash of the document.
+all documents, and only the totals of the domains reach the driver. The gradient is scaled by the inverse of the
+token cross moments of the rows that are not at the bound, and halved where it overshoots, so few steps are needed. Rates are rounded to copies by a hash of the document.
 """
 
 from __future__ import annotations
@@ -54,24 +54,41 @@ def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, *, id_
     return plain.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(make, "doc_id long, content long, tokens long, posterior array<double>")
 
 
-def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, steps: int = STEPS) -> Column:
-    """The rate of each row of ``held`` (tokens, posterior) as an expression; at least ``least``, which is not negative."""
-    n = len(target)
+def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, grow: bool = False, steps: int = STEPS) -> Column:
+    """The rate of each row of ``held`` (tokens, posterior) as an expression; at least ``least``, which is not negative.
+
+    With ``grow`` only the targets' proportions hold: they are scaled up to what no domain exceeds.
+    """
+    n, floor = len(target), F.lit(float(least))
     p = [F.col("posterior")[i] for i in range(n)]
-    sums = held.agg(*(F.sum(F.col("tokens") * p[i] * p[j]) for i in range(n) for j in range(n))).first()
-    moments = np.array([x or 0.0 for x in sums]).reshape(n, n)
-    inverse = np.linalg.pinv(moments + 1e-9 * max(np.trace(moments), 1e-9) * np.eye(n))
-    rate = F.greatest(F.lit(1.0), F.lit(float(least)))
+
+    def moved(rate: Column, step: np.ndarray) -> Column:
+        for value, x in zip(step, p, strict=True):
+            rate = rate + F.lit(float(value)) * x
+        return F.greatest(floor, rate)
+
+    def measured(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
+        """What misses to the targets, and the cross moments of the rows that can move."""
+        sums = [F.sum(rate * F.col("tokens") * x) for x in p]
+        sums += [F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
+        got = np.array([x or 0.0 for x in held.agg(*sums).first()])
+        goal = target
+        if grow:
+            goal = target * max(g / t for g, t in zip(got[:n], target, strict=True) if t > 0)
+        return goal - got[:n], got[n:].reshape(n, n)
+
+    rate, size, enough = F.greatest(F.lit(1.0), floor), 1.0, 1e-6 * max(1.0, float(target.sum()))
+    miss, moments = measured(rate, F.lit(True))
     for _ in range(steps):
-        got = np.array([x or 0.0 for x in held.agg(*(F.sum(rate * F.col("tokens") * x) for x in p)).first()])
-        miss = target - got
-        if np.abs(miss).max() <= 1e-6 * max(1.0, target.sum()):
+        if np.abs(miss).max() <= enough or size < 1e-3:
             break
-        step = inverse @ miss
-        move = F.lit(0.0)
-        for value, x in zip(step, p, strict=True):
-            move = move + F.lit(float(value)) * x
-        rate = F.greatest(F.lit(float(least)), rate + move)
+        step = size * (np.linalg.pinv(moments + 1e-9 * max(np.trace(moments), 1e-9) * np.eye(n)) @ miss)
+        tried = moved(rate, step)
+        new_miss, new_moments = measured(tried, tried > floor)
+        if new_miss @ new_miss < miss @ miss:
+            rate, miss, moments, size = tried, new_miss, new_moments, min(1.0, 2 * size)
+        else:
+            size /= 2
     return rate
 
 
@@ -89,9 +106,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     if domains and share.sum() > 0:
         share = share / share.sum()
         now = np.array([x or 0.0 for x in held.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(domains)))).first()])
-        total = now.sum() if thin else max(n / s for n, s in zip(now, share, strict=True) if s > 0)
-        if total > 0:
-            rate = fit_rates(held, share * total, least=0.0 if thin else 1.0)
+        if now.sum() > 0:
+            rate = fit_rates(held, share * now.sum(), least=0.0 if thin else 1.0, grow=not thin)
     chance = F.pmod(F.xxhash64("doc_id", "content", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     return held.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
