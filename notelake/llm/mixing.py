@@ -23,6 +23,8 @@ from notelake.llm.language import labelled_texts
 #: Labelled documents per domain that the classifier is trained on, at most.
 PER_DOMAIN = 200
 STEPS = 40
+#: Totals that are tried where no document may be thinned, as multiples of the least that could do.
+GROWTH = (1.0, 1.05, 1.15, 1.3, 1.6, 2.0, 3.0)
 
 
 def learn_domains(labelled: DataFrame, domain: str, *, per_domain: int = PER_DOMAIN) -> tuple[list[str], np.ndarray]:
@@ -54,10 +56,10 @@ def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, *, id_
     return plain.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(make, "doc_id long, content long, tokens long, posterior array<double>")
 
 
-def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, grow: bool = False, steps: int = STEPS) -> Column:
+def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, steps: int = STEPS) -> tuple[Column, float]:
     """The rate of each row of ``held`` (tokens, posterior) as an expression; at least ``least``, which is not negative.
 
-    With ``grow`` only the targets' proportions hold: they are scaled up to what no domain exceeds.
+    The second value is the largest miss to a target, as a share of all tokens.
     """
     n, floor = len(target), F.lit(float(least))
     p = [F.col("posterior")[i] for i in range(n)]
@@ -67,36 +69,33 @@ def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, grow:
             rate = rate + F.lit(float(value)) * x
         return F.greatest(floor, rate)
 
-    def measured(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
-        """What misses to the targets, and the cross moments of the rows that can move."""
+    def measured(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """What misses to the targets, the cross moments of the rows that can move, and the largest miss as a share of all."""
         sums = [F.sum(rate * F.col("tokens") * x) for x in p]
         sums += [F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
         got = np.array([x or 0.0 for x in held.agg(*sums).first()])
-        goal = target
-        if grow:
-            goal = target * max(g / t for g, t in zip(got[:n], target, strict=True) if t > 0)
-        return goal - got[:n], got[n:].reshape(n, n)
+        return target - got[:n], got[n:].reshape(n, n), float(np.abs(target - got[:n]).max() / max(1.0, target.sum()))
 
-    rate, size, enough = F.greatest(F.lit(1.0), floor), 1.0, 1e-6 * max(1.0, float(target.sum()))
-    miss, moments = measured(rate, F.lit(True))
+    rate, size = F.greatest(F.lit(1.0), floor), 1.0
+    miss, moments, off = measured(rate, F.lit(True))
     for _ in range(steps):
-        if np.abs(miss).max() <= enough or size < 1e-3:
+        if off <= 1e-6 or size < 1e-3:
             break
         step = size * (np.linalg.pinv(moments + 1e-9 * max(np.trace(moments), 1e-9) * np.eye(n)) @ miss)
         tried = moved(rate, step)
-        new_miss, new_moments = measured(tried, tried > floor)
-        if new_miss @ new_miss < miss @ miss:
-            rate, miss, moments, size = tried, new_miss, new_moments, min(1.0, 2 * size)
+        new_miss, new_moments, new_off = measured(tried, tried > floor)
+        if new_off < off:
+            rate, miss, moments, off, size = tried, new_miss, new_moments, new_off, min(1.0, 2 * size)
         else:
             size /= 2
-    return rate
+    return rate, off
 
 
 def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, domain: str = "lang", thin: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content, tokens, posterior, rate, copies for every row.
 
     With ``thin`` the expected tokens keep the present total. Without it no rate is under 1: the total grows
-    until the most frequent domain has its weight. A domain without a target has weight 0; weights are scaled
+    until the weights hold (to 1e-4) or has tripled. A domain without a target has weight 0; weights are scaled
     to sum to 1. Without labelled rows or without words all rates are 1. Equal rows get equal results.
     """
     domains, weights = learn_domains(labelled, domain)
@@ -107,7 +106,11 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
         share = share / share.sum()
         now = np.array([x or 0.0 for x in held.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(domains)))).first()])
         if now.sum() > 0:
-            rate = fit_rates(held, share * now.sum(), least=0.0 if thin else 1.0, grow=not thin)
+            total = now.sum() if thin else max(n / s for n, s in zip(now, share, strict=True) if s > 0)
+            for growth in (1.0,) if thin else GROWTH:
+                rate, off = fit_rates(held, share * total * growth, least=0.0 if thin else 1.0)
+                if off <= 1e-4:
+                    break
     chance = F.pmod(F.xxhash64("doc_id", "content", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     return held.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
