@@ -68,20 +68,17 @@ def stream_index_updates(
 
 
 def write_audit(changes: DataFrame, path: str, batch_id: int) -> None:
-    """Audit rows of one batch; a repeated batch replaces its own rows."""
-    (
-        changes.filter("change_kind <> 'unchanged'")
-        .select(
-            F.lit(batch_id).alias("batch_id"),
-            F.current_timestamp().alias("at"),
-            F.col("change_kind").alias("action"),
-            "doc_path",
-            F.col("old_hash").alias("hash_before"),
-            F.col("new_hash").alias("hash_after"),
-        )
-        .write.mode("overwrite")
-        .parquet(f"{path}/batch={batch_id}")
+    """Audit rows of one batch. A repeated batch finds nothing left to change and keeps the rows it wrote first."""
+    rows = changes.filter("change_kind <> 'unchanged'").select(
+        F.lit(batch_id).alias("batch_id"),
+        F.current_timestamp().alias("at"),
+        F.col("change_kind").alias("action"),
+        "doc_path",
+        F.col("old_hash").alias("hash_before"),
+        F.col("new_hash").alias("hash_after"),
     )
+    if not rows.isEmpty():
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def stream_session_capture(
