@@ -21,7 +21,7 @@ from notelake.llm.crf import Emissions, train
 from notelake.llm.language import labelled_texts
 
 #: Labelled documents per domain that the classifier is trained on, at most.
-PER_DOMAIN = 200
+PER_DOMAIN = 100
 STEPS = 40
 #: Totals that are tried where no document may be thinned, as multiples of the least that could do.
 GROWTH = (1.0, 1.05, 1.15, 1.3, 1.6, 2.0, 3.0)
@@ -33,7 +33,7 @@ def learn_domains(labelled: DataFrame, domain: str, *, per_domain: int = PER_DOM
     domains = sorted({d for _, d in rows})
     words = [t.encode("utf-8", "replace").split() for t, _ in rows]
     tags = [np.full(len(w), domains.index(d)) for w, (_, d) in zip(words, rows, strict=True)]
-    return domains, train(words, tags, max(1, len(domains)), length=1, batch=6144, epochs=2)[0]
+    return domains, train(words, tags, max(1, len(domains)), length=1, batch=2048, epochs=2)[0]
 
 
 def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
