@@ -2,9 +2,11 @@
 
 A word classifier learned from labelled rows gives every document a posterior over the domains: the mean
 over its words. Document rates r then minimise the squared distance between the expected domain tokens,
-sum of r * tokens * posterior, and their targets, by projected gradient: each step is one grouped sum over
-all documents, and only the totals of the domains reach the driver. The gradient is scaled by the inverse of the
-token cross moments of the rows that are not at the bound, and halved where it overshoots, so few steps are needed. Rates are rounded to copies by a hash of the document.
+sum of r * tokens * posterior, and their targets, by projected gradient: steps along the posterior add up and are
+projected onto the bound. One grouped pass over the documents sums their tokens by rounded posterior; each step
+is one aggregation of that table, and only the totals of the domains reach the driver. The gradient is scaled by
+the inverse of the cross moments of the rows that are not at the bound, and halved where it overshoots, so few
+steps are needed. Rates are rounded to copies by a hash of the document.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from notelake.llm.language import labelled_texts
 #: Labelled documents per domain that the classifier is trained on, at most.
 PER_DOMAIN = 100
 STEPS = 40
-#: Totals that are tried where no document may be thinned, as multiples of the least that could do.
-GROWTH = (1.0, 1.05, 1.15, 1.3, 1.6, 2.0, 3.0)
+#: Posteriors are rounded to this fraction for the rate, which bounds the table that the steps read.
+GRID = 100
 
 
 def learn_domains(labelled: DataFrame, domain: str, *, per_domain: int = PER_DOMAIN) -> tuple[list[str], np.ndarray]:
@@ -56,61 +58,86 @@ def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, *, id_
     return plain.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(make, "doc_id long, content long, tokens long, posterior array<double>")
 
 
-def fit_rates(held: DataFrame, target: np.ndarray, *, least: float = 0.0, steps: int = STEPS) -> tuple[Column, float]:
-    """The rate of each row of ``held`` (tokens, posterior) as an expression; at least ``least``, which is not negative.
+def cells(held: DataFrame, n: int) -> DataFrame:
+    """Rows of ``held`` (tokens, posterior) grouped by the rounded posterior: cell and mass, the tokens of each domain.
 
-    The second value is the largest miss to a target, as a share of all tokens.
+    Rates depend on the cell alone, so sums over this table are the exact sums over all documents.
     """
-    n, floor = len(target), F.lit(float(least))
-    p = [F.col("posterior")[i] for i in range(n)]
-
-    def moved(rate: Column, step: np.ndarray) -> Column:
-        for value, x in zip(step, p, strict=True):
-            rate = rate + F.lit(float(value)) * x
-        return F.greatest(floor, rate)
-
-    def measured(rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray, float]:
-        """What misses to the targets, the cross moments of the rows that can move, and the largest miss as a share of all."""
-        sums = [F.sum(rate * F.col("tokens") * x) for x in p]
-        sums += [F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
-        got = np.array([x or 0.0 for x in held.agg(*sums).first()])
-        return target - got[:n], got[n:].reshape(n, n), float(np.abs(target - got[:n]).max() / max(1.0, target.sum()))
-
-    rate, size = F.greatest(F.lit(1.0), floor), 1.0
-    miss, moments, off = measured(rate, F.lit(True))
+    tokens = [F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(n)]
+    made = held.withColumn("cell", cell_of(F.col("posterior"))).groupBy("cell").agg(*tokens)
+    return made.select("cell", F.array(*(f"t{i}" for i in range(n))).alias("mass"))
+
+
+def cell_of(posterior: Column) -> Column:
+    return F.transform(posterior, lambda x: F.round(x * GRID) / GRID)
+
+
+def rate_of(cell: Column, slope: np.ndarray, least: float) -> Column:
+    """1 plus the summed steps, projected onto the bound."""
+    steps = F.zip_with(cell, F.array(*(F.lit(float(x)) for x in slope)), lambda a, b: a * b)
+    return F.greatest(F.lit(float(least)), F.aggregate(steps, F.lit(1.0), lambda a, b: a + b))
+
+
+def fit_rates(held: DataFrame, share: np.ndarray, *, least: float = 0.0, keep_total: bool = True, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Slopes for ``rate_of`` from rows (tokens, posterior) and shares that sum to 1; and the miss against the present total.
+
+    With ``keep_total`` the domain tokens aim at their share of the present total, otherwise at their share of
+    whatever total the rates give, which leaves it free to grow.
+    """
+    n = len(share)
+    table = stored(cells(held, n), "cells")
+
+    def measured(slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and how they change with the slopes: cross moments of the cells that are not at the bound."""
+        rate = rate_of(F.col("cell"), slope, least)
+        rows = table.select(rate.alias("r"), (rate > least).alias("free"), "cell", "mass")
+        sums = [F.sum(F.col("r") * F.col("mass")[i]) for i in range(n)]
+        sums += [F.sum(F.when(F.col("free"), F.col("mass")[i] * F.col("cell")[j]).otherwise(0.0)) for i in range(n) for j in range(n)]
+        got = np.array([x or 0.0 for x in rows.agg(*sums).first()])
+        return got[:n], got[n:].reshape(n, n)
+
+    def missed(got: np.ndarray) -> np.ndarray:
+        return share * (now.sum() if keep_total else got.sum()) - got
+
+    now = np.array([x or 0.0 for x in table.agg(*(F.sum(F.col("mass")[i]) for i in range(n))).first()])
+    if now.sum() <= 0:
+        return np.zeros(n), 0.0
+    # Start: what rows of one domain alone would need.
+    wanted = np.where(now > 0, share / np.maximum(now, 1e-9), 0.0)
+    slope = wanted * (now.sum() if keep_total else 1 / wanted[wanted > 0].min(initial=1.0)) - 1
+    size = 1.0
+    got, moments = measured(slope)
+    off = float(np.linalg.norm(missed(got)) / now.sum())
     for _ in range(steps):
         if off <= 1e-6 or size < 1e-3:
             break
-        step = size * (np.linalg.pinv(moments + 1e-9 * max(np.trace(moments), 1e-9) * np.eye(n)) @ miss)
-        tried = moved(rate, step)
-        new_miss, new_moments, new_off = measured(tried, tried > floor)
+        pull = moments if keep_total else moments - np.outer(share, moments.sum(axis=0))
+        tried = slope + size * (np.linalg.pinv(pull, rcond=1e-9) @ missed(got))
+        new_got, new_moments = measured(tried)
+        new_off = float(np.linalg.norm(missed(new_got)) / now.sum())
         if new_off < off:
-            rate, miss, moments, off, size = tried, new_miss, new_moments, new_off, min(1.0, 2 * size)
+            slope, got, moments, off, size = tried, new_got, new_moments, new_off, min(1.0, 2 * size)
         else:
             size /= 2
-    return rate, off
+    return slope, off
 
 
 def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, domain: str = "lang", thin: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content, tokens, posterior, rate, copies for every row.
 
-    With ``thin`` the expected tokens keep the present total. Without it no rate is under 1: the total grows
-    until the weights hold (to 1e-4) or has tripled. A domain without a target has weight 0; weights are scaled
-    to sum to 1. Without labelled rows or without words all rates are 1. Equal rows get equal results.
+    With ``thin`` the expected tokens keep the present total. Without it no rate is under 1 and the total grows
+    until the weights hold. Weights that the steps cannot meet (no tokens of a domain, or
+    a share near 0 of a domain that may not be thinned) are left at the least miss found. A domain without a
+    target has weight 0; weights are scaled to sum to 1. Without labelled rows or without words all rates are 1.
+    Equal rows get equal results.
     """
     domains, weights = learn_domains(labelled, domain)
     held = stored(memberships(docs, domains, weights, id_col=id_col, text_col=text_col), "memberships")
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     rate = F.lit(1.0)
     if domains and share.sum() > 0:
-        share = share / share.sum()
-        now = np.array([x or 0.0 for x in held.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(len(domains)))).first()])
-        if now.sum() > 0:
-            total = now.sum() if thin else max(n / s for n, s in zip(now, share, strict=True) if s > 0)
-            for growth in (1.0,) if thin else GROWTH:
-                rate, off = fit_rates(held, share * total * growth, least=0.0 if thin else 1.0)
-                if off <= 1e-4:
-                    break
+        least = 0.0 if thin else 1.0
+        rate = rate_of(cell_of(F.col("posterior")), fit_rates(held, share / share.sum(), least=least, keep_total=thin)[0], least)
     chance = F.pmod(F.xxhash64("doc_id", "content", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     return held.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 

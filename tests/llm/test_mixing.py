@@ -2,9 +2,10 @@ from collections import Counter
 
 import cases
 import numpy as np
+from pyspark.sql import functions as F
 from test_fields import tongues
 
-from notelake.llm.mixing import fit_rates, mixed_documents, mixed_rates
+from notelake.llm.mixing import cell_of, fit_rates, mixed_documents, mixed_rates, rate_of
 
 
 def frame(spark, extra=()):
@@ -34,9 +35,20 @@ def test_rates_are_the_least_squares_solution(spark):
     rng = np.random.default_rng(5)
     p, n = rng.dirichlet([0.4] * 3, 200), rng.integers(1, 90, 200)
     held = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "tokens long, posterior array<double>")
-    target = np.array([0.7, 0.29, 0.01]) * n.sum()
-    rates = np.array([r[0] for r in held.select(fit_rates(held, target)[0]).collect()])
-    assert rates.min() >= 0 and np.abs((rates * n) @ p - target).max() < 1e-3 * target.sum()
+    for share, least, keep in (([0.7, 0.29, 0.01], 0.0, True), ([0.34, 0.33, 0.33], 0.0, True), ([0.5, 0.3, 0.2], 1.0, False)):
+        slope, off = fit_rates(held, np.array(share), least=least, keep_total=keep)
+        rates = np.array([r[0] for r in held.select(rate_of(cell_of(F.col("posterior")), slope, least)).collect()])
+        got = (rates * n) @ p
+        assert rates.min() >= least and off < 1e-5
+        assert np.abs(got / got.sum() - share).max() < 1e-3
+        assert not keep or abs(got.sum() - n.sum()) < 1e-3 * n.sum()
+
+
+def test_weights_that_cannot_be_met_come_near(spark):
+    held = spark.createDataFrame([(10, [0.8, 0.2]), (30, [0.4, 0.6])], "tokens long, posterior array<double>")
+    slope, off = fit_rates(held, np.array([1.0, 0.0]))
+    rates = [r[0] for r in held.select(rate_of(cell_of(F.col("posterior")), slope, 0.0)).collect()]
+    assert off < 0.25 and min(rates) >= 0 and rates[1] < 0.1
 
 
 def test_rows_are_repeated_as_often_as_their_copies(spark):
