@@ -240,7 +240,9 @@ def _deep(
 
     lists = multi_query_lists(originals, variants, index, params, first)
     fused = cut(rrf_fusion(lists, params.rrf_k))
-    best = top_k(fused, params.rerank_limit).drop("best_rank")
+    # The first rerank_limit rows are scored; the rest of the ranking follows behind them.
+    ranking = top_k(fused, max(params.rerank_limit, params.top_k)).drop("best_rank")
+    best = ranking.filter(F.col("rank") < params.rerank_limit)
 
     if scorer is not None and not skip_reranking:
         inputs = rerank_inputs(best, index.chunks, params.rerank_chars).join(
@@ -256,6 +258,9 @@ def _deep(
     else:
         scored = None
         ranked = _final(best.withColumn("rrf_score", F.col("score")), _no_score())
+    if params.top_k > params.rerank_limit:
+        rest = ranking.filter(F.col("rank") >= params.rerank_limit)
+        ranked = ranked.unionByName(_final(rest.withColumn("rrf_score", F.col("score")), _no_score()))
     ranked = ranked.filter(F.col("rank") < params.top_k)
     report = _deep_report(gate, fused, variants, scored, scorer is not None, skip_reranking)
     return ranked, report

@@ -24,9 +24,9 @@ def changed_paths(lines: DataFrame, suffix: str = ".md", column: str = "value")
     return lines.withColumn("path", path).filter(F.col("path").endswith(suffix))
 
 
-def distinct_changes(changes: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """Each path once within the delay, with bounded state."""
-    return changes.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["path"])
+def distinct_changes(batch: DataFrame) -> DataFrame:
+    """Each changed path of one batch of lines once. No state is kept, so a path that arrives late is not lost."""
+    return changed_paths(batch).select("path").distinct()
 
 
 def run_batches(
@@ -57,7 +57,7 @@ def stream_index_updates(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        paths = changed_paths(batch).select("path").distinct()
+        paths = distinct_changes(batch)
         if paths.isEmpty():
             return
         changes = update_index(read_notes(spark), paths, root, **options)

@@ -22,6 +22,7 @@ from notelake.operators.rerank import (
     response_variants,
     score_with,
 )
+from notelake.params import SearchParams
 from notelake.plans.search import expansion_gate, search
 from suite.blocks import DOCVEC, TOKENS, bm25, knn, rrf, tok
 from suite.inputs import DOC_PATH_SQL, SENTENCES_SQL, index, sentences, table
@@ -192,6 +193,25 @@ def search_deep(spark, sf):
     )
 
 
+@query(
+    "search_deep_top50",
+    f"""WITH {BOTH}, {_VARIANTS}, {rrf('lists')}, {_RERANK}
+SELECT query_id, rank, doc_id, round(score, 6) AS score, round(rrf, 6) AS rrf_score, round(rel, 6) AS rerank_score FROM ranked
+UNION ALL
+SELECT query_id, rank, doc_id, round(score, 6), round(score, 6), NULL FROM fused WHERE rank BETWEEN 20 AND 49""",
+)
+def search_deep_top50(spark, sf):
+    """More results than are re-ranked: the rest of the fused ranking follows."""
+    out = search(
+        sentences(spark, sf), index(spark, sf), "deep", SearchParams(top_k=50, candidate_multiplier=1),
+        expander=variants(spark, sf), scorer=overlap_scores,
+    )
+    return out.results.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+        *[F.round(c, 6).alias(c) for c in ("score", "rrf_score", "rerank_score")],
+    )
+
+
 @query(
     "search_deep_report",
     f"""WITH {BOTH}, {_VARIANTS}, {rrf('lists')},

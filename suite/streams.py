@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from notelake.plans.indexing import build_index
 from notelake.sources.store import load_index
 from notelake.streaming.changes import (
-    changed_paths,
     distinct_changes,
     live_session_totals,
     run_batches,
@@ -32,12 +31,24 @@ def stream_changed_paths(spark, sf):
     """Change events as a stream: notes only, each path once."""
     ext = F.when(F.col("event_type") == "error", ".txt").otherwise(".md")
     changes = stream(spark, sf, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("/"), "event_type", ext).alias("value")
+        F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("/"), "event_type", ext).alias("value")
     )
     work = new_dir(spark, "paths")
-    out = distinct_changes(changed_paths(changes), "ts").select("path")
-    handle = lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}")
-    run_batches(out, handle, f"{work}/checkpoint").awaitTermination()
+    handle = lambda batch, n: distinct_changes(batch).write.mode("overwrite").parquet(f"{work}/out/batch={n}")
+    run_batches(changes, handle, f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").select("path").distinct()
+
+
+@query("stream_late_paths", "SELECT DISTINCT user_id || '/' || hour(ts) || '.md' AS path FROM events")
+def stream_late_paths(spark, sf):
+    """Changes of the second half of the day arrive first, those of the first half in a later run: none is lost."""
+    work = new_dir(spark, "late")
+    path = F.concat_ws("/", "user_id", F.concat(F.hour("ts"), F.lit(".md")))
+    events = table(spark, sf, "events").select(path.alias("value"), (F.hour("ts") < 12).alias("late"))
+    handle = lambda batch, n: distinct_changes(batch).write.mode("overwrite").parquet(f"{work}/out/batch={n}")
+    for late in (False, True):
+        events.filter(F.col("late") == late).select("value").write.mode("append").text(f"{work}/dirty")
+        run_batches(spark.readStream.text(f"{work}/dirty"), handle, f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/out").select("path").distinct()
 
 
@@ -97,6 +108,29 @@ def stream_index_update(spark, sf):
     )
 
 
+@query(
+    "stream_audit_retry",
+    f"""WITH {_CHANGES}
+SELECT doc_path, change_kind FROM changes WHERE change_kind <> 'unchanged'""",
+)
+def stream_audit_retry(spark, sf):
+    """The same first batch handled twice leaves the audit rows of the first time."""
+    work = new_dir(spark, "retry")
+    build_index(stored_notes(spark, sf), f"{work}/index")
+    table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".md"))).alias("value")
+    ).write.text(f"{work}/dirty")
+    for attempt in ("first", "again"):
+        stream_index_updates(
+            spark.readStream.text(f"{work}/dirty"),
+            lambda s: scanned_notes(s, sf),
+            f"{work}/index",
+            f"{work}/checkpoint-{attempt}",
+            f"{work}/audit",
+        ).awaitTermination()
+    return spark.read.parquet(f"{work}/audit").select("doc_path", F.col("action").alias("change_kind"))
+
+
 @query(
     "stream_session_capture",
     f"""WITH {_ROLLING}, old AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')
