@@ -1,8 +1,8 @@
 """Mixing to target weights with soft domain membership.
 
-A word classifier learned from labelled rows gives every document a posterior over the domains: the mean
-over its words. Document rates r then minimise the squared distance between the expected domain tokens,
-sum of r * tokens * posterior, and their targets, by projected gradient: steps along the posterior add up and are
+A logistic classifier learned from labelled rows gives every document a posterior over the domains, from the mean
+score of its words that the sample holds in two documents or more. Document rates r then minimise the squared distance between the expected domain
+tokens, sum of r * tokens * posterior, and their targets, by projected gradient: steps along the posterior add up and are
 projected onto the bound. One grouped pass over the documents sums their tokens by rounded posterior; each step
 is one aggregation of that table, and only the totals of the domains reach the driver. The gradient is scaled by
 the inverse of the cross moments of the rows that are not at the bound, and halved where it overshoots, so few
@@ -11,6 +11,7 @@ steps are needed. Rates are rounded to copies by a hash of the document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,40 +20,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.common import raw_texts, slices, stored, sums_by_text, text_of
-from notelake.llm.crf import Emissions, train
 from notelake.llm.language import labelled_texts
 
 #: Labelled documents per domain that the classifier is trained on, at most.
-PER_DOMAIN = 100
+PER_DOMAIN = 200
 STEPS = 40
 #: Posteriors are rounded to this fraction for the rate, which bounds the table that the steps read.
 GRID = 100
+#: Word scores are whole multiples of 1 / SCALE, so that sums over a text are exact in any order.
+SCALE = 1 << 16
+#: ASCII letters in lower case; all other ASCII characters end a word.
+LETTERS = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+#: Above every CRC-32, the last key of a model.
+NO_WORD = 1 << 32
 
 
-def learn_domains(labelled: DataFrame, domain: str, *, per_domain: int = PER_DOMAIN) -> tuple[list[str], np.ndarray]:
-    """Domain names and feature weights from labelled rows (doc_id, text and the domain column)."""
-    rows = labelled_texts(labelled.select("doc_id", "text", F.col(domain).cast("string").alias("lang")), per_language=per_domain)
-    domains = sorted({d for _, d in rows})
-    words = [t.encode("utf-8", "replace").split() for t, _ in rows]
-    tags = [np.full(len(w), domains.index(d)) for w, (_, d) in zip(words, rows, strict=True)]
-    return domains, train(words, tags, max(1, len(domains)), length=1, batch=2048, epochs=2)[0]
+def word_keys(text: bytes) -> np.ndarray:
+    """CRC-32 of every run of letters."""
+    words = text.translate(LETTERS).split()
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def memberships(docs: DataFrame, domains: list[str], weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content, tokens (words) and posterior; even over the domains for a text without letters."""
-    model, n = docs.sparkSession.sparkContext.broadcast(weights), max(1, len(domains))  # 2 to the BITS rows
+def learn_domains(labelled: DataFrame, domain: str, *, per_domain: int = PER_DOMAIN, epochs: int = 100) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
+    """Domain names and the model from labelled rows (doc_id, text and the domain column).
+
+    The model: sorted word keys, and for each its scores for the domains and a last column of ones (the word counts).
+    """
+    rows = labelled_texts(labelled.select("doc_id", "text", F.col(domain).cast("string").alias("lang")), per_language=per_domain)
+    domains = sorted({d for _, d in rows})
+    n = max(1, len(domains))
+    found = [np.unique(word_keys(t.encode("utf-8", "replace")), return_counts=True) for t, _ in rows]
+    every = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])
+    keys, times = np.unique(every, return_counts=True)
+    keys = np.append(keys[times > 1], NO_WORD)
+    doc = np.repeat(np.arange(len(rows)), [len(k) for k, _ in found])
+    count = np.concatenate([np.zeros(0), *(c for _, c in found)])
+    at = np.searchsorted(keys, every)
+    known = keys[at] == every
+    at, doc, count = at[known], doc[known], count[known]
+    value = count / np.maximum(np.bincount(doc, count, len(rows)), 1)[doc]
+    tag = np.eye(n)[[domains.index(d) for _, d in rows]]
+    scores, squares = np.zeros((len(keys), n)), np.full((len(keys), n), 1e-12)
+    for _ in range(epochs if len(at) else 0):
+        logits = np.stack([np.bincount(doc, value * scores[at, i], len(rows)) for i in range(n)], axis=1)
+        miss = softmax(logits) - tag
+        slope = np.stack([np.bincount(at, value * miss[doc, i], len(keys)) for i in range(n)], axis=1) / len(rows)
+        squares += slope**2
+        scores -= slope / np.sqrt(squares)
+    whole = np.append(np.round(scores * SCALE), np.ones((len(keys), 1)), axis=1).astype(np.int64)
+    whole[-1] = 0
+    return domains, (keys, whole)
+
+
+def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, content, tokens (words) and posterior; even over the domains for a text without a learned word."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the words of the bounded sample
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = Emissions(model.value)
+        keys, scores = sent.value
         for batch in slices(batches):
-            at, starts = emissions.of([x.split() for x in raw_texts(batch)])
-            p = np.exp(emissions.rows - emissions.rows.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[0] = 0
-            total = sums_by_text(p[at].astype(float), starts)
-            mass = total.sum(axis=1, keepdims=True)
-            share = np.where(mass > 0, total / np.maximum(mass, 1e-9), 1 / n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(np.diff(starts)), pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "content", "tokens", "posterior"])
+            texts = raw_texts(batch)
+            words = [word_keys(x) for x in texts]
+            every = np.concatenate(words)
+            at = np.searchsorted(keys, every)
+            at[keys[at] != every] = len(keys) - 1
+            total = sums_by_text(scores[at], np.concatenate([[0], np.cumsum([len(x) for x in words], dtype=np.int64)]))
+            share = softmax(total[:, :-1] / (np.maximum(total[:, -1:], 1) * SCALE))
+            columns = [batch.column("doc_id"), batch.column("content"), pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(share.tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "tokens", "posterior"])
 
     plain = text_of(docs, id_col=id_col, text_col=text_col)
     return plain.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(make, "doc_id long, content long, tokens long, posterior array<double>")
@@ -131,8 +171,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     target has weight 0; weights are scaled to sum to 1. Without labelled rows or without words all rates are 1.
     Equal rows get equal results.
     """
-    domains, weights = learn_domains(labelled, domain)
-    held = stored(memberships(docs, domains, weights, id_col=id_col, text_col=text_col), "memberships")
+    domains, model = learn_domains(labelled, domain)
+    held = stored(memberships(docs, model, id_col=id_col, text_col=text_col), "memberships")
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     rate = F.lit(1.0)
     if domains and share.sum() > 0:

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_fields import tongues
 
-from notelake.llm.mixing import cell_of, fit_rates, mixed_documents, mixed_rates, rate_of
+from notelake.llm.mixing import cell_of, fit_rates, learn_domains, memberships, mixed_documents, mixed_rates, rate_of
 
 
 def frame(spark, extra=()):
@@ -66,3 +66,24 @@ def test_without_labels_or_rows(spark):
     docs = cases.frame(spark, [(1, "ab cd", None, *[None] * 6)])
     assert [r["copies"] for r in mixed_rates(docs, docs, {"aa": 1.0}).collect()] == [1]
     assert mixed_documents(cases.frame(spark, []), docs, {"aa": 1.0}).collect() == []
+
+
+def test_held_out_documents_get_their_domain(spark):
+    made = tongues(160)
+    docs = cases.frame(spark, [(i, t, lang, *[None] * 6) for i, (lang, t) in enumerate(made)])
+    domains, model = learn_domains(docs.where("doc_id % 2 = 0"), "lang")
+    rows = memberships(docs.where("doc_id % 2 = 1"), model).collect()
+    right = [domains[int(np.argmax(r["posterior"]))] == made[r["doc_id"]][0] for r in rows]
+    assert len(rows) == len(made) // 2 and np.mean(right) > 0.97
+
+
+def test_equal_texts_get_equal_posteriors_in_any_batch(spark):
+    made = tongues(40)
+    rows = [(i, made[i % len(made)][1], made[i % len(made)][0], *[None] * 6) for i in range(3 * len(made))]
+    docs = cases.frame(spark, rows)
+    model = learn_domains(docs, "lang")[1]
+    got = {}
+    for parts in (1, 7):
+        for r in memberships(docs.repartition(parts), model).collect():
+            got.setdefault(r["content"], set()).add(tuple(r["posterior"]))
+    assert max(len(x) for x in got.values()) == 1
