@@ -78,9 +78,9 @@ def submodule_warnings(declared: DataFrame, directories: DataFrame) -> DataFrame
         "repo",
         "path",
         F.concat(
-            F.lit('Submodule "'),
+            F.lit("declared submodule "),
             "path",
-            F.lit('" is not initialized. Run: git submodule init '),
+            F.lit(" has no directory; fetch it with git submodule update --init "),
             "path",
         ).alias("warning"),
     )

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ class _Best:
         self.ids, self.k, self.metric, self.scopes = ids, k, metric, scopes
         self.mat = self._prepare(np.asarray(mat, dtype=np.float64))
         self.reach = np.full(len(ids), np.inf)
-        self.rows = pd.DataFrame(
-            {"q": np.empty(0, int), "doc": np.empty(0, int), "chunk": np.empty(0, int), "score": np.empty(0)}
-        )
+        # Per block of queries, so that a merge costs what the block holds.
+        none = {"q": np.empty(0, int), "doc": np.empty(0, int), "chunk": np.empty(0, int), "score": np.empty(0)}
+        self.rows = {start: pd.DataFrame(none) for start in range(0, max(1, len(ids)), _ROWS)}
 
     def _prepare(self, mat: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
@@ -75,28 +76,32 @@ class _Best:
         fresh = pd.DataFrame(
             {"q": q[near], "doc": doc[col], "chunk": chunk[col], "score": 1.0 / (1.0 + exact)}
         )
-        rows = pd.concat([self.rows, fresh], ignore_index=True)
+        rows = pd.concat([self.rows[start], fresh], ignore_index=True)
         order = np.lexsort((rows.chunk, rows.doc, -rows.score.round(SCORE_DIGITS), rows.q))
         rows = rows.iloc[order]
         place = rows.groupby("q").cumcount()
-        self.rows = rows[place < self.k]
-        full = self.rows[place[place < self.k] == self.k - 1]
+        self.rows[start] = rows[place < self.k]
+        full = rows[place == self.k - 1]
         self.reach[full.q] = 1.0 / full.score - 1.0
 
     def table(self) -> pd.DataFrame:
+        rows = pd.concat(self.rows.values(), ignore_index=True)
         return pd.DataFrame(
             {
-                "query_id": self.ids[self.rows.q].astype("int64"),
-                "doc_id": self.rows.doc.astype("int64").to_numpy(),
-                "chunk_index": self.rows.chunk.astype("int32").to_numpy(),
-                "score": self.rows.score.astype("float64").to_numpy(),
+                "query_id": self.ids[rows.q].astype("int64"),
+                "doc_id": rows.doc.astype("int64").to_numpy(),
+                "chunk_index": rows.chunk.astype("int32").to_numpy(),
+                "score": rows.score.astype("float64").to_numpy(),
             }
         )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``dim`` numbers; a row of another length is an error."""
+    other = column.filter(pc.not_equal(pc.list_value_length(column), dim))
+    if len(other):
+        raise ValueError(f"a vector has dimension {len(other[0])}, expected is {dim}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _sides(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +133,8 @@ def knn_topk(
 
     A query table counted to be small goes to every task of the vector scan, which
     keeps a running best k per query: the vectors are read once and not shuffled.
-    A larger one is met block by block. Both forms are exact.
+    A larger one is met block by block. Both forms are exact. Vectors of different
+    lengths are an error.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -137,16 +143,16 @@ def knn_topk(
     row_bytes = 8 * (first.dim if first else 1)
     limit = max(1, query_bytes // row_bytes)
     held = q.limit(limit + 1).count()
-    near = _knn_scan(q, v, k, metric) if held <= limit else _knn_blocks(q, v, k, metric, row_bytes, block_bytes)
+    near = _knn_scan(q, v, k, metric, first.dim if first else 1) if held <= limit else _knn_blocks(q, v, k, metric, row_bytes, block_bytes)
     return top_k(near, k)
 
 
-def _knn_scan(q: DataFrame, v: DataFrame, k: int, metric: str) -> DataFrame:
+def _knn_scan(q: DataFrame, v: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
     rows = q.toArrow()
     held = q.sparkSession.sparkContext.broadcast(
         (
             rows["query_id"].to_numpy(),
-            _matrix(rows["q_vec"].combine_chunks()) if rows.num_rows else np.empty((0, 1)),
+            _matrix(rows["q_vec"].combine_chunks(), dim) if rows.num_rows else np.empty((0, 1)),
             np.array(rows["q_scope"].to_pylist(), dtype=object),
         )
     )
@@ -159,7 +165,7 @@ def _knn_scan(q: DataFrame, v: DataFrame, k: int, metric: str) -> DataFrame:
                 best.add(
                     batch["doc_id"].to_numpy(),
                     batch["chunk_index"].to_numpy(),
-                    _matrix(batch["embedding"]),
+                    _matrix(batch["embedding"], dim),
                     np.array(batch["scope"].to_pylist(), dtype=object),
                 )
         yield pa.RecordBatch.from_pandas(best.table(), preserve_index=False)

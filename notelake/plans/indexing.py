@@ -79,11 +79,19 @@ def _write_version(
     dimension: int | None,
     deletes: DataFrame | None,
     shards: int | None,
+    known: DataFrame | None = None,
 ) -> None:
-    """Write the tables one after the other, each from the one before, then commit."""
+    """Write the tables one after the other, each from the one before, then commit.
+
+    ``known``: documents of earlier versions, whose keys must not be those of other paths.
+    """
     tables = ["docs", "chunks", "postings", "positions", "lengths"]
-    known = [c for c in DOC_COLS if c in docs.columns]
-    write_table(docs.select(*known), root, "docs", version)
+    columns = [c for c in DOC_COLS if c in docs.columns]
+    written = write_table(docs.select(*columns), root, "docs", version).select("doc_id", "doc_path")
+    if known is not None:
+        fresh = broadcast_if_small(written.select("doc_id"))
+        written = written.unionAll(known.select("doc_id", "doc_path").join(fresh, "doc_id", "left_semi"))
+    check_keys(written)
     chunks = write_table(chunk_notes(docs, params=params).select(*CHUNK_COLS), root, "chunks", version)
     rows = lexical_rows(chunks)
     write_table(build_postings(rows, shards), root, "postings", version)
@@ -91,8 +99,12 @@ def _write_version(
     write_table(chunk_lengths(rows), root, "lengths", version)
     if embedder is not None:
         vectors = write_table(embed_chunks(chunks, embedder), root, "vectors", version)
+        given = vectors.filter("embedding IS NOT NULL")
+        if dimension is None:
+            first = given.select(F.size("embedding").alias("n")).first()
+            dimension = first.n if first else None
         if dimension is not None:
-            check_dimension(vectors.filter("embedding IS NOT NULL"), dimension)
+            check_dimension(given, dimension)
         tables.append("vectors")
     if deletes is not None:
         write_table(deletes, root, "deletes", version)
@@ -100,6 +112,14 @@ def _write_version(
     commit(spark, root, version, kind, tables, dimension)
 
 
+def check_keys(docs: DataFrame) -> None:
+    """Raise when two paths have the same ``doc_id``, which would merge their rows."""
+    paths = docs.groupBy("doc_id").agg(F.min("doc_path").alias("one"), F.max("doc_path").alias("other"))
+    both = paths.filter("one <> other").first()
+    if both is not None:
+        raise ValueError(f"{both.one} and {both.other} have the same doc_id {both.doc_id}")
+
+
 def build_index(
     notes: DataFrame,
     root: str,
@@ -166,7 +186,7 @@ def update_index(
     )
     docs = prepare_docs(fresh, namespaces)
     _write_version(
-        spark, root, version, "delta", docs, params, embedder, index.dimension, deletes, shards
+        spark, root, version, "delta", docs, params, embedder, index.dimension, deletes, shards, index.docs
     )
     return changes
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime
 
@@ -11,14 +12,20 @@ from pyspark.sql import functions as F
 from notelake.functions.markdown import normal_path, parse_notes
 from notelake.functions.paths import first_folder
 from notelake.functions.text import trim_ws
+from notelake.operators.sizing import broadcast_if_small
 from notelake.params import VAULT_FOLDERS
 
+#: Changed files that are named to the reader one by one; a longer list is joined with the whole folder.
+MAX_NAMED_FILES = 10_000
+
+
+def _base(root: str) -> str:
+    return root.rstrip("/").split("://")[-1].removeprefix("file:")
+
 
 def _relative(path, root: str):
-    """Path below ``root``; file URIs and plain paths are both understood."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return normal_path(F.substring_index(plain, f"{base}/", -1))
+    """Path below ``root``; the reader gives unescaped file URIs."""
+    return normal_path(F.substring_index(path, f"{_base(root)}/", -1))
 
 
 def list_notes(spark: SparkSession, root: str, folders: Iterable[str] | None = VAULT_FOLDERS) -> DataFrame:
@@ -40,9 +47,32 @@ def read_notes(
 
     With ``modified_since`` older files are listed but not read.
     """
-    return _files(spark, root, folders, modified_since).select(
-        "path", "file_size", "mtime_ms", F.decode("content", "UTF-8").alias("content")
-    )
+    return _texts(_files(spark, root, folders, modified_since))
+
+
+def read_changed_notes(
+    spark: SparkSession,
+    root: str,
+    changed: DataFrame,
+    folders: Iterable[str] | None = VAULT_FOLDERS,
+    limit: int = MAX_NAMED_FILES,
+) -> DataFrame:
+    """The notes of ``changed`` (``path`` below ``root``), as from ``read_notes``; missing files have no row.
+
+    The folder is listed without contents; then only the changed files are opened. A
+    list of more than ``limit`` existing files is joined with the whole folder instead.
+    """
+    paths = broadcast_if_small(changed.select("path").distinct())
+    folders = None if folders is None else list(folders)
+    listed = _load(spark, root).select(F.col("path").alias("file"), _relative(F.col("path"), root).alias("path"))
+    found = [r.file for r in listed.join(paths, "path", "left_semi").limit(limit + 1).collect()]
+    if len(found) > limit:
+        return read_notes(spark, root, folders).join(paths, "path", "left_semi")
+    # The reader takes names as patterns, so pattern characters are escaped.
+    named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", file) for file in found]
+    if not named:
+        return read_notes(spark, root, folders).limit(0)
+    return _texts(_columns(spark.read.format("binaryFile").load(named), root, folders))
 
 
 def _files(
@@ -51,21 +81,26 @@ def _files(
     folders: Iterable[str] | None,
     modified_since: datetime | None = None,
 ) -> DataFrame:
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.md")
-        .option("recursiveFileLookup", True)
-        .load(root)
-    )
+    listed = _load(spark, root)
     if modified_since is not None:
         listed = listed.filter(F.col("modificationTime") >= F.lit(modified_since))
-    files = (
-        listed.select(
-            _relative(F.col("path"), root).alias("path"),
-            F.col("length").alias("file_size"),
-            F.unix_millis("modificationTime").alias("mtime_ms"),
-            "content",
-        )
+    return _columns(listed, root, folders)
+
+
+def _load(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    return files.select("path", "file_size", "mtime_ms", F.decode("content", "UTF-8").alias("content"))
+
+
+def _columns(listed: DataFrame, root: str, folders: Iterable[str] | None) -> DataFrame:
+    files = listed.select(
+        _relative(F.col("path"), root).alias("path"),
+        F.col("length").alias("file_size"),
+        F.unix_millis("modificationTime").alias("mtime_ms"),
+        "content",
     )
     if folders is None:
         return files
@@ -85,20 +120,23 @@ def catalogue(notes: DataFrame) -> DataFrame:
     )
 
 
-def clean_paths(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Distinct trimmed non-empty paths of a change list."""
+def clean_paths(lines: DataFrame, column: str = "value", root: str | None = None) -> DataFrame:
+    """Distinct trimmed non-empty paths of a change list; with ``root`` absolute paths below it are cut to relative ones."""
     path = normal_path(trim_ws(F.col(column)))
+    if root is not None:
+        above = f"{_base(root)}/"
+        path = F.when(path.startswith(above), F.substr(path, F.lit(len(above) + 1))).otherwise(path)
     return lines.select(path.alias("path")).filter("path <> ''").distinct()
 
 
-def read_dirty_paths(spark: SparkSession, path: str) -> DataFrame:
+def read_dirty_paths(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """Changed paths from text files; a missing file or directory is an empty list."""
     lines = (
         spark.read.format("text").option("ignoreMissingFiles", True).load(path)
         if _exists(spark, path)
         else spark.createDataFrame([], "value string")
     )
-    return clean_paths(lines)
+    return clean_paths(lines, root=root)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

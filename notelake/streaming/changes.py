@@ -16,6 +16,7 @@ from notelake.functions.text import trim_ws
 from notelake.operators.sessions import upsert_sessions
 from notelake.operators.transcripts import capture
 from notelake.plans.indexing import update_index
+from notelake.sources.notes import clean_paths, read_changed_notes
 
 
 def changed_paths(lines: DataFrame, suffix: str = ".md", column: str = "value") -> DataFrame:
@@ -43,7 +44,7 @@ def run_batches(
 
 def stream_index_updates(
     dirty_lines: DataFrame,
-    read_notes: Callable[[SparkSession], DataFrame],
+    notes: Callable[[SparkSession], DataFrame] | str,
     root: str,
     checkpoint: str,
     audit_path: str | None = None,
@@ -51,6 +52,8 @@ def stream_index_updates(
 ) -> StreamingQuery:
     """Incremental index build for every batch of changed paths.
 
+    ``notes`` is the note folder, of which only the changed files are opened, or a
+    function that gives all notes. Paths below the folder may be absolute.
     A repeated batch finds equal hashes and writes an empty version, so a
     restart does no harm. With ``audit_path`` the applied changes are kept.
     """
@@ -60,7 +63,11 @@ def stream_index_updates(
         paths = distinct_changes(batch)
         if paths.isEmpty():
             return
-        changes = update_index(read_notes(spark), paths, root, **options)
+        if isinstance(notes, str):
+            paths = clean_paths(paths, "path", notes)
+            changes = update_index(read_changed_notes(spark, notes, paths, None), paths, root, **options)
+        else:
+            changes = update_index(notes(spark), paths, root, **options)
         if audit_path is not None:
             write_audit(changes, audit_path, batch_id)
 
@@ -107,7 +114,10 @@ def stream_session_capture(
 
 
 def live_session_totals(turn_stream: DataFrame, event_time: str = "at", delay: str = "1 hour") -> DataFrame:
-    """Running totals per session of a turn stream ``session_id, role, at``."""
+    """Running totals per session of a turn stream ``session_id, role, at``.
+
+    A session may go on at any time, so its three totals are kept for good; late turns count too.
+    """
     return (
         turn_stream.withWatermark(event_time, delay)
         .groupBy("session_id")

@@ -273,7 +273,7 @@ def submodules(spark, sf):
 @query(
     "submodule_warnings",
     """
-SELECT repo, path, 'Submodule "' || path || '" is not initialized. Run: git submodule init ' || path AS warning
+SELECT repo, path, 'declared submodule ' || path || ' has no directory; fetch it with git submodule update --init ' || path AS warning
 FROM (SELECT DISTINCT source AS repo, path FROM documents, (VALUES ('es'), ('it'), ('fr')) v(path))
 WHERE (repo, path) NOT IN (SELECT (source, lang) FROM documents)""",
 )
