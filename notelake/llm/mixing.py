@@ -1,8 +1,9 @@
 """Mixing to target weights with soft domain membership.
 
 A logistic classifier learned from labelled rows gives every document a posterior over the domains, from the mean
-score of its words that the sample holds in two documents or more. Document rates r then minimise the squared distance between the expected domain
-tokens, sum of r * tokens * posterior, and their targets, by projected gradient: steps along the posterior add up and are
+score of those of its words that two or more documents of the sample hold. Document rates r then minimise the squared
+distance between the expected domain tokens, sum of r * tokens * posterior, and their targets, by projected gradient:
+steps along the posterior add up and are
 projected onto the bound. One grouped pass over the documents sums their tokens by rounded posterior; each step
 is one aggregation of that table, and only the totals of the domains reach the driver. The gradient is scaled by
 the inverse of the cross moments of the rows that are not at the bound, and halved where it overshoots, so few
