@@ -5,9 +5,8 @@ every pair of blocks is a join key of about 64 / (radius + 2) * 2 bits. A key th
 ``crowd`` different fingerprints share is not paired: its fingerprints meet on their one-bit variants
 instead, which link exactly the pairs within two bits and make a bounded number of rows each.
 
-Looser likeness (``near_copies``) uses longer fingerprints. The shingles are dealt by hash over lanes,
-a few shingles to a lane; near copies leave many lanes untouched, which makes a lane a pigeonhole block
-of the long fingerprint. Pairs that share a lane are verified by the Hamming distance of their SimHashes.
+Looser likeness (``near_copies``) is that of the shingle sets themselves. In one order of all shingles, rare
+ones first, two like sets share one of their first shingles; pairs that do are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -18,13 +17,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import mixed, owner, raw_texts, slices, stored, text_of
+from notelake.llm.common import WordHashes, hashed_words, mixed, owner, raw_texts, slices, stored, sums_by_text, text_of, window_hashes
 from notelake.llm.graph import components
 
-SEED = 42
+SEED, BASE = 42, 0x9E3779B97F4A7C15
+#: Hash buckets of shingle counts and of picked texts, and the parts that counts are added in.
+BUCKETS, PARTS = 1 << 20, 256
 
 
 def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,72 +112,129 @@ def simhash_components(docs: DataFrame, *, k: int = 3, radius: int = 2, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def lanes(docs: DataFrame, k: int, per_lane: int) -> DataFrame:
-    """doc_id, fp and the array of lane keys: hash of the set of shingles that one lane holds.
+def shingle_sets(texts: list[bytes], k: int, table: WordHashes, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of the runs of k lower-cased words (of all words, if fewer) of each text, and their text.
 
-    The number of lanes is a power of two near (different shingles) / per_lane. A text just above a
-    power also gives the lanes of the next lower number, so that texts of like size meet.
+    The hashes of a text are ordered by the rank of their bucket, then by value.
+    """
+    words = [text.lower().split() for text in texts]
+    hashed, starts = hashed_words([x + [b" "] * (k - len(x)) if 0 < len(x) < k else x for x in words], table)
+    hashes, own = window_hashes(hashed, k, BASE), owner(starts)
+    inside = own[: len(hashes)] == own[k - 1 :]
+    hashes, own = hashes[inside], own[: len(hashes)][inside]
+    order = np.lexsort((hashes, own)) if ranks is None else np.lexsort((hashes, ranks[bucket(hashes)], own))
+    hashes, own = hashes[order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], own[new]
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
+    """How frequent the shingles of each of 2**20 hash buckets are, as eighths of a power of two.
+
+    Any order of the shingles finds the same pairs; this one keeps passages of many texts out of the keys.
+    """
+    width = BUCKETS // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, table = np.zeros(BUCKETS, np.int64), WordHashes()
+        for batch in slices(batches):
+            total += np.bincount(bucket(shingle_sets(raw_texts(batch), k, table)[0]), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(PARTS, width)])], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+        rank = [np.minimum(8 * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rank, pa.binary())], ["part", "ranks"])
+
+    out = np.zeros((PARTS, width), np.uint8)
+    made = texts.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, ranks binary")
+    for row in made.collect():  # PARTS rows
+        out[row["part"]] = np.frombuffer(bytes(row["ranks"]), np.uint8)
+    return out.reshape(-1)
+
+
+def shingle_prefixes(texts: DataFrame, k: int, similarity: float, ranks: np.ndarray) -> DataFrame:
+    """doc_id, fp (hash of the text's shingle set, zero if empty), n (its size), keys (its first shingles).
+
+    Two sets of likeness s share at least s * n of the n shingles of either, so one of the first
+    n - ceil(s * n) + 1 shingles of both, in any order that is the same for all texts.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for batch in slices(batches):
-            hashes, starts = shingle_hashes(raw_texts(batch), k)
-            bits, own = simhashes(hashes, starts), owner(starts)
-            spread = mixed(hashes)
-            order = np.lexsort((spread, own))
-            own, spread = own[order], spread[order]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (spread[1:] != spread[:-1])
-            own, spread = own[new], spread[new]
-            n = np.bincount(own, minlength=len(bits))
-            size = np.log2(np.maximum(n / per_lane, 1))
-            keys, of = [], []
-            for low in (False, True):
-                power = np.maximum(np.floor(size) - low, 0).astype(np.int64)
-                use = np.ones(len(n), bool) if not low else (size >= 1) & (size - np.floor(size) < 0.35)
-                at = use[own]
-                o, s, p = own[at], spread[at], power[own[at]].astype(np.uint64)
-                lane = s & ((np.uint64(1) << p) - np.uint64(1))
-                place = (o.astype(np.uint64) << np.uint64(32)) | lane
-                place, where = np.unique(place, return_inverse=True)
-                total = np.zeros(len(place), np.uint64)
-                np.add.at(total, where, mixed(s + np.uint64(SEED)))
-                level = power[(place >> np.uint64(32)).astype(np.int64)].astype(np.uint64)
-                keys.append(mixed(total ^ mixed((place & np.uint64(0xFFFFFFFF)) + (level << np.uint64(40)) + np.uint64(1))))
-                of.append((place >> np.uint64(32)).astype(np.int64))
-            keys, of = np.concatenate(keys), np.concatenate(of)
-            order = np.argsort(of, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64)), lists], ["doc_id", "fp", "lanes"])
-
-    return docs.mapInArrow(make, "doc_id long, fp long, lanes array<long>")
-
-
-def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, per_lane: int = 6, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of documents whose k-word shingle SimHashes agree to ``similarity`` or more of their bits.
-
-    Copies and texts with equal fingerprints are one class, found without links. Different fingerprints
-    meet on lanes; all pairs of a lane are verified up to ``crowd`` fingerprints, beyond that in rounds
-    against one leader at a time until no member is left, so nothing is dropped and no lane is paired
-    with itself. Null and empty texts have no shingle, share fingerprint zero and are one class.
+            hashes, own = shingle_sets(raw_texts(batch), k, table, ranks)
+            n = np.bincount(own, minlength=batch.num_rows)
+            starts = np.concatenate([[0], np.cumsum(n)])
+            fp = mixed(sums_by_text(mixed(hashes + np.uint64(SEED)), starts) + n.astype(np.uint64))
+            first = np.where(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            keys = hashes[np.arange(len(own)) - starts[own] < first[own]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists], ["doc_id", "fp", "n", "keys"])
+
+    return texts.mapInArrow(make, "doc_id long, fp long, n int, keys array<long>")
+
+
+def met_pairs(left: DataFrame, right: DataFrame, similarity: float, use: Column) -> DataFrame:
+    """Pairs (a, b) of fingerprints that share a key whose places leave room for the likeness."""
+    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{side}") for c in x.columns if c != "key")) for x, side in ((left, "a"), (right, "b")))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = room >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return a.join(b, "key").where(use & fits).select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, prints: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard likeness of ``similarity`` or more.
+
+    Sets are made again, for one text of a fingerprint. The texts are picked by a bit map of fixed size
+    over their ids, the join on the fingerprints does the rest.
+    """
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wanted")
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(BUCKETS - 1)).alias("slot")
+    one = prints.select("doc_id", "fp").join(wanted, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    picked = np.zeros(BUCKETS, bool)
+    picked[one.select(slot).distinct().toArrow().column("slot").to_numpy()] = True  # at most BUCKETS rows
+    held = np.packbits(picked)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, use = WordHashes(), np.unpackbits(held).astype(bool)
+        for batch in batches:
+            for some in slices([batch.filter(pa.array(use[batch.column("slot").to_numpy()]))]):
+                hashes, own = shingle_sets(raw_texts(some), k, table)
+                n = np.bincount(own, minlength=some.num_rows)
+                starts = np.concatenate([[0], np.cumsum(n)])
+                fp = mixed(sums_by_text(mixed(hashes + np.uint64(SEED)), starts) + n.astype(np.uint64))
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), lists], ["fp", "set"])
+
+    sets = texts.select("text", slot).mapInArrow(make, "fp long, set array<long>")
+    sets = stored(sets.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return stored(both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-6).select("a", "b"), "alike")
+
+
+def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of documents whose sets of k-word shingles have a Jaccard likeness of ``similarity`` or more.
+
+    Equal sets are one class (``fp`` is their hash), found without links. Different sets meet on the first
+    shingles of either, and every pair that meets is checked on the sets, so the components are
+    those of all pairs. Null and empty texts have no shingle, share fingerprint zero and are one class.
     """
-    most = int(64 * (1 - similarity) + 1e-9)
-    prints = stored(lanes(text_of(docs, id_col=id_col, text_col=text_col), k, per_lane), "lanes")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    dealt = prints.select("fp", F.explode("lanes").alias("lane")).distinct()
-    held = dealt.groupBy("lane").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(dealt.join(held, "lane"), "shared")
-    few = shared.where(F.col("n") <= crowd).select("lane", "fp")
-    links = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "lane").where((F.col("a") > F.col("b")) & near).select("a", "b").distinct()
-    rest = shared.where(F.col("n") > crowd).select("lane", F.col("fp").alias("a"))
-    while not rest.isEmpty():
-        # The leader differs from lane to lane: the least by a hash of lane and fingerprint.
-        leader = rest.groupBy("lane").agg(F.min_by("a", F.xxhash64("lane", "a")).alias("b"))
-        met = stored(rest.join(leader, "lane"), "met")
-        links = links.union(met.where((F.col("a") != F.col("b")) & near).select("a", "b"))
-        rest = met.where(~near).select("lane", "a")
-    return with_components(prints.select("doc_id", "fp"), links)
+    texts = text_of(docs, id_col=id_col, text_col=text_col)
+    prints = stored(shingle_prefixes(texts, k, similarity, shingle_ranks(texts, k)), "prints")
+    dealt = prints.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("keys").alias("at", "key"))
+    pairs = met_pairs(dealt, dealt, similarity, F.col("fp_a") > F.col("fp_b"))
+    return with_components(prints.select("doc_id", "fp"), alike(pairs, texts, prints, k, similarity))
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,36 @@ def test_near_copies_edge_cases(spark):
     kept = Counter(r["doc_id"] for r in one_of_each(cases.frame(spark)).collect())
     assert kept[None] == 2 and kept[0] == 2 and kept[1] == kept[2] == 0
     assert one_of_each(cases.frame(spark, [])).collect() == []
+
+
+def shingle_set(text, k=5):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def components_of(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    return roots(range(len(texts)), lambda a, b: likeness(sets[a], sets[b]) >= similarity - 1e-12)
+
+
+def found_components(spark, texts, **options):
+    made = near_copies(cases.frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)]), **options)
+    return {r["doc_id"]: r["component_id"] for r in made.collect()}
+
+
+def test_near_copies_of_short_texts_all_meet(spark):
+    rng, texts, close = random.Random(11), [], 0
+    words = [f"w{i}" for i in range(3000)]
+    while close < 120:  # pairs at 0.80 to 0.90 by one to four replaced words
+        base = [rng.choice(words) for _ in range(rng.randint(9, 200))]
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.choice([-1, rng.randrange(len(copy))])] = rng.choice(words)
+        if 0.8 <= likeness(shingle_set(" ".join(base)), shingle_set(" ".join(copy))) <= 0.9:
+            texts += [" ".join(base), " ".join(copy)]
+            close += 1
+    assert found_components(spark, texts) == components_of(texts)
