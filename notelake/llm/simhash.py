@@ -223,18 +223,33 @@ def alike(pairs: DataFrame, texts: DataFrame, prints: DataFrame, k: int, similar
     return stored(both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-6).select("a", "b"), "alike")
 
 
-def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of documents whose sets of k-word shingles have a Jaccard likeness of ``similarity`` or more.
 
     Equal sets are one class (``fp`` is their hash), found without links. Different sets meet on the first
-    shingles of either, and every pair that meets is checked on the sets, so the components are
+    shingles of either, and every pair that meets is checked on the sets. A key of more than ``crowd`` sets
+    first links them to one leader; then only members of different components meet, those outside the key's
+    largest component with all others. Pairs left out are in one component already, so the components are
     those of all pairs. Null and empty texts have no shingle, share fingerprint zero and are one class.
     """
     texts = text_of(docs, id_col=id_col, text_col=text_col)
     prints = stored(shingle_prefixes(texts, k, similarity, shingle_ranks(texts, k)), "prints")
     dealt = prints.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("keys").alias("at", "key"))
-    pairs = met_pairs(dealt, dealt, similarity, F.col("fp_a") > F.col("fp_b"))
-    return with_components(prints.select("doc_id", "fp"), alike(pairs, texts, prints, k, similarity))
+    held = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(dealt.join(held, "key"), "shared")
+    few, many = (shared.where(x).drop("members") for x in (F.col("members") <= crowd, F.col("members") > crowd))
+    pairs = met_pairs(few, few, similarity, F.col("fp_a") > F.col("fp_b"))
+    if many.isEmpty():
+        return with_components(prints.select("doc_id", "fp"), alike(pairs, texts, prints, k, similarity))
+    least = many.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at"), "fp").alias("x")).select("key", "x.*")
+    links = alike(pairs.union(met_pairs(many, least, similarity, F.col("fp_a") > F.col("fp_b"))).distinct(), texts, prints, k, similarity)
+    nodes = components(links)
+    rooted = stored(many.join(nodes, many["fp"] == nodes["node"], "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root")), "rooted")
+    main = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    apart = stored(rooted.join(main, "key"), "apart")
+    use = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("fp_a") > F.col("fp_b")))
+    pairs = met_pairs(apart.where("root <> main"), apart, similarity, use)
+    return with_components(prints.select("doc_id", "fp"), links.union(alike(pairs, texts, prints, k, similarity)))
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -124,3 +124,21 @@ def test_near_copies_of_short_texts_all_meet(spark):
             texts += [" ".join(base), " ".join(copy)]
             close += 1
     assert found_components(spark, texts) == components_of(texts)
+
+
+def test_chained_edits_in_crowded_keys(spark):
+    rng, texts = random.Random(12), []
+    words = [f"w{i}" for i in range(3000)]
+    for length, copies in ((60, 90), (150, 60), (40, 70)):
+        chain = [[rng.choice(words) for _ in range(length)]]
+        while len(chain) < copies:  # each copy edits an earlier one, so the ends are far apart
+            w = list(rng.choice(chain[-4:]))
+            for _ in range(max(1, length // 60)):
+                w[rng.randrange(length)] = rng.choice(words)
+            chain.append(w)
+        texts += [" ".join(w) for w in chain]
+    rng.shuffle(texts)
+    want = components_of(texts)
+    assert 3 < len(set(want.values())) < len(texts) // 3
+    for crowd in (2, 8, 1000):
+        assert found_components(spark, texts, crowd=crowd) == want
