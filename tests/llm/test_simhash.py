@@ -142,3 +142,18 @@ def test_chained_edits_in_crowded_keys(spark):
     assert 3 < len(set(want.values())) < len(texts) // 3
     for crowd in (2, 8, 1000):
         assert found_components(spark, texts, crowd=crowd) == want
+
+
+def test_likeness_is_that_of_the_shingle_sets(spark):
+    rng, texts, above, below = random.Random(13), [], 0, 0
+    words = [f"w{i}" for i in range(3000)]
+    while min(above, below) < 100:  # just above and just below 0.8
+        base = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        copy = list(base)
+        for _ in range(rng.randint(1, 12)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        value = likeness(shingle_set(" ".join(base)), shingle_set(" ".join(copy)))
+        if 0.68 <= value < 0.8 and below < 100 or 0.8 <= value < 0.83 and above < 100:
+            texts += [" ".join(base), " ".join(copy)]
+            above, below = above + (value >= 0.8), below + (value < 0.8)
+    assert found_components(spark, texts) == components_of(texts)
