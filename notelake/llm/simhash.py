@@ -162,7 +162,7 @@ def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_prefixes(texts: DataFrame, k: int, similarity: float, ranks: np.ndarray) -> DataFrame:
-    """doc_id, fp (hash of the text's shingle set, zero if empty), n (its size), keys (its first shingles).
+    """doc_id, content, fp (hash of the text's shingle set, zero if empty), n (its size), keys (its first shingles).
 
     Two sets of likeness s share at least s * n of the n shingles of either, so one of the first
     n - ceil(s * n) + 1 shingles of both, in any order that is the same for all texts.
@@ -178,9 +178,9 @@ def shingle_prefixes(texts: DataFrame, k: int, similarity: float, ranks: np.ndar
             first = np.where(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
             keys = hashes[np.arange(len(own)) - starts[own] < first[own]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists], ["doc_id", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists], ["doc_id", "content", "fp", "n", "keys"])
 
-    return texts.mapInArrow(make, "doc_id long, fp long, n int, keys array<long>")
+    return texts.mapInArrow(make, "doc_id long, content long, fp long, n int, keys array<long>")
 
 
 def met_pairs(left: DataFrame, right: DataFrame, similarity: float, use: Column) -> DataFrame:
@@ -224,7 +224,7 @@ def alike(pairs: DataFrame, texts: DataFrame, prints: DataFrame, k: int, similar
 
 
 def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of documents whose sets of k-word shingles have a Jaccard likeness of ``similarity`` or more.
+    """doc_id, content (hash of the text), fp, component_id of documents whose sets of k-word shingles have a Jaccard likeness of ``similarity`` or more.
 
     Equal sets are one class (``fp`` is their hash), found without links. Different sets meet on the first
     shingles of either, and every pair that meets is checked on the sets. A key of more than ``crowd`` sets
@@ -232,7 +232,7 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
     largest component with all others. Pairs left out are in one component already, so the components are
     those of all pairs. Null and empty texts have no shingle, share fingerprint zero and are one class.
     """
-    texts = text_of(docs, id_col=id_col, text_col=text_col)
+    texts = text_of(docs, id_col=id_col, text_col=text_col).withColumn("content", F.xxhash64("text"))
     prints = stored(shingle_prefixes(texts, k, similarity, shingle_ranks(texts, k)), "prints")
     dealt = prints.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("keys").alias("at", "key"))
     held = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -240,7 +240,7 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
     few, many = (shared.where(x).drop("members") for x in (F.col("members") <= crowd, F.col("members") > crowd))
     pairs = met_pairs(few, few, similarity, F.col("fp_a") > F.col("fp_b"))
     if many.isEmpty():
-        return with_components(prints.select("doc_id", "fp"), alike(pairs, texts, prints, k, similarity))
+        return with_components(prints.select("doc_id", "content", "fp"), alike(pairs, texts, prints, k, similarity))
     least = many.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at"), "fp").alias("x")).select("key", "x.*")
     links = alike(pairs.union(met_pairs(many, least, similarity, F.col("fp_a") > F.col("fp_b"))).distinct(), texts, prints, k, similarity)
     nodes = components(links)
@@ -249,11 +249,18 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
     apart = stored(rooted.join(main, "key"), "apart")
     use = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("fp_a") > F.col("fp_b")))
     pairs = met_pairs(apart.where("root <> main"), apart, similarity, use)
-    return with_components(prints.select("doc_id", "fp"), links.union(alike(pairs, texts, prints, k, similarity)))
+    return with_components(prints.select("doc_id", "content", "fp"), links.union(alike(pairs, texts, prints, k, similarity)))
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; rows with a null id stay."""
-    found = near_copies(docs, k=k, similarity=similarity, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """One document of each component: the rows of the smallest id, and of its texts the one of the least hash.
+
+    Rows are told apart by id and text, so an id that is repeated with another text is judged for each text.
+    Repeated rows of the same id and text are one document: all of them stay or go. Rows with a null id stay.
+    """
+    found = stored(near_copies(docs, k=k, similarity=similarity, id_col=id_col, text_col=text_col), "found")
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("content").alias("first"))
+    other = found.join(first, "component_id").where((F.col("doc_id") != F.col("component_id")) | (F.col("content") != F.col("first")))
+    gone = other.select(F.col("doc_id").alias("_gone"), F.col("content").alias("_text_gone")).distinct()
+    content = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (content == F.col("_text_gone")), "left_anti")

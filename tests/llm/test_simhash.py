@@ -157,3 +157,14 @@ def test_likeness_is_that_of_the_shingle_sets(spark):
             texts += [" ".join(base), " ".join(copy)]
             above, below = above + (value >= 0.8), below + (value < 0.8)
     assert found_components(spark, texts) == components_of(texts)
+
+
+def test_repeated_ids_are_judged_by_text(spark):
+    rng = random.Random(14)
+    a, b, c, d = ([f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(4))
+    text, near = " ".join, lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, text(a)), (5, text(b)), (2, near(b)), (7, text(c)), (7, near(c)), (8, text(c)), (9, text(d)), (9, text(d))]
+    kept = Counter((r["doc_id"], r["text"]) for r in one_of_each(cases.frame(spark, [(*r, *[None] * 7) for r in rows])).collect())
+    assert kept[5, text(a)] == 1 and kept[5, text(b)] == 0 and kept[2, near(b)] == 1
+    assert kept[7, text(c)] + kept[7, near(c)] == 1 and kept[8, text(c)] == 0
+    assert kept[9, text(d)] == 2
