@@ -109,7 +109,7 @@ def proposed(docs: DataFrame, text: str) -> DataFrame:
     t = F.col(text)
     number, at = t.rlike("[0-9].{0,5}[0-9]"), t.rlike("@|\\(at\\)|\\[at\\]")
     use = {"email": at, "ip": number, "card": number, "phone": number}
-    made = docs.select("*", *(found(t, BASE[k], use[k]).alias(f"_b{i}") for i, k in enumerate(KINDS)), *(found(t, p, use[k]).alias(f"_l{i}") for i, (k, p) in enumerate(LOOSE)))
+    made = docs.select("*", *(found(t, BASE[k], t.rlike("\\+[0-9]") if k == "phone" else use[k]).alias(f"_b{i}") for i, k in enumerate(KINDS)), *(found(t, p, use[k]).alias(f"_l{i}") for i, (k, p) in enumerate(LOOSE)))
 
     def valid(i: int, kind: str) -> Column:
         kept = F.filter(F.col(f"_b{i}"), lambda x: VALID[kind](x["match"]))

@@ -84,3 +84,9 @@ def test_trees_learn_counts():
     limits = thresholds(counts, trees, 0.9)
     assert score[1] < limits[0] <= score[0] and limits[1] == float("inf") and len(FEATURES) == 15
     assert boosted([]) == []
+
+
+def test_phones_with_far_digits_are_base_spans(spark):
+    rows = [(i, "call +" + gap.join("1234567890") + " now", *[None] * 7) for i, gap in enumerate(("......", " " * 9, "-" * 7, "(.) -.", "-"))]
+    made = {r["doc_id"]: r["b"] for r in find_personal_data(cases.frame(spark, rows)).select("doc_id", listed(F.col("base")).alias("b")).collect()}
+    assert made == {i: ",".join(base(t)) for i, t, *_ in rows} and all(x.startswith("phone:5:") for x in made.values())
