@@ -26,6 +26,10 @@ from notelake.llm.graph import components
 SEED, BASE = 42, 0x9E3779B97F4A7C15
 #: Hash buckets of shingle counts and of picked texts, and the parts that counts are added in.
 BUCKETS, PARTS = 1 << 20, 256
+#: Bits that bound from below how much two shingle sets differ.
+PARITY = 512
+#: Leaders of a crowded key, each the least of one part of its sets.
+LEADERS = 16
 
 
 def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +166,10 @@ def shingle_ranks(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_prefixes(texts: DataFrame, k: int, similarity: float, ranks: np.ndarray) -> DataFrame:
-    """doc_id, content, fp (hash of the text's shingle set, zero if empty), n (its size), keys (its first shingles).
+    """doc_id, content, fp (hash of the text's shingle set, zero if empty), n (its size), keys (its first shingles), parity.
+
+    Bit i of ``parity`` says whether an odd number of the shingles fall on i; where two texts differ in
+    x bits, at least x shingles are in one of the sets only.
 
     Two sets of likeness s share at least s * n of the n shingles of either, so one of the first
     n - ceil(s * n) + 1 shingles of both, in any order that is the same for all texts.
@@ -178,9 +185,12 @@ def shingle_prefixes(texts: DataFrame, k: int, similarity: float, ranks: np.ndar
             first = np.where(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
             keys = hashes[np.arange(len(own)) - starts[own] < first[own]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists], ["doc_id", "content", "fp", "n", "keys"])
+            place = own * PARITY + (hashes % np.uint64(PARITY)).astype(np.int64)
+            odd = np.packbits((np.bincount(place, minlength=batch.num_rows * PARITY) & 1).astype(np.uint8)).view(np.int64)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (PARITY // 64)), pa.array(odd))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists, parity], ["doc_id", "content", "fp", "n", "keys", "parity"])
 
-    return texts.mapInArrow(make, "doc_id long, content long, fp long, n int, keys array<long>")
+    return texts.mapInArrow(make, "doc_id long, content long, fp long, n int, keys array<long>, parity array<long>")
 
 
 def met_pairs(left: DataFrame, right: DataFrame, similarity: float, use: Column) -> DataFrame:
@@ -228,8 +238,8 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
 
     Equal sets are one class (``fp`` is their hash), found without links. Different sets meet on the first
     shingles of either, and every pair that meets is checked on the sets. A key of more than ``crowd`` sets
-    first links them to one leader; then only members of different components meet, those outside the key's
-    largest component with all others. Pairs left out are in one component already, so the components are
+    first links them to a few leaders, in three rounds; then members of different components meet, those
+    outside the key's largest component with all others, unless their parities show that they differ too much. Pairs left out are in one component already, so the components are
     those of all pairs. Null and empty texts have no shingle, share fingerprint zero and are one class.
     """
     texts = text_of(docs, id_col=id_col, text_col=text_col).withColumn("content", F.xxhash64("text"))
@@ -241,15 +251,31 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
     pairs = met_pairs(few, few, similarity, F.col("fp_a") > F.col("fp_b"))
     if many.isEmpty():
         return with_components(prints.select("doc_id", "content", "fp"), alike(pairs, texts, prints, k, similarity))
-    least = many.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at"), "fp").alias("x")).select("key", "x.*")
-    links = alike(pairs.union(met_pairs(many, least, similarity, F.col("fp_a") > F.col("fp_b"))).distinct(), texts, prints, k, similarity)
-    nodes = components(links)
-    rooted = stored(many.join(nodes, many["fp"] == nodes["node"], "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root")), "rooted")
-    main = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    apart = stored(rooted.join(main, "key"), "apart")
-    use = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("fp_a") > F.col("fp_b")))
-    pairs = met_pairs(apart.where("root <> main"), apart, similarity, use)
-    return with_components(prints.select("doc_id", "content", "fp"), links.union(alike(pairs, texts, prints, k, similarity)))
+    words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]
+    parities = prints.join(many.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", *words)
+    many = stored(many.join(parities, "fp"), "many")
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(len(words))), F.lit(0))
+    close = differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+
+    def leaders(members: DataFrame, salt: int) -> DataFrame:
+        order, rest = F.xxhash64("fp", F.lit(salt)), [c for c in members.columns if c != "key"]
+        least = members.groupBy("key", F.pmod(order, F.lit(LEADERS)).alias("place")).agg(F.min_by(F.struct(*rest), order).alias("x"))
+        return least.select("key", "x.*")
+
+    pairs = pairs.union(met_pairs(many, leaders(many, 0), similarity, (F.col("fp_a") != F.col("fp_b")) & close)).distinct()
+    links = alike(pairs, texts, prints, k, similarity)
+    for salt in (1, 2, None):
+        nodes = components(links)
+        rooted = stored(many.join(nodes, many["fp"] == nodes["node"], "left").select(*many.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+        main = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        apart = stored(rooted.join(main, "key"), "apart")
+        other = (F.col("root_a") != F.col("root_b")) & close
+        if salt is None:
+            pairs = met_pairs(apart.where("root <> main"), apart, similarity, other & ((F.col("root_b") == F.col("main_b")) | (F.col("fp_a") > F.col("fp_b"))))
+        else:
+            pairs = met_pairs(apart.where("root <> main"), leaders(apart, salt), similarity, other)
+        links = links.union(alike(pairs, texts, prints, k, similarity))
+    return with_components(prints.select("doc_id", "content", "fp"), links)
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
