@@ -19,6 +19,8 @@ from notelake.llm.common import CACHE_WORDS
 
 BITS = 17
 START, END = "^", "$"
+#: Letters of one chain position, and how far the next one begins in a longer run of letters.
+LETTERS, STRIDE = 40, 32
 
 
 def core(word: bytes) -> str:
@@ -27,11 +29,23 @@ def core(word: bytes) -> str:
     return text if text.isalpha() else "".join(filter(str.isalpha, text))
 
 
+def pieces(word: bytes) -> list[str]:
+    """Letters of the chain positions of a word: one, if it has at most LETTERS of them.
+
+    Longer words are split into their runs of letters, and runs into overlapping pieces, so every letter is in one.
+    """
+    text = core(word)
+    if len(text) <= LETTERS:
+        return [text]
+    runs = "".join(c if c.isalpha() else " " for c in word.decode("utf-8", "replace").lower()).split()
+    return [run[i : i + LETTERS] for run in runs for i in range(0, max(1, len(run) - LETTERS + STRIDE), STRIDE)]
+
+
 def feature_ids(text: str) -> list[int]:
-    """Hashed features of a word's letters; none for a word without letters."""
+    """Hashed features of a run of letters; none for an empty one."""
     if not text:
         return []
-    whole = START + text[:40] + END
+    whole = START + text + END
     parts = [whole, *(whole[:i] for i in range(2, min(7, len(whole)))), *(whole[-i:] for i in range(2, min(6, len(whole)))), *(whole[i : i + 3] for i in range(1, len(whole) - 3))]
     crc = zlib.crc32
     mask = (1 << BITS) - 1
@@ -39,7 +53,10 @@ def feature_ids(text: str) -> list[int]:
 
 
 class Emissions(dict):
-    """Word to the row of its emission scores. Row 0 is for words without letters and is zero."""
+    """Word to the row of its emission scores, or to a negative number if it takes several chain positions.
+
+    Row 0 is for words without letters and is zero.
+    """
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
@@ -47,27 +64,43 @@ class Emissions(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows, self.waiting = np.zeros((1, self.weights.shape[1]), np.float32), []
+        self.rows, self.waiting, self.long = np.zeros((1, self.weights.shape[1]), np.float32), [], []
 
-    def __missing__(self, word: bytes) -> int:
-        ids = feature_ids(core(word))
+    def row(self, letters: str) -> int:
+        ids = feature_ids(letters)
         if ids:
             self.waiting.append(ids)
-        row = self[word] = len(self.rows) + len(self.waiting) - 1 if ids else 0
-        return row
+        return len(self.rows) + len(self.waiting) - 1 if ids else 0
 
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Row of every word, and where each text begins; ``rows`` then holds the scores."""
+    def __missing__(self, word: bytes) -> int:
+        rows = [self.row(x) for x in pieces(word)]
+        if len(rows) > 1:
+            self.long.append(rows)
+        found = self[word] = rows[0] if len(rows) == 1 else -len(self.long)
+        return found
+
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and word of every chain position, and where each text begins; ``rows`` then holds the scores."""
         if len(self) >= CACHE_WORDS:
             self.reset()
         starts = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(starts[-1]))
+        word = np.arange(len(at))
+        several = np.flatnonzero(at < 0)
+        if len(several):
+            rows = [self.long[-i - 1] for i in at[several]]
+            sizes = np.ones(len(at), np.int64)
+            sizes[several] = [len(x) for x in rows]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            word, starts = np.repeat(word, sizes), ends[starts]
+            at = at[word]
+            at[at < 0] = np.concatenate(rows)
         if self.waiting:
             sizes = np.array([len(x) for x in self.waiting])
             flat = np.fromiter(chain.from_iterable(self.waiting), np.int64, int(sizes.sum()))
             new = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
             self.rows, self.waiting = np.concatenate([self.rows, new]), []
-        return at, starts
+        return at, word, starts
 
 
 def posteriors(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, block: int = 256) -> np.ndarray:
@@ -118,22 +151,28 @@ def posteriors(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray,
 
 
 def train(words: list[list[bytes]], tags: list[np.ndarray], states: int, *, length: int = 32, batch: int = 192, epochs: int = 3, rate: float = 0.25, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and transition scores from tagged chains (cut to ``length`` words)."""
+    """Feature weights and transition scores from tagged words, in chains of ``length`` positions; the last is padded."""
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    flat = np.array(array("i", [vocabulary.setdefault(w, len(vocabulary)) for x in words for w in x]), np.int64)
-    tag = np.concatenate([np.zeros(0, np.int64), *tags]).astype(np.int64)
-    held, sizes = array("i"), np.zeros(len(vocabulary), np.int64)
-    for i, word in enumerate(vocabulary):
-        found = feature_ids(core(word))
+    vocabulary: dict[str, int] = {}
+    split: dict[bytes, list[int]] = {}
+    for w in chain.from_iterable(words):
+        if w not in split:
+            split[w] = [vocabulary.setdefault(x, len(vocabulary)) for x in pieces(w)]
+    of_words = [split[w] for w in chain.from_iterable(words)]
+    tag = np.repeat(np.concatenate([np.zeros(0, np.int64), *tags]).astype(np.int64), [len(x) for x in of_words])
+    flat = np.array(array("i", chain.from_iterable(of_words)), np.int64)
+    held, sizes = array("i"), np.zeros(max(1, len(vocabulary)), np.int64)
+    for i, letters in enumerate(vocabulary):
+        found = feature_ids(letters)
         held.extend(found)
         sizes[i] = len(found)
     begin, ids = np.concatenate([[0], np.cumsum(sizes)]), np.array(held, np.int32)
-    del vocabulary, held
+    del vocabulary, held, split, of_words
     weights, squares = np.zeros((1 << BITS, states), np.float32), np.full((1 << BITS, states), 1e-2, np.float32)
     trans, trans_sq = np.zeros((states, states)), np.full((states, states), 1e-2)
-    chains = len(flat) // length
-    flat, tag = flat[: chains * length].reshape(chains, length), tag[: chains * length].reshape(chains, length)
+    chains = -(-len(flat) // length)
+    valid = (np.arange(chains * length) < len(flat)).reshape(chains, length)
+    flat, tag = (np.concatenate([x, np.zeros(chains * length - len(x), np.int64)]).reshape(chains, length) for x in (flat, tag))
     for _ in range(epochs):
         order = rng.permutation(chains)
         for i in range(0, chains, batch):
@@ -151,15 +190,17 @@ def train(words: list[list[bytes]], tags: list[np.ndarray], states: int, *, leng
             for t in range(1, length):
                 a = (alpha[:, t - 1] @ step) * x[:, t]
                 alpha[:, t] = a / a.sum(axis=1, keepdims=True)
+            use = valid[rows]
             for t in range(length - 1, 0, -1):
                 b = (x[:, t] * beta[:, t]) @ step.T
-                beta[:, t - 1] = b / b.sum(axis=1, keepdims=True)
+                beta[:, t - 1] = np.where(use[:, t, None], b / b.sum(axis=1, keepdims=True), 1.0)
             p = alpha * beta
             p /= p.sum(axis=2, keepdims=True)
             pairs = alpha[:, :-1, :, None] * step * (x * beta)[:, 1:, None, :]
             pairs /= pairs.sum(axis=(2, 3), keepdims=True)
+            pairs *= use[:, 1:, None, None]
             y = tag[rows]
-            grad = np.eye(states)[y] - p
+            grad = (np.eye(states)[y] - p) * use[:, :, None]
             g_word = np.zeros((len(used), states))
             np.add.at(g_word, where.reshape(-1), grad.reshape(-1, states))
             g = np.zeros((1 << BITS, states), np.float32)
@@ -168,7 +209,7 @@ def train(words: list[list[bytes]], tags: list[np.ndarray], states: int, *, leng
             squares += g * g
             weights += rate * g / np.sqrt(squares)
             seen = np.zeros((states, states))
-            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+            np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), use[:, 1:].ravel())
             gt = (seen - pairs.sum(axis=(0, 1))) / len(rows) - 1e-4 * trans
             trans_sq += gt * gt
             trans += rate * gt / np.sqrt(trans_sq)

@@ -6,29 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.common import raw_texts, slices, sums_by_text, text_of
 from notelake.llm.crf import Emissions, posteriors, train
 
-#: Labelled documents per language that the field is trained on, at most; taken by a hash of the id.
-PER_LANGUAGE = 250
+#: Labelled documents per language that the field is trained on, at most; taken by a hash of the id. Characters of
+#: each that are learned from, and languages that are learned (those with most documents), at most.
+PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 250, 20_000, 500
 
 
 def labelled_texts(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of a bounded sample of the documents with text and language, the same at every run."""
-    from pyspark.sql import Window
+    """(text, lang) of a bounded sample of the documents with text and language, the same at every run.
 
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    order = F.xxhash64("doc_id"), F.col("doc_id")
+    At most MAX_LANGUAGES * per_language texts of SAMPLE_CHARS characters come to the driver, whatever ids repeat.
+    """
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
     # A first rank within salts bounds what meets in one task, however many documents a language has.
-    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64))).orderBy(*order)
-    few = known.withColumn("nr", F.row_number().over(salted)).where(F.col("nr") <= per_language)
-    few = few.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nr") <= per_language)
-    chosen = few.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("doc_id", "text", "lang").collect()
-    return [(r["text"] or "", r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))]
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(64))).orderBy("h")
+    few = known.select("lang", "h").withColumn("nr", F.row_number().over(salted)).where(F.col("nr") <= per_language)
+    few = few.withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nr") <= per_language)
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    chosen = few.join(F.broadcast(most), "lang").select("lang", "h").distinct()
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"]).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
 def switched(rows: list[tuple[str, str]], languages: list[str], *, seed: int = 2) -> tuple[list[list[bytes]], list[np.ndarray]]:
@@ -65,7 +67,7 @@ def detect(docs: DataFrame, languages: list[str], weights: np.ndarray, transitio
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(model.value[0])
         for batch in slices(batches, 2 << 20):
-            at, starts = emissions.of([x.split() for x in raw_texts(batch)])
+            at, word, starts = emissions.of([x.split() for x in raw_texts(batch)])
             p = posteriors(emissions.rows[at].astype(float), starts, model.value[1])
             p[at == 0] = 0
             total = sums_by_text(p, starts)
@@ -76,8 +78,11 @@ def detect(docs: DataFrame, languages: list[str], weights: np.ndarray, transitio
             lang = [languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             columns = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(known, share[np.arange(len(best)), best], 0.0)), pa.array(share.tolist(), pa.list_(pa.float64()))]
             if word_tags:
-                tag = [languages[b] if a and languages else "und" for a, b in zip(at, p.argmax(axis=1), strict=True)]
-                columns.append(pa.array([tag[a:b] for a, b in zip(starts, starts[1:], strict=False)], pa.list_(pa.string())))
+                first = np.flatnonzero(np.diff(word, prepend=-1))  # a long word is tagged as a whole, by the sum of its positions
+                whole = np.add.reduceat(p, first) if len(first) else p
+                tag = [languages[b] if any_ and languages else "und" for any_, b in zip(whole.sum(axis=1) > 0, whole.argmax(axis=1), strict=True)]
+                begin = np.searchsorted(first, starts)
+                columns.append(pa.array([tag[a:b] for a, b in zip(begin, begin[1:], strict=False)], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "shares", "word_tags"][: len(columns)])
 
     schema = "doc_id long, lang_pred string, score double, shares array<double>" + ", word_tags array<string>" * word_tags

@@ -3,8 +3,9 @@
 All expressions are DataFrame functions. Base spans follow fixed patterns and checks and always stay. Loose
 generators propose further spans of the same kinds; a proposal that overlaps a base span of its kind is a
 positive example. Examples are counted by their format and context features over the whole table (the
-features are yes or no, so there are few combinations), gradient-boosted trees are fitted to the counts,
-and a threshold per kind keeps the proposals whose measured precision is high enough.
+features are yes or no, so there are few combinations). Gradient-boosted trees are fitted to the counts of two
+thirds of the texts; on the others a threshold per kind is set where the precision stops to hold, group by group.
+Proposals have to pass the checks of their kind as well.
 """
 
 from __future__ import annotations
@@ -89,8 +90,9 @@ def features(kind: str, x: Column) -> dict[str, Column]:
         "digits_9": n >= 9, "digits_11": n >= 11, "digits_14": n >= 14, "digits_16": n >= 16,
         "luhn": luhn(number) if kind == "card" else F.lit(False),
         "octets": octets(x["match"]) if kind == "ip" else F.lit(False),
-        "short_end": x["match"].rlike("[.)\\]][A-Za-z]{2,6}$"),
-        "bracket": x["match"].contains("("),
+        "short_end": x["match"].rlike("[.)\\]]\\x20?[A-Za-z]{2,6}$"),
+        # A spelled-out separator of a mail address or an IP says nothing about the address.
+        "bracket": x["match"].contains("(") if kind == "phone" else F.lit(False),
         "word_before": x["before"].rlike("[\\p{L}\\p{N}_]$"),
         "word_after": x["after"].rlike("^[\\p{L}\\p{N}_]"),
         "cue": F.lower(x["before"]).rlike("(?:mail|tel|phone|call|fax|card|host|server|contact|ip)[^a-z]{0,4}$"),
@@ -126,7 +128,7 @@ def proposed(docs: DataFrame, text: str) -> DataFrame:
             for bit, value in enumerate(features(kind, x).values()):
                 bits = bits.bitwiseOR(F.when(value, F.lit(1 << bit)).otherwise(F.lit(0)))
             near = F.filter(F.col("_base"), lambda b: ~_apart(b, x))
-            return F.struct(x["start"].alias("start"), F.lit(nr).alias("kind"), x["end"].alias("end"), bits.alias("bits"), F.exists(near, lambda b: b["kind"] == nr).alias("known"), (F.size(near) == 0).alias("free"))
+            return F.struct(x["start"].alias("start"), F.lit(nr).alias("kind"), x["end"].alias("end"), bits.alias("bits"), F.exists(near, lambda b: b["kind"] == nr).alias("known"), ((F.size(near) == 0) & VALID[kind](x["match"])).alias("free"))
 
         return F.transform(F.col(f"_l{i}"), one)
 
@@ -169,16 +171,32 @@ def value(tree: Tree, bits: int) -> float:
     return tree
 
 
+#: Examples that a step of the threshold is judged by, at least, and those that the last one may have.
+STEP_ROWS, LAST_ROWS = 8, 3
+
+
 def thresholds(counts: list[tuple[int, int, int]], trees: list[Tree], precision: float) -> list[float]:
-    """For each kind the least score at and above which the counted precision holds; infinite if nowhere."""
+    """For each kind the least score at and above which the precision holds in every step; infinite if nowhere.
+
+    Scores are taken from the highest down, in steps of STEP_ROWS examples or more. The first step in which the
+    precision does not hold ends the search, however good the steps above it are.
+    """
     out = []
     for kind in range(len(KINDS)):
-        rows = sorted(((sum(value(t, b) for t in trees), n, k) for b, n, k in counts if b >> kind & 1), reverse=True)
+        groups: dict[float, list[int]] = {}
+        for b, n, k in counts:
+            if b >> kind & 1:
+                held = groups.setdefault(sum(value(t, b) for t in trees), [0, 0])
+                held[0], held[1] = held[0] + n, held[1] + k
+        rows = sorted(groups.items(), reverse=True)
         best, n, hits = math.inf, 0, 0
-        for i, (score, m, k) in enumerate(rows):
+        for i, (score_, (m, k)) in enumerate(rows):
             n, hits = n + m, hits + k
-            if (i + 1 == len(rows) or rows[i + 1][0] < score) and hits >= precision * n:
-                best = score - 1e-9
+            if n < STEP_ROWS and i + 1 < len(rows) or n < LAST_ROWS:
+                continue
+            if hits < precision * n:
+                break
+            best, n, hits = score_ - 1e-9, 0, 0
         out.append(best)
     return out
 
@@ -199,19 +217,23 @@ def find_personal_data(docs: DataFrame, *, precision: float = 0.9, text_col: str
     """docs with ``base`` and ``spans``: arrays of (start, kind, end, name) by start, then kind; ends are exclusive.
 
     Base spans are all in ``spans``; added ones overlap no base span. Null and empty texts have none. Columns
-    of the same names as the added ones are replaced. A kind without enough examples adds nothing.
+    of the same names as the added ones are replaced, all others keep their names. A kind without enough examples
+    adds nothing. Texts are dealt to fitting and calibration by a hash, so copies of a text are on one side.
     """
-    keep = [c for c in docs.columns if c not in ("base", "spans", "_base", "_loose", "_text")]
-    made = proposed(docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_text")
-    seen = made.select(F.explode("_loose").alias("x")).groupBy("x.bits").agg(F.count("*").alias("n"), F.sum(F.col("x.known").cast("long")).alias("hits"))
-    counts = sorted((r["bits"], r["n"], r["hits"]) for r in seen.collect())  # at most one row per combination of features
-    trees = boosted(counts)
-    limits = thresholds(counts, trees, precision)
+    keep = [c for c in docs.columns if c not in ("base", "spans")]
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    made = proposed(given, "_text")
+    fitted = F.pmod(F.xxhash64("_text"), F.lit(3)) < 2
+    seen = made.select(fitted.alias("fit"), F.explode("_loose").alias("x")).groupBy("fit", "x.bits").agg(F.count("*").alias("n"), F.sum(F.col("x.known").cast("long")).alias("hits"))
+    rows = sorted((r["fit"], r["bits"], r["n"], r["hits"]) for r in seen.collect())  # at most two rows per combination of features
+    trees = boosted([r[1:] for r in rows if r[0]])
+    limits = thresholds([r[1:] for r in rows if not r[0]], trees, precision)
     least = F.array(*(F.lit(x) for x in limits))
     named = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("name"))
     added = F.filter(F.col("_loose"), lambda x: x["free"] & (score(trees, x["bits"]) >= F.get(least, x["kind"])))
-    made = made.select(*(F.col(f"`{c}`") for c in keep), "_text", F.transform("_base", named).alias("base"), F.transform(added, named).alias("_added"))
-    return made.withColumn("spans", F.when(F.size("_added") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_added")))).drop("_added")
+    made = made.select("_row", F.transform("_base", named).alias("base"), F.transform(added, named).alias("_added"))
+    spans = F.when(F.size("_added") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_added")))
+    return made.select("_row.*", "base", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -221,12 +243,13 @@ def listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with every span of the text replaced by its kind in brackets; a null text stays null."""
+    given = F.coalesce("_given", F.lit(""))
 
     def step(state: Column, x: Column) -> Column:
-        piece = F.concat(F.substr("_text", state["at"] + 1, x["start"] - state["at"]), F.lit("["), F.upper(x["name"]), F.lit("]"))
+        piece = F.concat(F.substr(given, state["at"] + 1, x["start"] - state["at"]), F.lit("["), F.upper(x["name"]), F.lit("]"))
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], F.when(x["start"] >= state["at"], piece).otherwise(F.lit(""))).alias("out"))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr("_text", s["at"] + 1, F.char_length("_text"))))
-    made = find_personal_data(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_given")), text_col="_given")
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(given, s["at"] + 1, F.char_length("_given"))))
+    made = find_personal_data(docs.select(F.struct("*").alias("_all"), F.col(text_col).alias("_given")), text_col="_given")
     new = F.when(F.col("_given").isNull() | (F.size("spans") == 0), F.col("_given")).otherwise(clean)
-    return made.select(*((new.alias(c) if c == text_col else F.col(f"_row.`{c}`")) for c in docs.columns))
+    return made.select(*((new.alias(c) if c == text_col else F.col(f"_all.`{c}`")) for c in docs.columns))

@@ -94,13 +94,16 @@ def features(counts: str = "_counts") -> dict[str, Column]:
     }
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample of labelled documents, taken by a hash of the id."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    held = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col("_label").alias("label"), "text")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = given.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_label").alias("label"), "text")
     named = features()
-    rows = with_counts(held, keep=["doc_id", "label"]).select("doc_id", "label", *(v.alias(k) for k, v in named.items())).orderBy("doc_id").collect()
+    made = with_counts(held, keep=["doc_id", "label"]).select("doc_id", "label", *(v.alias(k) for k, v in named.items()))
+    # One text of an id, whatever ids repeat: at most max_rows rows of numbers.
+    rows = made.groupBy("doc_id", "label").agg(F.min(F.struct(*named)).alias("x")).select("doc_id", "label", "x.*").orderBy("doc_id").collect()
     return np.array([r[2:] for r in rows], float).reshape(-1, len(named)), np.array([r["label"] for r in rows], int)
 
 
@@ -162,19 +165,23 @@ def list_expression(rules: list[Rule], values: dict[str, Column]) -> Column:
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept columns, ``_counts``, ``_base_failed`` and ``_rule``: the number of the learned rule that rejects, or null.
 
     Base: under 20 words, or over 30 % of the words in repeated windows. Null and empty texts fail it.
-    Without labelled rows no rule is learned.
+    Without labelled rows no rule is learned. Kept columns may not have the names of the added ones.
     """
-    x, y = labelled_rows(docs, labels, "quality", max_rows=max_rows)
+    x, y = labelled_rows(docs, labels, "quality", max_rows=max_rows, id_col=id_col, text_col=text_col)
     rules = learn_list(x, y, list(features()))
-    made = with_counts(docs, keep=keep)
+    made = with_counts(docs, keep=keep, text_col=text_col)
     n, repeats = F.col("_counts.n_words"), F.col("_counts.n_repeat_words")
     return made.withColumn("_base_failed", (n < 20) | (100 * repeats > 30 * n)).withColumn("_rule", list_expression(rules, features()))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that neither the base nor a learned rule rejects, unchanged."""
-    return judged(docs, labels).where(~F.col("_base_failed") & F.col("_rule").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that neither the base nor a learned rule rejects, unchanged, whatever their columns are called."""
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"given{i}") for i, c in enumerate(names)))
+    of = lambda c: f"given{names.index(c)}"
+    kept = judged(plain, labels, id_col=of("doc_id"), text_col=of("text")).where(~F.col("_base_failed") & F.col("_rule").isNull())
+    return kept.select(*(F.col(f"given{i}").alias(c) for i, c in enumerate(names)))

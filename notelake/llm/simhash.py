@@ -74,7 +74,8 @@ def fingerprints(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_co
 def close_fingerprints(prints: DataFrame, *, radius: int = 2, crowd: int = 64) -> DataFrame:
     """Links (a, b) between the different fingerprints ``fp`` within ``radius`` bits (1 or 2).
 
-    Of a crowded key, links lead to the smallest fingerprint that shares a variant: no component is lost.
+    Of a crowded key, links within one bit are all there; within two they lead to the smallest fingerprint that
+    shares a variant: no component is lost.
     """
     if radius not in (1, 2):
         raise ValueError("one-bit variants reach one or two bits")
@@ -92,7 +93,11 @@ def close_fingerprints(prints: DataFrame, *, radius: int = 2, crowd: int = 64) -
     flips = F.array(F.lit(0).cast("long"), *(signed(1 << i) for i in range(64)))
     crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
     variants = crowded.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("variant"))
-    met = variants.join(variants.groupBy("variant").agg(F.min("fp").alias("b")), "variant").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius))
+    if radius == 1:  # a variant that is a fingerprint itself is the link
+        ends = crowded.select(F.col("fp").alias("b"))
+        met = variants.join(ends, F.col("variant") == F.col("b")).where("fp > b")
+    else:
+        met = variants.join(variants.groupBy("variant").agg(F.min("fp").alias("b")), "variant").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius))
     return pairs.select("a", "b").union(met.select(F.col("fp").alias("a"), "b")).distinct()
 
 
@@ -279,14 +284,19 @@ def near_copies(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, crowd:
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the rows of the smallest id, and of its texts the one of the least hash.
+    """One row of each component: of its smallest id, and of that id's texts the one of the least hash.
 
     Rows are told apart by id and text, so an id that is repeated with another text is judged for each text.
-    Repeated rows of the same id and text are one document: all of them stay or go. Rows with a null id stay.
+    Of repeated rows of the same id and text one stays. Rows with a null id stay. Columns keep their names and values.
     """
     found = stored(near_copies(docs, k=k, similarity=similarity, id_col=id_col, text_col=text_col), "found")
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("content").alias("first"))
     other = found.join(first, "component_id").where((F.col("doc_id") != F.col("component_id")) | (F.col("content") != F.col("first")))
-    gone = other.select(F.col("doc_id").alias("_gone"), F.col("content").alias("_text_gone")).distinct()
-    content = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (content == F.col("_text_gone")), "left_anti")
+    gone = other.select(F.col("doc_id").alias("gone"), F.col("content").alias("gone_text")).distinct()
+    several = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("many"), F.col("content").alias("many_text")).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
+    left = given.join(gone, (F.col("id") == F.col("gone")) & (F.col("content") == F.col("gone_text")), "left_anti")
+    repeated = (F.col("id") == F.col("many")) & (F.col("content") == F.col("many_text"))
+    # Only repeated rows are grouped, and each task merges its own first.
+    one = left.join(several, repeated, "left_semi").groupBy("id", "content").agg(F.first("row").alias("row"))
+    return left.join(several, repeated, "left_anti").select("row.*").union(one.select("row.*"))

@@ -18,22 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.common import raw_texts, slices, text_of
-from notelake.llm.crf import Emissions, core, posteriors, train
+from notelake.llm.crf import Emissions, pieces, posteriors, train
 
-#: Labelled documents of either class that are learned from, at most; taken by a hash of the id.
-PER_CLASS = 1500
+#: Labelled documents of either class that are learned from, at most; taken by a hash of the id. Characters of each, at most.
+PER_CLASS, SAMPLE_CHARS = 1500, 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """Distinct (text, toxic) of a bounded sample; documents labelled both ways count as toxic."""
+    """Distinct (text, toxic) of a bounded sample; documents labelled both ways count as toxic.
+
+    One text of an id, the least by its hash, and SAMPLE_CHARS characters of it at most come to the driver.
+    """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     chosen = None
     for kind in (0, 1):
         part = one.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", "_toxic").distinct().collect()
-    return sorted((r["text"] or "", r["_toxic"]) for r in rows)
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    text = F.struct(F.xxhash64("text").alias("h"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = held.groupBy("_id", "_toxic").agg(F.min(text)["text"].alias("text")).select("text", "_toxic").distinct().collect()
+    return sorted((r["text"], r["_toxic"]) for r in rows)
 
 
 def beginnings(word: str) -> list[str]:
@@ -63,15 +68,25 @@ def seeds(rows: list[tuple[list[str], int]], *, least: int = 3, clean_share: flo
     return out
 
 
+def proven(marks: set[str], held: list[tuple[set[str], int]], *, least_precision: float = 0.5) -> set[str]:
+    """The seeds that are not contradicted by documents kept from the search: among those that hold a seed, at least
+    ``least_precision`` are toxic. A seed that none of them holds stays."""
+    hits = {x: [0, 0] for x in marks}
+    for found, label in held:
+        for x in found & marks:
+            hits[x][int(label)] += 1
+    return {x for x, (clean, toxic) in hits.items() if toxic >= least_precision * (clean + toxic)}
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
     """Weights, transitions and calibration (slope, offset) from labelled documents."""
     rows = labelled_texts(docs, labels, per_class=per_class)
     split = [([w for w in t.encode("utf-8", "replace").split()], y) for t, y in rows]
     fit = [x for i, x in enumerate(split) if i % 4]
     held = [x for i, x in enumerate(split) if i % 4 == 0]
-    cores: dict[bytes, str] = {w: core(w) for w in {w for words, _ in split for w in words}}
-    marks = seeds([([cores[w] for w in words if cores[w]], y) for words, y in fit])
-    bad = {w for w, c in cores.items() if c and not marks.isdisjoint(beginnings(c))}
+    cores: dict[bytes, list[str]] = {w: [x for x in pieces(w) if x] for w in {w for words, _ in split for w in words}}
+    marks = proven(seeds([([c for w in words for c in cores[w]], y) for words, y in fit]), [({x for w in words for c in cores[w] for x in beginnings(c)}, y) for words, y in held])
+    bad = {w for w, c in cores.items() if any(not marks.isdisjoint(beginnings(x)) for x in c)}
     chains, tags, rng = [], [], np.random.default_rng(4)
     for words, label in fit:
         tag = np.array([label and w in bad for w in words], np.int64)
@@ -90,7 +105,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_C
 
 
 def _peaks(texts: list[list[bytes]], weights: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    at, starts = (e := Emissions(weights)).of(texts)
+    at, _, starts = (e := Emissions(weights)).of(texts)
     return peaks(posteriors(e.rows[at].astype(float), starts, transitions)[:, 1], starts)
 
 
@@ -129,14 +144,16 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, transitions: np.ndarray
         emissions = Emissions(model.value[0])
         for batch in slices(batches, 2 << 20):
             raw = raw_texts(batch)
-            at, starts = emissions.of([x.split() for x in raw])
+            at, word, starts = emissions.of([x.split() for x in raw])
             p = posteriors(emissions.rows[at].astype(float), starts, model.value[1])[:, 1]
             x = calibration[0] * peaks(p, starts) + calibration[1]
             hits = np.add.reduceat(np.append(p >= 0.5, 0), np.minimum(starts[:-1], len(p))) * (np.diff(starts) > 0)
             spans = [[] for _ in raw]
             for i in np.flatnonzero(hits):
-                own = p[starts[i] : starts[i + 1]]
+                nr = word[starts[i] : starts[i + 1]] - word[starts[i]]  # the highest marginal of a word's positions
+                own = np.zeros(nr[-1] + 1)
+                np.maximum.at(own, nr, p[starts[i] : starts[i + 1]])
                 spans[i] = [{"start": m.start(), "end": m.end(), "marginal": float(v)} for m, v in zip(WORD.finditer(raw[i].decode("utf-8", "replace")), own, strict=True) if v >= 0.5]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array(hits.astype(np.int64)), pa.array(spans, kind)], ["doc_id", "score", "n_toxic", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], ["doc_id", "score", "n_toxic", "spans"])
 
     return text_of(docs, id_col=id_col, text_col=text_col).mapInArrow(make, "doc_id long, score double, n_toxic long, spans array<struct<start: int, end: int, marginal: double>>")

@@ -6,9 +6,9 @@ import cases
 import numpy as np
 import pytest
 
-from notelake.llm.crf import posteriors, train
+from notelake.llm.crf import LETTERS, Emissions, feature_ids, pieces, posteriors, train
 from notelake.llm.language import detect, learn_languages
-from notelake.llm.toxicity import learn_toxicity, score_toxicity, seeds
+from notelake.llm.toxicity import learn_toxicity, proven, score_toxicity, seeds
 
 
 @pytest.mark.parametrize("states", [2, 3])
@@ -111,3 +111,48 @@ def test_toxicity_without_labels_or_rows(spark):
 def test_seeds_explain_documents_once():
     rows = [(["bad", "friend"], 1)] * 6 + [(["bad"], 1)] * 6 + [(["fine", "friendly"], 0)] * 30
     assert seeds(rows) == {"bad$"}
+
+
+def test_seeds_have_to_hold_on_documents_kept_aside():
+    marks = {"bad$", "chance$", "never$"}
+    held = [({"bad$", "x"}, 1), ({"bad$"}, 1), ({"bad$"}, 0), ({"chance$"}, 0), ({"x"}, 0)]
+    assert proven(marks, held) == {"bad$", "never$"}
+
+
+def test_no_letter_of_a_long_word_is_left_out():
+    long = "abcdefghij" * 6 + "zorkel"
+    assert len(long) > LETTERS and feature_ids(long[:LETTERS]) not in [feature_ids(long[:39] + "y")]
+    parts = pieces(long.encode())
+    assert len(parts) > 1 and all(len(x) <= LETTERS for x in parts) and parts[-1].endswith("zorkel")
+    assert all(any(long[i : i + 3] in x for x in parts) for i in range(len(long) - 2))
+    assert pieces(b"https://" + b"a" * 30 + b".org/" + b"b" * 90)[:2] == ["https", "a" * 30]
+    assert pieces(b"don't") == ["dont"] and pieces(b"12") == [""]
+    emissions = Emissions(np.ones((1 << 17, 2), np.float32))
+    at, word, starts = emissions.of([[b"a", long.encode(), b"b"], [], [b"7"]])
+    assert word.tolist() == [0, *[1] * len(parts), 2, 3] and starts.tolist() == [0, len(parts) + 2, len(parts) + 2, len(parts) + 3] and at[-1] == 0
+    other, _, _ = emissions.of([[("abcdefghij" * 6 + "angel").encode()]])
+    assert other.tolist() != at[1 : 1 + len(parts)].tolist()
+
+
+def test_an_insult_behind_the_fortieth_letter_is_found(spark):
+    made = spoken(400)
+    rows = [(i, t, *[None] * 7) for i, (t, _) in enumerate(made)]
+    rows += [(900, "qwertyuiop" * 5 + "-zorkel", *[None] * 7), (901, "qwertyuiop" * 6, *[None] * 7)]
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(made)], "doc_id long, quality int, toxic int")
+    docs = cases.frame(spark, rows)
+    got = {r["doc_id"]: r for r in score_toxicity(docs, *learn_toxicity(docs, labels)).collect()}
+    assert got[900]["score"] > 0.5 > got[901]["score"] and [(s["start"], s["end"]) for s in got[900]["spans"]] == [(0, 57)]
+
+
+@pytest.mark.parametrize("n", [1, 14, 31, 33])
+def test_few_words_are_learned(n):
+    words = [[b"mi", b"ko"][i % 2] for i in range(n)]
+    weights, _ = train([words], [np.arange(n) % 2], 2)
+    scores = {w: weights[feature_ids(w.decode())].sum(axis=0) for w in set(words)}
+    assert scores[b"mi"][0] > scores[b"mi"][1] and (n == 1 or scores[b"ko"][1] > scores[b"ko"][0])
+
+
+def test_a_small_sample_predicts_its_languages(spark):
+    docs = cases.frame(spark, [(1, "ko mi ta nu ko", "bb", *[None] * 6), (2, "schung ein ver", "aa", *[None] * 6), (2, "schung ein ver", "aa", *[None] * 6), (3, "ta nu", None, *[None] * 6)])
+    got = {r["doc_id"]: r["lang_pred"] for r in detect(docs, *learn_languages(docs)).collect()}
+    assert got == {1: "bb", 2: "aa", 3: "bb"}

@@ -90,3 +90,38 @@ def test_phones_with_far_digits_are_base_spans(spark):
     rows = [(i, "call +" + gap.join("1234567890") + " now", *[None] * 7) for i, gap in enumerate(("......", " " * 9, "-" * 7, "(.) -.", "-"))]
     made = {r["doc_id"]: r["b"] for r in find_personal_data(cases.frame(spark, rows)).select("doc_id", listed(F.col("base")).alias("b")).collect()}
     assert made == {i: ",".join(base(t)) for i, t, *_ in rows} and all(x.startswith("phone:5:") for x in made.values())
+
+
+def test_unproven_digit_runs_stay(spark):
+    rows = [(i, f"tel +1 (415) 555-{i:04d} today", *[None] * 7) for i in range(60)]
+    rows += [(100 + i, f"value 000768719910195{i % 10} in prose, number 00{i:014d}", *[None] * 7) for i in range(20)]
+    rows += [(200, "call (988) 555-2485 now", *[None] * 7)]
+    made = {r["doc_id"]: r["s"] for r in find_personal_data(cases.frame(spark, rows)).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    assert all(not made[100 + i] for i in range(20)) and made[200] == "phone:5:19"
+    clean = {r["doc_id"]: r["text"] for r in redacted(cases.frame(spark, rows)).collect()}
+    assert clean[103] == rows[63][1] and clean[200] == "call [PHONE] now"
+
+
+def test_a_bad_tail_ends_the_search():
+    counts = [(1 | 1 << 8, 200, 200), (1 | 1 << 9, 4, 0), (1 | 1 << 10, 12, 12)]
+    trees = [(8, (9, 1.0, 2.0), 3.0)]
+    limits = thresholds(counts, trees, 0.9)
+    assert 2.0 < limits[0] <= 3.0
+
+
+def test_additions_find_planted_obfuscations(spark):
+    rng = random.Random(8)
+    plain = [f"write to {rng.choice('abcdefg')}{i}.x@mail{i % 7}.org or call +1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{i:04d} soon" for i in range(150)]
+    hidden = [(f"write to b{i}.y (at) mail{i % 5} [dot] org now", "email") for i in range(40)] + [(f"please call ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{i:04d} now", "phone") for i in range(40)]
+    rows = [(i, t, *[None] * 7) for i, t in enumerate([*plain, *(t for t, _ in hidden)])]
+    made = {r["doc_id"]: r["s"] for r in find_personal_data(cases.frame(spark, rows)).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    found = sum(kind in made[150 + i] for i, (_, kind) in enumerate(hidden))
+    assert found >= 0.9 * len(hidden)
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ("_b0", "_l1", "_base", "_loose", "_row", "_text", "_added", "bits", "fit")
+    docs = cases.frame(spark, [(1, "mail a@b.de", *[None] * 7), (2, None, *[None] * 7)]).select("doc_id", "text", *(F.lit(7 + i).alias(c) for i, c in enumerate(names)))
+    for made in (find_personal_data(docs).drop("base", "spans"), redacted(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and len(rows) == 2 and all(r[c] == 7 + i for r in rows for i, c in enumerate(names))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import cases
 import numpy as np
+from pyspark.sql import functions as F
 
 from notelake.llm.rules import count_text, judged, kept_documents, learn_list
 from notelake.llm.common import WordHashes
@@ -69,3 +70,11 @@ def test_rules_need_precision():
     x = np.random.default_rng(1).random((500, 2))
     assert learn_list(x, np.arange(500) % 2, ["a", "b"]) == []
     assert learn_list(x, np.ones(500, int), ["a", "b"]) == []
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ("_counts", "_id", "_label", "_rule", "_base_failed", "label", "counts", "c0", "given0")
+    docs = cases.frame(spark).select("doc_id", "text", *(F.lit(7 + i).alias(c) for i, c in enumerate(names)))
+    kept = kept_documents(docs, labelled(spark, cases.rows(), {0}))
+    rows = kept.collect()
+    assert kept.columns == docs.columns and rows and all(r[c] == 7 + i for r in rows for i, c in enumerate(names))
