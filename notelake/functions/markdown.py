@@ -1,25 +1,23 @@
 """Markdown columns: frontmatter, title, heading sections and their parts.
 
 Everything here works inside one row (a note is one row), so no step shuffles
-the corpus: frontmatter and headings are folds over the note's own lines.
+the corpus: frontmatter is a fold over the note's own lines, headings are found
+by one scan of its text.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from notelake.functions.text import (
-    WS,
-    WHITESPACE,
-    content_hash,
-    is_blank,
-    let,
-    newline_count,
-    token_estimate,
-    trim_ws,
-    utf16_length,
-)
+from notelake.functions.text import WS, WHITESPACE, content_hash, is_blank, newline_count, token_estimate, trim_ws
 from notelake.params import ChunkParams
 
 # The note dialect.
@@ -29,6 +27,8 @@ ITEM_LINE = "^[ \\t]*-[ \\t]+(.*)$"
 HEADING = f"^(#{{1,6}}){WS}+(.*){WS}*\\z"
 FIRST_H1 = f"(?m)^#{WS}+(.+)$"
 FENCE = "```"
+#: Text bytes that a task cuts at once.
+SLICE_BYTES = 4 << 20
 
 ENTRY_TYPE = "struct<key:string,is_list:boolean,vals:array<string>>"
 _LIST_KEYS = ("tags", "title", "ref_code_paths")
@@ -207,187 +207,116 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     ).drop("_entries", "path", "content")
 
 
-def _sections(lines: Column, heads: Column) -> Column:
-    """Cut the lines at every heading; each section carries its heading path."""
-    start_type = "array<struct<line:int,path:string>>"
-    stack_type = "array<struct<level:int,title:string>>"
-
-    def step(acc: Column, head: Column) -> Column:
-        above = F.filter(acc["stack"], lambda s: s["level"] < head["level"])
-        return let(
-            F.concat(above, F.array(F.struct(head["level"], head["title"])).cast(stack_type)),
-            lambda stack: F.struct(
-                stack.alias("stack"),
-                F.concat(
-                    acc["starts"],
-                    F.array(
-                        F.struct(
-                            head["line"].alias("line"),
-                            F.array_join(F.transform(stack, lambda s: s["title"]), " / ").alias("path"),
-                        )
-                    ).cast(start_type),
-                ).alias("starts"),
-            ),
-        )
+#: Within a note, headings and fences stand at the start of a line; white space there is all but the line break.
+_GAP = "[\\t\\v\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_HEADING_LINE = re.compile(f"^(#{{1,6}}){_GAP}+([^\\n\\r\u0085\u2028\u2029]*){_GAP}*$", re.M)
+_FENCE_LINE = re.compile(f"^{_GAP}*{FENCE}", re.M)
+_PARAGRAPHS = re.compile("(\n\n+)")
 
-    zero = F.struct(
-        F.array().cast(stack_type).alias("stack"),
-        F.array(F.struct(F.lit(0), F.lit(""))).cast(start_type).alias("starts"),
-    )
-    return F.aggregate(heads, zero, step, lambda acc: acc["starts"])
 
+def _units(text: str) -> int:
+    """Length in UTF-16 units."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
-def _split_parts(section: Column, limit: int) -> Column:
-    """Greedy packing of blank-line paragraphs up to ``limit`` characters.
 
-    A paragraph above the limit stays whole. Line numbers are the true ones.
+def _headings(body: str) -> list[tuple[int, str]]:
+    """Offset and heading path of every section: the text before the first heading, then one per heading.
+
+    A heading is one if an even number of fences is above it. The path is kept as a stack of falling levels.
     """
-    group_type = "array<struct<a:int,b:int,first:int,last:int>>"
-
-    def pack(paras: Column, gaps: Column) -> Column:
-        zero = F.struct(
-            F.lit(0).alias("open"),
-            F.lit(-2).alias("size"),
-            section["text_line"].alias("open_line"),
-            section["text_line"].alias("end_line"),
-            section["text_line"].alias("next_line"),
-            F.array().cast(group_type).alias("groups"),
-        )
+    found = list(_HEADING_LINE.finditer(body))
+    if not found:
+        return [(0, "")]
+    fences = np.array([m.start() for m in _FENCE_LINE.finditer(body)])
+    above = np.searchsorted(fences, [m.start() for m in found])
+    out, stack = [(0, "")], []
+    for m, n in zip(found, above.tolist(), strict=True):
+        if n % 2:
+            continue
+        level = len(m[1])
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, m[2].strip(WHITESPACE)))
+        out.append((m.start(), " / ".join(title for _, title in stack)))
+    return out
 
-        def closed(acc: Column, last: Column) -> Column:
-            return F.concat(
-                acc["groups"],
-                F.array(F.struct(acc["open"], last, acc["open_line"], acc["end_line"])).cast(group_type),
-            )
-
-        def step(acc: Column, i: Column) -> Column:
-            para = F.get(paras, i)
-            grown = acc["size"] + 2 + utf16_length(para)
-            cut = (i > 0) & (grown > limit)
-            end = acc["next_line"] + newline_count(para)
-            return F.struct(
-                F.when(cut, i).otherwise(acc["open"]).alias("open"),
-                F.when(cut, utf16_length(para)).otherwise(grown).alias("size"),
-                F.when(cut, acc["next_line"]).otherwise(acc["open_line"]).alias("open_line"),
-                end.alias("end_line"),
-                (end + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))).alias("next_line"),
-                F.when(cut, closed(acc, i - 1)).otherwise(acc["groups"]).alias("groups"),
-            )
-
-        groups = F.aggregate(
-            F.sequence(F.lit(0), F.size(paras) - 1),
-            zero,
-            step,
-            lambda acc: closed(acc, F.size(paras) - 1),
-        )
-        return F.transform(
-            groups,
-            lambda g: F.struct(
-                section["path"].alias("heading_path"),
-                g["first"].alias("start_line"),
-                g["last"].alias("end_line"),
-                trim_ws(F.array_join(F.slice(paras, g["a"] + 1, g["b"] - g["a"] + 1), "\n\n")).alias("text"),
-            ),
-        )
 
-    return let(
-        F.split(section["text"], "\n\n+"),
-        lambda paras: let(
-            F.regexp_extract_all(section["text"], F.lit("(\n\n+)"), F.lit(1)),
-            lambda gaps: pack(paras, gaps),
-        ),
-    )
+def _packed(text: str, line: int, limit: int) -> list[tuple[int, int, str]]:
+    """First line, last line and text of the parts of a long section: paragraphs are packed up to ``limit``.
+
+    A paragraph above the limit stays whole. Line numbers are the true ones.
+    """
+    pieces = _PARAGRAPHS.split(text)  # paragraph, gap, paragraph, ...
+    out, held, size, first, last = [], [], 0, line, line
+    for i in range(0, len(pieces), 2):
+        para = pieces[i]
+        units = _units(para)
+        if held and size + 2 + units > limit:
+            out.append((first, last, "\n\n".join(held)))
+            held, size, first = [], -2, line
+        size += units + 2 if held or size < 0 else units
+        held.append(para)
+        last = line + para.count("\n")
+        line = last + (len(pieces[i + 1]) if i + 1 < len(pieces) else 0)
+    return [(a, b, t.strip(WHITESPACE)) for a, b, t in [*out, (first, last, "\n\n".join(held))]]
+
+
+def _chunks(body: str, limit: int) -> list[tuple[str, int, int, str]]:
+    """Heading path, first line, last line and text of the chunks of a note. Every pass is linear in the note."""
+    starts = _headings(body)
+    breaks = np.array([m.start() for m in re.finditer("\n", body)])
+    lines = np.searchsorted(breaks, [at for at, _ in starts]).tolist()
+    ends = [at - 1 for at, _ in starts[1:]] + [len(body)]
+    until = [*lines[1:], len(breaks) + 1]
+    out = []
+    for (at, path), end, line, stop in zip(starts, ends, lines, until, strict=True):
+        raw = body[at : max(at, end)]
+        text = raw.strip(WHITESPACE)
+        if not text:
+            continue
+        if _units(text) <= limit:
+            out.append((path, line + 1, stop, text))
+            continue
+        blank = len(raw) - len(raw.lstrip(WHITESPACE))
+        out += [(path, a, b, t) for a, b, t in _packed(text, line + 1 + raw.count("\n", 0, blank), limit) if t]
+    return out
 
 
 def chunk_notes(docs: DataFrame, body: str = "body", params: ChunkParams = ChunkParams()) -> DataFrame:
     """One row per chunk: headings cut sections, oversized sections are split.
 
-    Keeps every other column of ``docs``. Lines are counted in the body.
+    Keeps every other column of ``docs``. Lines are counted in the body. A note is one row and is cut where it
+    is; time and memory are linear in its length, however many headings and fences it has.
     """
-    line = lambda i: F.get(F.col("_lines"), i)
-    positions = F.sequence(F.lit(0), F.size("_lines") - 1)
-    staged = (
-        docs.filter(~is_blank(F.col(body)))
-        .withColumn("_lines", F.split(F.col(body), "\n", -1))
-        # Bound inside the expression: a column used once could be inlined by the
-        # optimiser into the lambda and be computed again for every line.
-        .withColumn(
-            "_heads",
-            let(
-                F.filter(positions, lambda i: F.ltrim(line(i), F.lit(WHITESPACE)).startswith(FENCE)),
-                lambda fences: F.transform(
-                    F.filter(
-                        positions,
-                        lambda i: line(i).startswith("#")
-                        & line(i).rlike(HEADING)
-                        & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 0),
-                    ),
-                    lambda i: F.struct(
-                        i.alias("line"),
-                        F.length(F.regexp_extract(line(i), HEADING, 1)).alias("level"),
-                        trim_ws(F.regexp_extract(line(i), HEADING, 2)).alias("title"),
-                    ),
-                ),
-            ),
-        )
-        .withColumn("_starts", _sections(F.col("_lines"), F.col("_heads")))
-    )
-
-    def section(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(F.col("_starts"), i + 1)["line"], F.size("_lines"))
-        raw = F.array_join(F.slice("_lines", start["line"] + 1, end - start["line"]), "\n")
-        return let(
-            raw,
-            lambda r: F.struct(
-                start["path"].alias("path"),
-                (start["line"] + 1).alias("start_line"),
-                end.alias("end_line"),
-                trim_ws(r).alias("text"),
-                (
-                    start["line"]
-                    + 1
-                    + newline_count(r)
-                    - newline_count(F.ltrim(r, F.lit(WHITESPACE)))
-                ).alias("text_line"),
-            ),
-        )
-
-    whole = lambda s: F.array(
-        F.struct(
-            s["path"].alias("heading_path"),
-            s["start_line"].alias("start_line"),
-            s["end_line"].alias("end_line"),
-            s["text"].alias("text"),
-        )
-    )
-    limit = params.split_chars
-    parts = staged.withColumn(
-        "_sections", F.filter(F.transform("_starts", section), lambda s: s["text"] != "")
-    ).withColumn(
-        "_parts",
-        F.filter(
-            F.flatten(
-                F.transform(
-                    "_sections",
-                    lambda s: F.when(utf16_length(s["text"]) <= limit, whole(s)).otherwise(
-                        _split_parts(s, limit)
-                    ),
-                )
-            ),
-            lambda p: p["text"] != "",
-        ),
-    )
     keep = [c for c in docs.columns if c != body]
-    return (
-        # Outer: a plain explode would infer a size filter and push the whole
-        # computation a second time below the projections.
-        parts.select(*keep, F.posexplode_outer("_parts").alias("chunk_index", "_part"))
-        .filter("chunk_index IS NOT NULL")
-        .select(*keep, "chunk_index", "_part.*")
-        .withColumns(
-            {
-                "text_hash": content_hash(F.col("text")),
-                "token_estimate": token_estimate(F.col("text"), params.chars_per_token),
-            }
-        )
+    limit = params.split_chars
+    own = ["chunk_index", "heading_path", "start_line", "end_line", "text"]
+    kinds = [T.IntegerType(), T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType()]
+    inner = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
+    schema = T.StructType([*inner.fields, *(T.StructField(c, k) for c, k in zip(own, kinds, strict=True))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keep))
+            ends = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+            begin = 0
+            while begin < batch.num_rows:  # a batch of a few megabytes of text, or one note
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+                made = [_chunks(t, limit) if t else [] for t in texts.slice(begin, end - begin).to_pylist()]
+                of = np.repeat(np.arange(begin, end), [len(x) for x in made])
+                flat = [x for note in made for x in note]
+                columns = [batch.column(i).take(pa.array(of)) for i in range(len(keep))]
+                columns.append(pa.array([i for note in made for i in range(len(note))], pa.int32()))
+                columns += [pa.array([x[j] for x in flat], k) for j, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                begin = end
+
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{body}`").alias("body"))
+    made = plain.mapInArrow(cut, schema)
+    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *own).withColumns(
+        {
+            "text_hash": content_hash(F.col("text")),
+            "token_estimate": token_estimate(F.col("text"), params.chars_per_token),
+        }
     )

@@ -1,17 +1,28 @@
-"""BM25 retrieval for a whole table of queries."""
+"""BM25 retrieval for a whole table of queries.
+
+All phrases of a query have to match. Block tables say which blocks of documents hold a term and bound its
+score there, so a query first meets blocks that hold all its phrases, then the postings of those blocks that
+can reach its best results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import query_phrases
-from notelake.operators.fusion import top_k
-from notelake.operators.postings import CHUNK_KEY
-from notelake.operators.sizing import pin_if_small
+from notelake.operators.fusion import SCORE_DIGITS, top_k
+from notelake.operators.postings import BUCKETS, CHUNK_KEY, PLACE_BITS
+from notelake.operators.sizing import broadcast_if_small, pin_if_small
 from notelake.params import FIELDS, SearchParams
+from notelake.sources.workdir import cut
 
-MAX_TERM_LIST = 10_000
+#: Terms that are named to the scan, at most, and blocks per query that are scored to learn the score to beat.
+MAX_TERM_LIST, FIRST_BLOCKS = 10_000, 8
+BLOCK = ("origin", "block")
 
 
 def phrases_of(queries: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -48,92 +59,105 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
     )
 
 
-def _weighted(weights: dict[str, float]) -> Column:
-    return sum((F.col(f"tf_{f}") * F.lit(float(weights[f])) for f in FIELDS), F.lit(0.0))
+def _weighted(weights: dict[str, float], prefix: str = "tf") -> Column:
+    return sum((F.col(f"{prefix}_{f}") * F.lit(float(weights[f])) for f in FIELDS), F.lit(0.0))
 
 
-def _listed(df: DataFrame, words: set[str]) -> DataFrame:
-    """Rows of the given terms. One SQL text is far quicker to build than one
-    literal per word; tokens hold letters and numbers only, so nothing needs quoting."""
+def _listed(df: DataFrame, words: set[str] | None) -> DataFrame:
+    """Rows of the given terms, all rows if there are too many. The scan opens the folders of their buckets and skips
+    row groups by the terms. One SQL text is far quicker to build than one literal per word; tokens hold letters and
+    numbers only, so nothing needs quoting."""
+    if words is None or len(words) > MAX_TERM_LIST:
+        return df
     if not words:
         return df.filter("false")
+    if "bucket" in df.columns:
+        df = df.filter(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})))
     return df.filter("term IN (" + ", ".join(f"'{w}'" for w in sorted(words)) + ")")
 
 
-def match_phrases(
-    postings: DataFrame,
-    positions: DataFrame | None,
-    terms: DataFrame,
-    weights: dict[str, float],
-    known: set[str] | None = None,
-) -> DataFrame:
-    """Chunks that hold a phrase: ``phrase, doc_id, chunk_index, namespace, n_tokens, wtf``.
+def match_several(postings: DataFrame, blocks: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Chunks that hold a phrase of several tokens: ``phrase, doc_id, chunk_index, namespace, n_tokens, origin, block, wtf``.
 
-    ``wtf`` is the field-weighted number of occurrences. One-token phrases read
-    ``postings``; longer ones check adjacency inside one field in ``positions``.
-    ``known`` is the set of phrases when the caller has it at hand.
+    ``wtf`` is the field-weighted number of occurrences. Only blocks that hold every word of the phrase are read. The
+    places of its words, each moved back by the word's offset, are intersected, the fewest first: what is left are
+    the places where the phrase begins. Places of different fields are far apart, so no phrase crosses fields.
     """
-    several_terms = known is None or any(" " in p for p in known)
-    if known is not None:
-        terms = F.broadcast(terms)
-        # A literal list reaches the scan: sorted files skip row groups by it.
-        one = {p for p in known if " " not in p}
-        more = {t for p in known if " " in p for t in p.split(" ")}
-        if len(one) <= MAX_TERM_LIST:
-            postings = _listed(postings, one)
-        if positions is not None and len(more) <= MAX_TERM_LIST:
-            positions = _listed(positions, more)
-    held = [*CHUNK_KEY, "namespace", "n_tokens"]
-    single = postings.join(terms.filter("phrase_len = 1"), "term").select(
-        "phrase", *held, _weighted(weights).alias("wtf")
-    )
-    if not several_terms:
-        return single
-    if positions is None:
-        raise ValueError("phrases of several tokens need the positions table")
-    field_weight = F.element_at(
-        F.array(*[F.lit(float(weights[f])) for f in FIELDS]), F.col("field") + 1
-    )
-    several = (
-        positions.join(terms.filter("phrase_len > 1"), "term")
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .groupBy("phrase", "phrase_len", *held, "field", "start")
-        .agg(F.count("*").alias("_n"))
-        .filter("_n = phrase_len")
-        .groupBy("phrase", *held)
-        .agg(F.sum(field_weight).alias("wtf"))
+    said = terms.filter("phrase_len > 1")
+    words = said.select("phrase", "term").distinct()
+    needed = words.groupBy("phrase").agg(F.count("*").alias("_words"))
+    both = (
+        blocks.join(words, "term").groupBy("phrase", *BLOCK).agg(F.count("*").alias("_n"))
+        .join(needed, "phrase").filter("_n = _words").select("phrase", *BLOCK)
+    )
+    moved = F.transform("places", lambda p: p - F.col("offset"))
+    held = [*CHUNK_KEY, "namespace", "n_tokens", *BLOCK]
+    found = (
+        postings.join(said, "term")
+        .join(both, ["phrase", *BLOCK])
+        .select("phrase", "phrase_len", *held, F.struct(F.size("places").alias("n"), moved.alias("at")).alias("_word"))
+        .groupBy("phrase", "phrase_len", *held)
+        .agg(F.sort_array(F.collect_list("_word")).alias("_words"))
+        .filter(F.size("_words") == F.col("phrase_len"))
     )
-    return single.unionByName(several)
+    starts = F.aggregate(F.slice("_words", 2, 1 << 30), F.col("_words")[0]["at"], lambda at, w: F.array_intersect(at, w["at"]))
+    field_weight = F.array(*[F.lit(float(weights[f])) for f in FIELDS])
+    wtf = F.aggregate("_starts", F.lit(0.0), lambda total, s: total + F.get(field_weight, F.shiftright(s, PLACE_BITS)))
+    return found.withColumn("_starts", starts).filter(F.size("_starts") > 0).select("phrase", *held, wtf.alias("wtf"))
 
 
-def phrase_idf(matches: DataFrame, stats: DataFrame, floor: float) -> DataFrame:
-    """``phrase, df, idf``: chunks that hold a phrase, and its weight (never below ``floor``)."""
-    n = stats.select(F.col("n_rows").cast("double")).scalar()
-    df = F.col("df").cast("double")
-    raw = F.log((n - df + 0.5) / (df + 0.5))
-    counted = matches.groupBy("phrase").agg(F.count("*").alias("df"))
-    return counted.withColumn("idf", F.when(raw <= 0, floor).otherwise(raw))
+@dataclass(frozen=True)
+class _Asked:
+    """A table of queries prepared against an index."""
 
+    blocks: DataFrame  # keys, origin, block, namespace, n_phrases, parts, bound, reads
+    hits: DataFrame  # phrase, chunk key, namespace, n_tokens, origin, block, wtf
+    part: Column  # score of one phrase in one chunk
+    keys: tuple[str, ...]
 
-def bm25_scores(
+
+def _component(repeats: Column, idf: Column, wtf: Column, n_tokens: Column, average: float, params: SearchParams) -> Column:
+    k1, b = params.bm25_k1, params.bm25_b
+    return repeats * idf * (wtf * (k1 + 1)) / (wtf + k1 * (1 - b + b * n_tokens / F.lit(average)))
+
+
+def _prepare(
     queries: DataFrame,
     postings: DataFrame,
-    positions: DataFrame | None,
+    blocks: DataFrame,
     stats: DataFrame,
-    params: SearchParams = SearchParams(),
-    keys: tuple[str, ...] = ("query_id",),
-) -> DataFrame:
-    """Score of every chunk that holds all phrases of a query.
-
-    The rarest phrase of a query names the chunks that can match; only for those
-    the other phrases are looked up, so a frequent word next to a rare one costs
-    nothing per query. A query with a ``namespace`` only sees that namespace;
-    document frequencies and the average length stay those of the whole corpus.
-    """
+    params: SearchParams,
+    keys: tuple[str, ...],
+    gone: DataFrame | None,
+) -> _Asked:
     phrases, rows = pin_if_small(phrases_of(queries, keys))
     known = None if rows is None else set(rows["phrase"].to_pylist())
-    matches = match_phrases(postings, positions, phrase_terms(phrases), params.field_weights, known)
-    idf = phrase_idf(matches, stats, params.idf_floor)
+    words = None if known is None else {t for p in known for t in p.split(" ")}
+    postings, blocks = _listed(postings, words), _listed(blocks, words)
+    weights = params.field_weights
+    counted = stats.first()
+    average = (counted.total_tokens / counted.n_rows if counted.n_rows else 0.0) or 1.0
+
+    own = [F.col("term").alias("phrase"), *BLOCK]
+    bounds = blocks.select(*own, "n", _weighted(weights, "most").alias("wtf"), F.col("least_tokens").alias("n_tokens"))
+    hits = postings.select(*own, *CHUNK_KEY, "namespace", "n_tokens", _weighted(weights).alias("wtf"))
+    if known is None or any(" " in p for p in known):
+        several = cut(match_several(postings, blocks, phrase_terms(phrases), weights))
+        merged = several.groupBy("phrase", *BLOCK).agg(F.count("*").alias("n"), F.max("wtf").alias("wtf"), F.min("n_tokens").alias("n_tokens"))
+        bounds, hits = bounds.unionByName(merged), hits.unionByName(several)
+    said = phrases.select("phrase").distinct()
+    if known is not None:
+        said = F.broadcast(said)
+    bounds = cut(bounds.join(said, "phrase", "left_semi"))
+
+    # Chunks per phrase; hidden ones are counted out. Its weight is never below the floor.
+    total = bounds.groupBy("phrase").agg(F.sum("n").alias("df"))
+    if gone is not None:
+        lost = _listed(gone, words).groupBy(F.col("term").alias("phrase")).agg(F.sum("n").alias("lost"))
+        total = total.join(lost, "phrase", "left").select("phrase", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).filter("df > 0")
+    df = F.col("df").cast("double")
+    raw = F.log((F.lit(float(counted.n_rows)) - df + 0.5) / (df + 0.5))
+    idf = total.withColumn("idf", F.when(raw <= 0, params.idf_floor).otherwise(raw))
 
     # One row per query with all its phrases, rarest first; a query with a phrase
     # that never occurs has no result and is gone here.
@@ -143,38 +167,110 @@ def bm25_scores(
         .groupBy(*keys, "_only", "n_phrases")
         .agg(F.sort_array(F.collect_list(F.struct("df", "phrase", "repeats", "idf"))).alias("_parts"))
         .filter(F.size("_parts") == F.col("n_phrases"))
-        .withColumn("_rarest", F.col("_parts")[0]["phrase"])
     )
     if known is not None:
         asked = F.broadcast(asked)
-    wanted = (
-        matches.join(asked, F.col("phrase") == F.col("_rarest"))
-        .filter(F.col("_only").isNull() | (F.col("_only") == F.col("namespace")))
-        .select(*keys, *CHUNK_KEY, "n_phrases", F.explode("_parts").alias("_part"))
-        .select(*keys, *CHUNK_KEY, "n_phrases", "_part.phrase", "_part.repeats", "_part.idf")
+    # The rarest phrase names the blocks; the others are looked up in those.
+    started = bounds.withColumnRenamed("phrase", "_rarest").join(asked, F.col("_rarest") == F.col("_parts")[0]["phrase"])
+    asked_blocks = started.select(*keys, "_only", "n_phrases", "_parts", *BLOCK, F.explode("_parts").alias("_p")).select(
+        *keys, "_only", "n_phrases", "_parts", *BLOCK, "_p.phrase", "_p.repeats", "_p.idf"
+    )
+    part = _component(F.col("repeats"), F.col("idf"), F.col("wtf"), F.col("n_tokens"), average, params)
+    held = (
+        asked_blocks.join(bounds, ["phrase", *BLOCK])
+        .groupBy(*keys, "_only", "n_phrases", *BLOCK)
+        .agg(F.count("*").alias("_hit"), F.sum(part).alias("bound"), F.sum("n").alias("reads"), F.first("_parts").alias("_parts"))
+        .filter("_hit = n_phrases")
+        .drop("_hit")
+    )
+    return _Asked(held, hits, part, keys)
+
+
+def _scored(asked: _Asked, chosen: DataFrame) -> DataFrame:
+    """Scores of the chunks of the chosen (query, block) pairs that hold all phrases of the query."""
+    keys = asked.keys
+    wanted = chosen.select(*keys, "_only", "n_phrases", *BLOCK, F.explode("_parts").alias("_p")).select(
+        *keys, "_only", "n_phrases", *BLOCK, "_p.phrase", "_p.repeats", "_p.idf"
     )
-    k1, b = params.bm25_k1, params.bm25_b
-    avg_len = stats.select(F.col("total_tokens") / F.col("n_rows")).scalar()
-    norm = 1 - b + b * F.col("n_tokens") / avg_len
-    part = F.col("repeats") * F.col("idf") * (F.col("wtf") * (k1 + 1)) / (F.col("wtf") + k1 * norm)
     return (
-        matches.select("phrase", *CHUNK_KEY, "n_tokens", "wtf")
-        .join(wanted, ["phrase", *CHUNK_KEY])
+        asked.hits.join(broadcast_if_small(wanted), ["phrase", *BLOCK])
+        .filter(F.col("_only").isNull() | (F.col("_only") == F.col("namespace")))
         .groupBy(*CHUNK_KEY, *keys, "n_phrases")
-        .agg(F.count("*").alias("_hit"), F.sum(part).alias("score"))
+        .agg(F.count("*").alias("_hit"), F.sum(asked.part).alias("score"))
         .filter("_hit = n_phrases")
         .select(*keys, *CHUNK_KEY, "score")
     )
 
 
+def bm25_scores(
+    queries: DataFrame,
+    postings: DataFrame,
+    blocks: DataFrame,
+    stats: DataFrame,
+    params: SearchParams = SearchParams(),
+    keys: tuple[str, ...] = ("query_id",),
+    gone: DataFrame | None = None,
+) -> DataFrame:
+    """Score of every chunk that holds all phrases of a query.
+
+    A query with a ``namespace`` only sees that namespace; document frequencies and the average length stay those
+    of the whole corpus. ``gone`` counts the chunks per term that ``blocks`` still holds but readers do not see.
+    """
+    asked = _prepare(queries, postings, blocks, stats, params, keys, gone)
+    return _scored(asked, cut(asked.blocks))
+
+
+def _passes(asked: _Asked, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The blocks scored first, their best results, and the other blocks that can still hold a better one.
+
+    The blocks of the highest bounds come first. When they give k results, the k-th score is the one to beat.
+    """
+    keys = list(asked.keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("bound"), *BLOCK)
+    held = cut(asked.blocks.withColumn("_nr", F.row_number().over(order)))
+    head = held.filter(F.col("_nr") <= FIRST_BLOCKS)
+    best = cut(top_k(_scored(asked, head), k, asked.keys))
+    beat = best.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("score").alias("_least")).filter(F.col("_n") >= k)
+    rest = held.filter(F.col("_nr") > FIRST_BLOCKS).join(beat, keys, "left")
+    close = F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 10.0**-SCORE_DIGITS)
+    return head, best, rest.filter(close)
+
+
 def bm25_topk(
     queries: DataFrame,
     postings: DataFrame,
-    positions: DataFrame | None,
+    blocks: DataFrame,
     stats: DataFrame,
     k: int | None = None,
     params: SearchParams = SearchParams(),
     keys: tuple[str, ...] = ("query_id",),
+    gone: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks per query by BM25: ``keys, doc_id, chunk_index, score, rank``."""
-    return top_k(bm25_scores(queries, postings, positions, stats, params, keys), k or params.candidate_k, keys)
+    k = k or params.candidate_k
+    asked = _prepare(queries, postings, blocks, stats, params, keys, gone)
+    _, best, rest = _passes(asked, k)
+    if rest.isEmpty():
+        return best
+    return top_k(best.drop("rank").unionByName(_scored(asked, rest)), k, keys)
+
+
+def bm25_reads(
+    queries: DataFrame,
+    postings: DataFrame,
+    blocks: DataFrame,
+    stats: DataFrame,
+    k: int | None = None,
+    params: SearchParams = SearchParams(),
+    keys: tuple[str, ...] = ("query_id",),
+    gone: DataFrame | None = None,
+) -> DataFrame:
+    """Per query with results: blocks and postings of its phrases, how many hold all of them, and how many are scored."""
+    asked = _prepare(queries, postings, blocks, stats, params, keys, gone)
+    head, best, rest = _passes(asked, k or params.candidate_k)
+    found = best.select(*keys).unionByName(_scored(asked, rest).select(*keys)).distinct()
+    df = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["df"])
+    seen = head.select(*keys, df.alias("df"), "reads").unionByName(rest.select(*keys, df.alias("df"), "reads"))
+    scored = seen.groupBy(*keys).agg(F.first("df").alias("postings"), F.count("*").alias("blocks_read"), F.sum("reads").alias("postings_read"))
+    held = asked.blocks.groupBy(*keys).agg(F.count("*").alias("blocks_held"))
+    return scored.join(held, list(keys)).join(found, list(keys)).select(*keys, "postings", "postings_read", "blocks_held", "blocks_read")

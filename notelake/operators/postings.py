@@ -1,14 +1,28 @@
-"""Lexical index tables: postings, chunk lengths, corpus statistics."""
+"""Lexical index tables: postings with positions, block bounds, chunk lengths, corpus statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import tokens
 from notelake.params import FIELDS
 
 CHUNK_KEY = ("doc_id", "chunk_index")
+#: Documents of a block share the number without its last bits. A place is the field's number before the position.
+BLOCK_BITS, PLACE_BITS = 5, 26
+#: Folders that terms are dealt to, parts of a frequent term, share of the chunks that makes a term frequent,
+#: one in how many chunks is looked at to find such terms, and how many of them there may be.
+BUCKETS, SPREAD, FREQUENT, SAMPLE, MAX_FREQUENT = 16, 8, 0.25, 16, 1000
+POSTING = (
+    "term string, doc_id long, chunk_index int, namespace string, n_tokens long, origin int, doc_no long, block long, "
+    + ", ".join(f"tf_{f} int" for f in FIELDS)
+    + ", places array<int>"
+)
 
 
 def lexical_rows(chunks: DataFrame) -> DataFrame:
@@ -22,16 +36,19 @@ def lexical_rows(chunks: DataFrame) -> DataFrame:
         F.col("text").alias("body"),
         F.col("tags_text").alias("tags"),
         F.col("properties_text").alias("properties"),
+        *[c for c in ("origin", "doc_no") if c in chunks.columns],
     )
 
 
 def _with_tokens(rows: DataFrame) -> DataFrame:
-    namespace = F.col("namespace") if "namespace" in rows.columns else F.lit("root")
-    fields = [
-        (tokens(F.col(f)) if f in rows.columns else F.array().cast("array<string>")).alias(f"_{f}")
-        for f in FIELDS
-    ]
-    return rows.select(*CHUNK_KEY, namespace.alias("namespace"), *fields)
+    held = set(rows.columns)
+    namespace = F.col("namespace") if "namespace" in held else F.lit("root")
+    origin = F.col("origin") if "origin" in held else F.lit(0)
+    number = F.col("doc_no") if "doc_no" in held else F.col("doc_id")
+    fields = [(tokens(F.col(f)) if f in held else F.array().cast("array<string>")).alias(f"_{f}") for f in FIELDS]
+    return rows.select(
+        *CHUNK_KEY, namespace.alias("namespace"), origin.cast("int").alias("origin"), number.cast("long").alias("doc_no"), *fields
+    )
 
 
 def chunk_lengths(rows: DataFrame) -> DataFrame:
@@ -85,31 +102,79 @@ def token_positions(rows: DataFrame) -> DataFrame:
     )
 
 
-def spread(rows: DataFrame, shards: int | None = None) -> DataFrame:
-    """Spread chunk rows by their key.
+def build_postings(rows: DataFrame, marks: bool = False) -> DataFrame:
+    """One row per (term, chunk): token count per field, chunk length, places, and the block of the document.
 
-    The grouping by chunk and term finds this distribution and shuffles nothing
-    again. A frequent term is spread over all shards, so none of them is hot.
+    A place is ``field * 2^26 + position``; the places of a posting are in order. A chunk is one row, so its
+    tokens are grouped where they are made and nothing is shuffled. With ``marks`` every chunk also has a row
+    of the empty term, which carries the length of chunks without any token.
     """
-    return rows.repartition(shards, *CHUNK_KEY) if shards else rows.repartition(*CHUNK_KEY)
-
 
-def build_postings(rows: DataFrame, shards: int | None = None) -> DataFrame:
-    """One row per (term, chunk): token count per field and chunk length.
-
-    Positions are a table of their own (``token_positions``), which only phrases
-    of several tokens read.
-    """
-    counts = [
-        F.count_if(F.col("field") == i).cast("int").alias(f"tf_{f}") for i, f in enumerate(FIELDS)
-    ]
-    return (
-        token_positions(spread(rows, shards))
-        .groupBy(*CHUNK_KEY, "term", "namespace", "n_tokens")
-        .agg(*counts)
-    )
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            lists = [batch.column(f"_{f}") for f in FIELDS]
+            sizes = np.stack([np.diff(x.offsets.to_numpy()) for x in lists], axis=1) if n else np.zeros((0, len(FIELDS)), np.int64)
+            flat = pa.concat_arrays([pa.array([""]), *(x.flatten() for x in lists)]).dictionary_encode()
+            codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)[1:]
+            row, place = [], []
+            for i in range(len(FIELDS)):
+                own = np.repeat(np.arange(n), sizes[:, i])
+                row.append(own)
+                place.append((i << PLACE_BITS) + np.arange(len(own)) - np.repeat(np.cumsum(sizes[:, i]) - sizes[:, i], sizes[:, i]))
+            row, place = np.concatenate(row), np.concatenate(place).astype(np.int32)
+            if marks:
+                row, place, codes = (np.concatenate(x) for x in ((np.arange(n), row), (np.full(n, -1, np.int32), place), (np.zeros(n, np.int64), codes)))
+            key = row * len(flat.dictionary) + codes
+            by = np.argsort(key, kind="stable")
+            key, place = key[by], place[by]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            own = pa.array(key[begin] // len(flat.dictionary))
+            term = flat.dictionary.take(pa.array(key[begin] % len(flat.dictionary)))
+            field = np.where(place < 0, len(FIELDS), place >> PLACE_BITS)
+            count = lambda i: np.add.reduceat(field == i, begin, dtype=np.int32) if len(begin) else np.zeros(0, np.int32)  # noqa: E731,B023
+            kept = place >= 0
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, begin, dtype=np.int64) if len(begin) else [])]).astype(np.int32)
+            numbers = batch.column("doc_no").to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = [
+                term, batch.column("doc_id").take(own), batch.column("chunk_index").take(own).cast(pa.int32()), batch.column("namespace").take(own),
+                pa.array(sizes.sum(axis=1)).take(own), batch.column("origin").take(own), pa.array(numbers).take(own), pa.array(numbers >> BLOCK_BITS).take(own),
+                *(pa.array(count(i)) for i in range(len(FIELDS))), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[kept])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTING.split(", ")])
+
+    return _with_tokens(rows).mapInArrow(group, POSTING)
+
+
+def bucket_of(term: Column) -> Column:
+    """Folder number of a term; -1 for the rows that only carry a chunk's length."""
+    return F.when(term == "", -1).otherwise(F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+def frequent_terms(rows: DataFrame) -> list[str]:
+    """Terms found in at least FREQUENT of the chunks, by a sketch over a fixed sample of the chunks."""
+    some = rows.filter(F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(SAMPLE)) == 0)
+    said = _with_tokens(some).select(F.explode(F.array_distinct(F.concat(*[F.col(f"_{f}") for f in FIELDS]))).alias("term"))
+    n = some.count()
+    top = said.agg(F.expr(f"approx_top_k(term, {MAX_FREQUENT}, {20 * MAX_FREQUENT})").alias("top")).first().top
+    return sorted(x.item for x in top or [] if x["count"] >= max(2, FREQUENT * n))
+
+
+def dealt(postings: DataFrame, frequent: list[str]) -> DataFrame:
+    """Postings in the order they are stored in: by bucket, a frequent term in SPREAD parts by block, sorted by term."""
+    often = F.col("term").isin(frequent) | (F.col("term") == "") if frequent else F.col("term") == ""
+    part = F.when(often, F.pmod(F.xxhash64("origin", "block"), F.lit(SPREAD))).otherwise(0).cast("int")
+    laid = postings.withColumn("bucket", bucket_of(F.col("term"))).withColumn("_part", part)
+    return laid.repartition("bucket", "_part").sortWithinPartitions("bucket", "term", "origin", "block").drop("_part")
+
+
+def term_blocks(postings: DataFrame) -> DataFrame:
+    """Per term and block of documents: postings, the most tokens of each field, and the shortest chunk."""
+    most = [F.max(f"tf_{f}").alias(f"most_{f}") for f in FIELDS]
+    keys = [c for c in ("bucket", "term", "origin", "block") if c in postings.columns]
+    return postings.filter("term <> ''").groupBy(*keys).agg(F.count("*").alias("n"), *most, F.min("n_tokens").alias("least_tokens"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
     """Chunks per term."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,19 +12,12 @@ from pyspark.sql import functions as F
 
 from notelake.functions.markdown import chunk_notes, parse_notes
 from notelake.functions.text import content_hash, is_blank
+from notelake.operators.health import repair_chunks
 from notelake.operators.namespaces import with_namespace
-from notelake.operators.postings import (
-    CHUNK_KEY,
-    build_postings,
-    chunk_lengths,
-    lexical_rows,
-    spread,
-    token_positions,
-)
-from notelake.operators.sizing import broadcast_if_small
+from notelake.operators.postings import CHUNK_KEY, build_postings, chunk_lengths, lexical_rows, term_blocks
 from notelake.operators.vectors import check_dimension
 from notelake.params import ChunkParams
-from notelake.sources.store import commit, load_index, manifest, write_table
+from notelake.sources.store import State, Version, committed, compact_index, due, hide, new_folder, visible, write_lexical, write_table
 
 DOC_COLS = (
     "doc_id", "doc_path", "namespace", "source_kind", "title", "content_hash", "file_size",
@@ -33,6 +27,8 @@ CHUNK_COLS = (
     *CHUNK_KEY, "namespace", "title", "heading_path", "start_line", "end_line", "text",
     "text_hash", "token_estimate", "tags_text", "properties_text",
 )
+TEXT_COLS = ("body", "body_offset", "tags_text", "properties_text")
+CHANGES = "doc_path string, new_hash string, old_hash string, change_kind string"
 EMBED_BATCH = 100
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -46,8 +42,8 @@ def prepare_docs(notes: DataFrame, namespaces: DataFrame | None = None) -> DataF
     return with_namespace(docs, namespaces)
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = EMBED_BATCH) -> DataFrame:
-    """Vectors of chunk texts: ``doc_id, chunk_index, namespace, embedding``.
+def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = EMBED_BATCH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Vectors of chunk texts: ``doc_id, chunk_index, namespace, carry, embedding``.
 
     The embedder gets at most ``batch`` texts per call. A failed call leaves NULL
     vectors, so the lexical side of the index stays usable; callers filter and count them.
@@ -61,44 +57,44 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = EMBED_BATCH
                     vectors = [np.asarray(v, dtype=np.float32) for v in embedder(part.text.tolist())]
                 except Exception:  # noqa: BLE001 - an embedder may fail in any way
                     vectors = [None] * len(part)
-                yield part[["doc_id", "chunk_index", "namespace"]].assign(embedding=vectors)
+                yield part[[*CHUNK_KEY, "namespace", *carry]].assign(embedding=vectors)
 
-    return chunks.select("doc_id", "chunk_index", "namespace", "text").mapInPandas(
-        run, "doc_id long, chunk_index int, namespace string, embedding array<float>"
+    kinds = dict(chunks.dtypes)
+    more = "".join(f"{c} {kinds[c]}, " for c in carry)
+    return chunks.select(*CHUNK_KEY, "namespace", *carry, "text").mapInPandas(
+        run, f"doc_id long, chunk_index int, namespace string, {more}embedding array<float>"
     )
 
 
 def _write_version(
     spark: SparkSession,
     root: str,
-    version: int,
-    kind: str,
+    folder: str,
+    origin: int,
     docs: DataFrame,
     params: ChunkParams,
     embedder: Embedder | None,
     dimension: int | None,
-    deletes: DataFrame | None,
-    shards: int | None,
     known: DataFrame | None = None,
-) -> None:
-    """Write the tables one after the other, each from the one before, then commit.
+) -> tuple[Version, int | None]:
+    """Write the tables one after the other, each from the one before. Notes are parsed once: their bodies are kept
+    with the documents, which chunks are cut from. Returns the version and the length of its vectors.
 
     ``known``: documents of earlier versions, whose keys must not be those of other paths.
     """
-    tables = ["docs", "chunks", "postings", "positions", "lengths"]
-    columns = [c for c in DOC_COLS if c in docs.columns]
-    written = write_table(docs.select(*columns), root, "docs", version).select("doc_id", "doc_path")
+    tables = ["docs", "chunks", "postings", "blocks", "lengths"]
+    columns = [c for c in (*DOC_COLS, *TEXT_COLS) if c in docs.columns]
+    numbered = docs.select(*columns, F.lit(origin).alias("origin"), F.monotonically_increasing_id().alias("doc_no"))
+    held = write_table(numbered, root, "docs", folder)
+    written = held.select("doc_id", "doc_path")
     if known is not None:
-        fresh = broadcast_if_small(written.select("doc_id"))
-        written = written.unionAll(known.select("doc_id", "doc_path").join(fresh, "doc_id", "left_semi"))
+        written = written.unionAll(known.select("doc_id", "doc_path").join(written.select("doc_id"), "doc_id", "left_semi"))
     check_keys(written)
-    chunks = write_table(chunk_notes(docs, params=params).select(*CHUNK_COLS), root, "chunks", version)
-    rows = lexical_rows(chunks)
-    write_table(build_postings(rows, shards), root, "postings", version)
-    write_table(token_positions(spread(rows, shards)), root, "positions", version)
-    write_table(chunk_lengths(rows), root, "lengths", version)
+    chunks = write_table(chunk_notes(held, params=params).select(*CHUNK_COLS, "origin", "doc_no"), root, "chunks", folder)
+    total = write_lexical(chunks, root, folder)
     if embedder is not None:
-        vectors = write_table(embed_chunks(chunks, embedder), root, "vectors", version)
+        numbers = chunks.select(*CHUNK_KEY, "namespace", "text", "origin", "doc_no")
+        vectors = write_table(embed_chunks(numbers, embedder, carry=("origin", "doc_no")), root, "vectors", folder)
         given = vectors.filter("embedding IS NOT NULL")
         if dimension is None:
             first = given.select(F.size("embedding").alias("n")).first()
@@ -106,10 +102,7 @@ def _write_version(
         if dimension is not None:
             check_dimension(given, dimension)
         tables.append("vectors")
-    if deletes is not None:
-        write_table(deletes, root, "deletes", version)
-        tables.append("deletes")
-    commit(spark, root, version, kind, tables, dimension)
+    return Version(folder, origin, origin, origin, tuple(tables), *total), dimension
 
 
 def check_keys(docs: DataFrame) -> None:
@@ -127,15 +120,17 @@ def build_index(
     embedder: Embedder | None = None,
     dimension: int | None = None,
     params: ChunkParams = ChunkParams(),
-    shards: int | None = None,
 ) -> int:
     """Full build from note files: a fresh version that replaces everything before it."""
     spark = notes.sparkSession
-    rows = manifest(spark, root)
-    version = rows[-1].version + 1 if rows else 1
     docs = prepare_docs(notes, namespaces)
-    _write_version(spark, root, version, "full", docs, params, embedder, dimension, None, shards)
-    return version
+
+    def attempt(state: State) -> State:
+        version = state.version + 1
+        made, length = _write_version(spark, root, new_folder(version), version, docs, params, embedder, dimension)
+        return State(version, length, (made,), state.batches)
+
+    return committed(spark, root, attempt).version
 
 
 def detect_changes(notes: DataFrame, docs: DataFrame, dirty: DataFrame | None = None) -> DataFrame:
@@ -149,7 +144,7 @@ def detect_changes(notes: DataFrame, docs: DataFrame, dirty: DataFrame | None =
     )
     held = docs.select("doc_path", F.col("content_hash").alias("old_hash"))
     if dirty is not None:
-        paths = broadcast_if_small(dirty.select(F.col("path").alias("doc_path")).distinct())
+        paths = dirty.select(F.col("path").alias("doc_path")).distinct()
         now, held = now.join(paths, "doc_path", "left_semi"), held.join(paths, "doc_path", "left_semi")
     kind = (
         F.when(F.col("old_hash").isNull(), "added")
@@ -167,47 +162,87 @@ def update_index(
     namespaces: DataFrame | None = None,
     embedder: Embedder | None = None,
     params: ChunkParams = ChunkParams(),
-    shards: int | None = None,
+    batch: tuple[str, int] | None = None,
+    compact: bool = True,
 ) -> DataFrame:
     """Incremental build: only added and modified notes are parsed again.
 
-    Returns the change table that was applied (read back from the store).
+    Returns the change table that was applied (read back from the store). ``batch`` names a stream and one of its
+    batches: the version that applies a batch carries its number, so a repeated batch finds that version and
+    returns its changes. When another writer is faster, the changes are found anew against what it wrote.
+    ``compact`` merges versions of about the same size when there are many.
     """
     spark = notes.sparkSession
-    index = load_index(spark, root)
-    version = index.version + 1
-    changes = write_table(detect_changes(notes, index.docs, dirty), root, "changes", version)
-    todo = broadcast_if_small(
-        changes.filter("change_kind IN ('added', 'modified')").select(F.col("doc_path").alias("_p"))
-    )
-    fresh = notes.join(todo, F.translate("path", "\\", "/") == F.col("_p"), "left_semi")
-    deletes = changes.filter("change_kind IN ('modified', 'deleted')").select(
-        F.xxhash64("doc_path").alias("doc_id")
-    )
-    docs = prepare_docs(fresh, namespaces)
-    _write_version(
-        spark, root, version, "delta", docs, params, embedder, index.dimension, deletes, shards, index.docs
-    )
-    return changes
+    applied: list[DataFrame] = []
+
+    def attempt(state: State) -> State | None:
+        if not state.version:
+            raise ValueError(f"no index at {root}")
+        done = state.batches.get(batch[0]) if batch else None
+        if done and done["batch"] >= batch[1]:
+            path = f"{root}/changes/folder={done['folder']}"
+            applied[:] = [spark.read.schema(CHANGES).parquet(path) if done["batch"] == batch[1] else spark.createDataFrame([], CHANGES)]
+            return None
+        version = state.version + 1
+        folder = new_folder(version)
+        held = visible(spark, root, "docs", state)
+        changes = write_table(detect_changes(notes, held, dirty), root, "changes", folder)
+        applied[:] = [changes]
+        todo = changes.filter("change_kind IN ('added', 'modified')").select(F.col("doc_path").alias("_p"))
+        fresh = notes.join(todo, F.translate("path", "\\", "/") == F.col("_p"), "left_semi")
+        doomed = changes.filter("change_kind IN ('modified', 'deleted')").select(F.xxhash64("doc_path").alias("doc_id"))
+        batches = state.batches | ({batch[0]: {"batch": batch[1], "folder": folder}} if batch else {})
+        live, hiding = (state.live, []) if doomed.isEmpty() else hide(spark, root, folder, state, doomed)
+        docs = prepare_docs(fresh, namespaces)
+        made, dimension = _write_version(spark, root, folder, version, docs, params, embedder, state.dimension, held)
+        made = replace(made, tables=(*made.tables, *hiding))
+        return State(version, dimension, (*live, made), batches)
+
+    state = committed(spark, root, attempt)
+    if compact and due(state):
+        compact_index(spark, root)
+    return applied[0]
 
 
 def delete_documents(spark: SparkSession, root: str, doc_ids: DataFrame) -> int:
     """Hide every row of the given documents."""
-    version = manifest(spark, root)[-1].version + 1
-    dimension = manifest(spark, root)[-1].dimension
-    write_table(doc_ids.select("doc_id").distinct(), root, "deletes", version)
-    commit(spark, root, version, "delta", ["deletes"], dimension)
-    return version
+
+    def attempt(state: State) -> State:
+        version = state.version + 1
+        folder = new_folder(version)
+        live, tables = hide(spark, root, folder, state, doc_ids)
+        made = Version(folder, version, version, version, tuple(tables))
+        return replace(state, version=version, live=(*live, made))
+
+    return committed(spark, root, attempt).version
 
 
-def rebuild_lexical(
-    chunks: DataFrame, docs: DataFrame, shards: int | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, positions and lengths of the chunks that have a document, all five
+def rebuild_lexical(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, block bounds and lengths of the chunks that have a document, all five
     fields included."""
     held = chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
     rows = lexical_rows(held)
-    return build_postings(rows, shards), token_positions(spread(rows, shards)), chunk_lengths(rows)
+    postings = build_postings(rows)
+    return postings, term_blocks(postings), chunk_lengths(rows)
+
+
+def repair_index(spark: SparkSession, root: str) -> int:
+    """Write a version without orphaned chunks and vectors whose lexical tables are made anew from the chunks."""
+
+    def attempt(state: State) -> State:
+        version = state.version + 1
+        folder, tables = new_folder(version), ["docs", "chunks", "postings", "blocks", "lengths"]
+        docs = write_table(visible(spark, root, "docs", state), root, "docs", folder)
+        chunks = write_table(repair_chunks(visible(spark, root, "chunks", state), docs), root, "chunks", folder)
+        total = write_lexical(chunks, root, folder)
+        vectors = visible(spark, root, "vectors", state)
+        if vectors is not None:
+            write_table(vectors.join(chunks.select(*CHUNK_KEY), list(CHUNK_KEY), "left_semi"), root, "vectors", folder)
+            tables.append("vectors")
+        one = Version(folder, state.live[0].low, state.live[-1].high, state.version, tuple(tables), *total)
+        return replace(state, version=version, live=(one,))
+
+    return committed(spark, root, attempt).version
 
 
 def index_stats(changes: DataFrame, chunks: DataFrame, lengths: DataFrame, vectors: DataFrame | None, docs: DataFrame) -> DataFrame:

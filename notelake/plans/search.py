@@ -86,6 +86,10 @@ def _linear(lex: DataFrame | None, vec: DataFrame | None, params: SearchParams,
     return _ranked(fused, _no_score(), F.col("lex_norm"), F.col("vec_norm"))
 
 
+def _words(queries: DataFrame, index: NoteIndex, params: SearchParams, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    return bm25_topk(queries, index.postings, index.blocks, index.stats, params.candidate_k, params, keys, index.gone)
+
+
 def _classic(
     queries: DataFrame, index: NoteIndex, mode: str, params: SearchParams
 ) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +104,7 @@ def _classic(
         mode = "bm25_only" if mode == "hybrid" and has_lex else mode
 
     def words(q: DataFrame) -> DataFrame:
-        return bm25_topk(q, index.postings, index.positions, index.stats, params.candidate_k, params)
+        return _words(q, index, params)
 
     def near(q: DataFrame) -> DataFrame:
         return knn_topk(q, index.vectors, params.candidate_k, params.metric)
@@ -202,7 +206,7 @@ def multi_query_lists(
     lists = first.withColumn("weight", F.lit(params.original_weight)).select(*cols)
     if variants is not None:
         keys = ("query_id", "variant_no")
-        words = bm25_topk(variants, index.postings, index.positions, index.stats, k, params, keys)
+        words = _words(variants, index, params, keys)
         lists = lists.unionByName(words.withColumn("weight", F.lit(params.variant_weight)).select(*cols))
     asked = originals if variants is None else originals.unionByName(variants, True)
     if index.vectors is not None and "embedding" in asked.columns:
@@ -227,7 +231,7 @@ def _deep(
     skip_reranking: bool,
 ) -> tuple[DataFrame, DataFrame]:
     # Lexical ranking of the original texts; it decides on expansion and is fused later.
-    first = cut(bm25_topk(queries, index.postings, index.positions, index.stats, params.candidate_k, params))
+    first = cut(_words(queries, index, params))
     signals = strong_signal(first, params.strong_min_score, params.strong_min_gap)
     gate = expansion_gate(queries, signals, expander is not None, skip_expansion)
 

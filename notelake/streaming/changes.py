@@ -6,6 +6,7 @@ what was consumed, which replaces clearing a list by hand.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,15 +49,20 @@ def stream_index_updates(
     root: str,
     checkpoint: str,
     audit_path: str | None = None,
+    stream: str | None = None,
+    on_commit: Callable[[int], None] | None = None,
     **options,
 ) -> StreamingQuery:
     """Incremental index build for every batch of changed paths.
 
     ``notes`` is the note folder, of which only the changed files are opened, or a
     function that gives all notes. Paths below the folder may be absolute.
-    A repeated batch finds equal hashes and writes an empty version, so a
-    restart does no harm. With ``audit_path`` the applied changes are kept.
+    The version that applies a batch carries the stream's name (its checkpoint, if not given) and the batch's
+    number, so a batch that is repeated after a crash finds its version and is not applied twice. With
+    ``audit_path`` the changes are kept, as that version stores them: a crash at any point between the commit and
+    the audit loses no row. ``on_commit`` is called with the batch's number between the two.
     """
+    name = stream or checkpoint
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -65,27 +71,29 @@ def stream_index_updates(
             return
         if isinstance(notes, str):
             paths = clean_paths(paths, "path", notes)
-            changes = update_index(read_changed_notes(spark, notes, paths, None), paths, root, **options)
+            changes = update_index(read_changed_notes(spark, notes, paths, None), paths, root, batch=(name, batch_id), **options)
         else:
-            changes = update_index(notes(spark), paths, root, **options)
+            changes = update_index(notes(spark), paths, root, batch=(name, batch_id), **options)
+        if on_commit is not None:
+            on_commit(batch_id)
         if audit_path is not None:
-            write_audit(changes, audit_path, batch_id)
+            write_audit(changes, audit_path, name, batch_id)
 
     return run_batches(dirty_lines, handle, checkpoint)
 
 
-def write_audit(changes: DataFrame, path: str, batch_id: int) -> None:
-    """Audit rows of one batch. A repeated batch finds nothing left to change and keeps the rows it wrote first."""
+def write_audit(changes: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """Audit rows of one batch, from the changes its version stores. Writing them again writes the same rows."""
     rows = changes.filter("change_kind <> 'unchanged'").select(
         F.lit(batch_id).alias("batch_id"),
+        F.lit(stream).alias("stream"),
         F.current_timestamp().alias("at"),
         F.col("change_kind").alias("action"),
         "doc_path",
         F.col("old_hash").alias("hash_before"),
         F.col("new_hash").alias("hash_after"),
     )
-    if not rows.isEmpty():
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    rows.write.mode("overwrite").parquet(f"{path}/of={zlib.crc32(stream.encode())}/batch={batch_id}")
 
 
 def stream_session_capture(

@@ -14,7 +14,7 @@ from notelake.plans.indexing import (
     index_stats,
     update_index,
 )
-from notelake.sources.store import load_index
+from notelake.sources.store import compact_index, load_index, read_state
 from suite.inputs import DOC_PATH_SQL, chunks, new_dir, table
 from suite.notes import plain_notes
 from suite.registry import query
@@ -126,7 +126,8 @@ FROM changes""",
 def run_stats(spark, sf):
     """Counters of the incremental run; chunk, lexical and vector rows are equal in number."""
     root, changes = _updated(spark, sf)
-    wrote = {t: spark.read.parquet(f"{root}/{t}/version=2") for t in ("docs", "chunks", "lengths", "vectors")}
+    folder = read_state(spark, root).live[-1].folder
+    wrote = {t: spark.read.parquet(f"{root}/{t}/folder={folder}") for t in ("docs", "chunks", "lengths", "vectors")}
     stats = index_stats(changes, wrote["chunks"], wrote["lengths"], wrote["vectors"], wrote["docs"])
     same = (F.col("chunks_created") == F.col("lexical_rows")) & (F.col("chunks_created") == F.col("vector_rows"))
     return stats.withColumn("equal_rows", same & (F.col("chunks_created") >= F.col("docs_processed"))).drop(
@@ -148,3 +149,31 @@ def index_delete(spark, sf):
     in_postings = held.postings.select("doc_id").distinct()
     in_chunks = held.chunks.select("doc_id").distinct()
     return held.docs.join(in_postings, "doc_id", "left_semi").join(in_chunks, "doc_id", "left_semi").select("doc_path")
+
+
+@query(
+    "index_compact",
+    f"""WITH {_CHANGES}, held AS (SELECT * FROM documents WHERE lang <> 'de'),
+changed AS (SELECT doc_id, lang, text || CASE lang WHEN 'fr' THEN chr(10) || 'changed' ELSE '' END AS text FROM held)
+SELECT lang AS namespace, count(*) AS docs, TRUE AS merged, sum(length(text))::BIGINT AS chars FROM changed GROUP BY 1""",
+)
+def index_compact(spark, sf):
+    """A full build, a delta per source folder, then the merge: what readers see, and that folders became fewer."""
+    root = new_dir(spark, "compact")
+    build_index(stored_notes(spark, sf), root)
+    notes = scanned_notes(spark, sf)
+    folders = [r.top for r in notes.select(F.split("path", "/")[0].alias("top")).distinct().orderBy("top").collect()]
+    groups = [folders[i::6] for i in range(6)]
+    paths = notes.select("path").union(stored_notes(spark, sf).select("path")).distinct()
+    for names in groups:
+        dirty = paths.filter(F.split("path", "/")[0].isin(names))
+        update_index(notes.filter(F.split("path", "/")[0].isin(names)), dirty, root, compact=False)
+    before = len(read_state(spark, root).live)
+    after = len(compact_index(spark, root).live)
+    held = load_index(spark, root)
+    texts = notes.select(F.xxhash64("path").alias("doc_id"), F.length("content").alias("chars"))
+    return (
+        held.docs.join(held.lengths.select("doc_id").distinct(), "doc_id").join(texts, "doc_id")
+        .groupBy(F.element_at(F.split("doc_path", "/"), -2).alias("namespace"))
+        .agg(F.count("*").alias("docs"), F.lit(after < before and after <= 4).alias("merged"), F.sum("chars").cast("long").alias("chars"))
+    )

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import content_hash, token_estimate
-from notelake.operators.postings import build_postings, chunk_lengths, spread, token_positions
-from notelake.sources.store import NoteIndex, commit, load_index, write_table
+from notelake.sources.store import NoteIndex, State, Version, commit, load_index, new_folder, write_lexical, write_table
 from notelake.sources.workdir import work_dir
 
 DOC_PATH_SQL = "source || '/' || lang || '/' || doc_id || '.md'"
@@ -88,16 +87,14 @@ def index(spark: SparkSession, sf: str) -> NoteIndex:
     """The document index in the working folder, written once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILT:
-        root = new_dir(spark, "index")
-        write_table(docs(spark, sf), root, "docs", 1)
-        held = write_table(chunks(spark, sf), root, "chunks", 1)
-        rows = held.withColumnRenamed("text", "body")
-        write_table(build_postings(rows), root, "postings", 1)
-        write_table(token_positions(spread(rows)), root, "positions", 1)
-        write_table(chunk_lengths(rows), root, "lengths", 1)
-        write_table(vectors(spark, sf), root, "vectors", 1)
-        names = ["docs", "chunks", "postings", "positions", "lengths", "vectors"]
-        commit(spark, root, 1, "full", names, 64)
+        root, folder = new_dir(spark, "index"), new_folder(1)
+        keyed = lambda df: df.withColumns({"origin": F.lit(1), "doc_no": F.col("doc_id")})
+        write_table(keyed(docs(spark, sf)), root, "docs", folder)
+        held = write_table(keyed(chunks(spark, sf)), root, "chunks", folder)
+        total = write_lexical(held.withColumnRenamed("text", "body"), root, folder)
+        write_table(keyed(vectors(spark, sf)), root, "vectors", folder)
+        names = ("docs", "chunks", "postings", "blocks", "lengths", "vectors")
+        commit(spark, root, State(1, 64, (Version(folder, 1, 1, 1, names, *total),)))
         _BUILT[key] = root
     return load_index(spark, _BUILT[key])
 

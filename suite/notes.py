@@ -9,9 +9,6 @@ from notelake.functions.markdown import chunk_notes, parse_notes
 from notelake.functions.text import content_hash, score_band, snippet, token_estimate
 from notelake.operators.postings import (
     build_postings,
-    chunk_lengths,
-    corpus_stats,
-    term_stats,
     token_positions,
 )
 from notelake.sources.notes import catalogue, clean_paths
@@ -235,11 +232,17 @@ def chunk_conversation(spark, sf):
 @query(
     "chunk_oversize",
     """
-WITH RECURSIVE para AS (
-  SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS i
-  FROM (SELECT doc_id, string_split_regex(replace(trim(text, ' ' || chr(10) || chr(9)), chr(10), chr(10) || chr(10)), '\\n\\n+') AS l
-        FROM documents)
+WITH RECURSIVE body AS (
+  SELECT doc_id, replace(trim(text, ' ' || chr(10) || chr(9)), chr(10), chr(10) || chr(10)) AS b,
+         length(regexp_extract(text, '^[ \\n\\t]*')) - length(replace(regexp_extract(text, '^[ \\n\\t]*'), chr(10), '')) AS lead,
+         1 + 2 * (length(text) - length(replace(text, chr(10), ''))) AS total
+  FROM documents
 ),
+gaps AS (
+  SELECT doc_id, lead, total, unnest(l) AS t, unnest(range(len(l))) AS i, unnest(list_concat([0], list_transform(g, lambda x: length(x)))) AS gap
+  FROM (SELECT doc_id, lead, total, string_split_regex(b, '\\n\\n+') AS l, regexp_extract_all(b, '\\n\\n+') AS g FROM body)
+),
+para AS (SELECT doc_id, total, t, i, 1 + 2 * lead + sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM gaps),
 pack AS (
   SELECT doc_id, i, length(t) AS size, 0 AS part FROM para WHERE i = 0
   UNION ALL
@@ -249,6 +252,7 @@ pack AS (
   FROM pack k JOIN para p ON p.doc_id = k.doc_id AND p.i = k.i + 1
 )
 SELECT doc_id, part::BIGINT AS chunk_index, max(size)::BIGINT AS n_chars, count(*)::BIGINT AS n_paragraphs,
+       min(line)::BIGINT AS start_line, CASE WHEN max(max(part)) OVER (PARTITION BY doc_id) = 0 THEN any_value(total) ELSE max(line) END::BIGINT AS end_line,
        sha256(trim(string_agg(t, chr(10) || chr(10) ORDER BY i), ' ' || chr(10) || chr(9))) AS text_hash
 FROM pack JOIN para USING (doc_id, i) GROUP BY doc_id, part""",
 )
@@ -263,6 +267,8 @@ def chunk_oversize(spark, sf):
         F.col("chunk_index").cast("long").alias("chunk_index"),
         F.length("text").cast("long").alias("n_chars"),
         F.size(F.split("text", "\n\n+")).cast("long").alias("n_paragraphs"),
+        F.col("start_line").cast("long").alias("start_line"),
+        F.col("end_line").cast("long").alias("end_line"),
         "text_hash",
     )
 
@@ -295,16 +301,18 @@ SELECT (SELECT count(*) FROM documents) AS n_rows, count(*) AS total_tokens,
 FROM tok""",
 )
 def postings_stats(spark, sf):
-    rows = lexical_rows(spark, sf)
-    stats = corpus_stats(chunk_lengths(rows))
-    terms = term_stats(build_postings(rows)).agg(
-        F.count("*").alias("n_terms"), F.sum("df").alias("n_postings")
-    )
-    return terms.select(
-        stats.select("n_rows").scalar().alias("n_rows"),
-        stats.select("total_tokens").scalar().alias("total_tokens"),
-        "n_terms",
-        "n_postings",
+    # The rows of the empty term carry the length of their chunk.
+    mark = F.col("term") == ""
+    return (
+        build_postings(lexical_rows(spark, sf), marks=True)
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum(F.when(mark, F.col("n_tokens"))).alias("tokens"))
+        .agg(
+            F.sum(F.when(mark, F.col("df"))).alias("n_rows"),
+            F.sum("tokens").alias("total_tokens"),
+            F.count_if(~mark).alias("n_terms"),
+            F.sum(F.when(~mark, F.col("df"))).alias("n_postings"),
+        )
     )
 
 

@@ -15,7 +15,7 @@ from notelake.operators.evaluate import (
     saturating_norm,
 )
 from notelake.operators.fusion import hybrid_rrf, linear_fusion, strong_signal, top_k
-from notelake.operators.lexical import bm25_topk
+from notelake.operators.lexical import bm25_reads, bm25_topk
 from notelake.operators.vectors import knn_topk
 from notelake.params import SearchParams
 from suite.blocks import DOCVEC, TOKENS, bm25, knn, rrf
@@ -36,7 +36,7 @@ _OUT = "SELECT query_id::BIGINT AS query_id, doc_id, rank, round(score, 6) AS sc
 
 def words(spark, sf, queries, k=P.candidate_k, params=P):
     held = index(spark, sf)
-    return bm25_topk(queries, held.postings, held.positions, held.stats, k, params)
+    return bm25_topk(queries, held.postings, held.blocks, held.stats, k, params)
 
 
 @query("bm25_topk", f"WITH {TOKENS}, {SENTENCES_SQL}, {bm25('sentences', 10)} {_OUT} lex")
@@ -45,6 +45,40 @@ def bm25_sentences(spark, sf):
     return ranked(words(spark, sf, sentences(spark, sf).select("query_id", "text"), 10))
 
 
+PAIRS_SQL = """
+pairs AS (
+  SELECT item_id * 1000 + i AS query_id, w[i] || '-' || w[i + 1] AS text
+  FROM (SELECT item_id, w, unnest(range(1, len(w), 7)) AS i
+        FROM (SELECT item_id, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM benchmark))
+)"""
+
+
+@query("bm25_phrase_corpus", f"WITH {TOKENS}, {PAIRS_SQL}, {bm25('pairs', 10)} {_OUT} lex")
+def bm25_phrase_corpus(spark, sf):
+    """Every seventh pair of neighbouring words of the benchmark passages as a phrase."""
+    word = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    said = table(spark, sf, "benchmark").select("item_id", word.alias("w")).filter(F.size("w") > 1)
+    at = said.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(7))).alias("i"))
+    asked = at.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), F.concat(F.col("w")[F.col("i") - 1], F.lit("-"), F.col("w")[F.col("i")]).alias("text"))
+    return ranked(words(spark, sf, asked, 10))
+
+
+@query(
+    "bm25_reads",
+    f"""WITH {TOKENS}, {SENTENCES_SQL}, {bm25('sentences', 10)},
+asked AS (SELECT DISTINCT query_id FROM lex),
+df AS (SELECT phrase, count(*) AS df FROM wtf GROUP BY 1),
+total AS (SELECT query_id, sum(df)::BIGINT AS postings FROM phrases JOIN asked USING (query_id) JOIN df USING (phrase) GROUP BY 1)
+SELECT query_id::BIGINT AS query_id, postings, TRUE AS bounded FROM total""",
+)
+def bm25_reads_(spark, sf):
+    """Postings of the phrases of every query that has results, and that no more than those are scored."""
+    held = index(spark, sf)
+    asked = sentences(spark, sf).select("query_id", "text")
+    reads = bm25_reads(asked, held.postings, held.blocks, held.stats, 10)
+    return reads.select("query_id", "postings", ((F.col("postings_read") <= F.col("postings")) & (F.col("blocks_read") <= F.col("blocks_held"))).alias("bounded"))
+
+
 @query("bm25_phrase", f"WITH {TOKENS}, {TEXTS_SQL}, {bm25('texts', 50)} {_OUT} lex")
 def bm25_phrase(spark, sf):
     """Quoted, hyphenated and repeated words: phrases, conjunction, repeats."""
@@ -284,7 +318,7 @@ def recall_at_k(spark, sf):
 
     held = index(spark, sf)
     asked = sentences(spark, sf).select("query_id", "text")
-    scored = bm25_scores(asked, held.postings, held.positions, held.stats)
+    scored = bm25_scores(asked, held.postings, held.blocks, held.stats)
     judged = scored.join(table(spark, sf, "labels").filter("quality > 0"), "doc_id").select(
         "query_id", "doc_id", "chunk_index", F.col("quality").cast("double").alias("grade")
     )

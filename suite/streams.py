@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +132,37 @@ def stream_audit_retry(spark, sf):
     return spark.read.parquet(f"{work}/audit").select("doc_path", F.col("action").alias("change_kind"))
 
 
+@query(
+    "stream_audit_crash",
+    f"""WITH {_CHANGES}
+SELECT doc_path, change_kind FROM changes WHERE change_kind <> 'unchanged'""",
+)
+def stream_audit_crash(spark, sf):
+    """The job dies between the commit and the audit, and notes change before it runs again: the audit has the rows
+    of the version that was committed."""
+    work = new_dir(spark, "crash")
+    build_index(stored_notes(spark, sf), f"{work}/index")
+    table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".md"))).alias("value")
+    ).write.text(f"{work}/dirty")
+
+    def die(batch_id):
+        raise RuntimeError("lost driver")
+
+    def run(notes, on_commit):
+        stream_index_updates(
+            spark.readStream.text(f"{work}/dirty"), notes, f"{work}/index", f"{work}/checkpoint", f"{work}/audit", on_commit=on_commit
+        ).awaitTermination()
+
+    try:
+        run(lambda s: scanned_notes(s, sf), die)
+        raise AssertionError("the first run has to fail")
+    except StreamingQueryException:
+        pass
+    run(lambda s: scanned_notes(s, sf).withColumn("content", F.concat("content", F.lit(" later"))), None)
+    return spark.read.parquet(f"{work}/audit").select("doc_path", F.col("action").alias("change_kind"))
+
+
 @query(
     "stream_session_capture",
     f"""WITH {_ROLLING}, old AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')

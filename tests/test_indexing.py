@@ -161,10 +161,10 @@ def test_health_and_rebuild(spark, built):
     assert orphan_chunks(held.chunks, docs).count() == 2
     assert lexical_gaps(held.chunks, lengths).count() == 3
     assert not health_report(docs, held.chunks, lengths).first().healthy
-    postings, positions, fresh = rebuild_lexical(held.chunks, docs)
+    postings, blocks, fresh = rebuild_lexical(held.chunks, docs)
     assert fresh.count() == 4
     assert postings.filter("term = 'architecture' AND tf_properties = 1").count() == 2
-    assert positions.filter("term = 'jwt'").count() == 0
+    assert blocks.filter("term = 'jwt'").count() == 0
 
 
 def test_parameters_are_checked():

@@ -193,3 +193,20 @@ def test_text_columns(spark):
     assert one(spark, "x" * 201, snippet) == "x" * 200 + "..."
     assert one(spark, "abcde", token_estimate) == 2
     assert one(spark, "", lambda c: score_band(F.lit(0.5))) == "moderate"
+
+
+def test_twenty_thousand_headings_are_cut_in_seconds(spark):
+    import time
+
+    text = "\n".join(f"{'#' * (1 + i % 6)} h{i}\n```\n# no\n```\ntext {i}" for i in range(20000))
+    began = time.time()
+    rows = chunk_notes(bodies(spark, text)).orderBy("chunk_index").collect()
+    assert len(rows) == 20000 and rows[7].heading_path == "h6 / h7" and rows[19999].start_line == 5 * 19999 + 1
+    assert time.time() - began < 20
+
+
+def test_line_breaks_inside_a_line_and_other_columns(spark):
+    assert [c[0] for c in chunks_of(spark, "# a\r\n\r\ntext\n## b\rc\n#\u3000d\u00a0\n####### e")] == ["a", "d"]
+    docs = spark.createDataFrame([(1, "# a\nx", {"k": "v"}, 5), (2, None, None, 6)], "doc_id long, body string, m map<string,string>, chunk_total int")
+    rows = chunk_notes(docs).collect()
+    assert [(r.doc_id, r.m, r.chunk_total, r.start_line, r.end_line) for r in rows] == [(1, {"k": "v"}, 5, 1, 2)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notelake.operators.fusion import linear_fusion, ranks, rrf_fusion, strong_signal, top_k
 from notelake.operators.lexical import bm25_scores, bm25_topk
-from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_stats, token_positions
+from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_blocks, term_stats, token_positions
 from notelake.operators.vectors import check_dimension, knn_topk
 
 ROWS = [
@@ -25,7 +25,8 @@ def lexical(spark):
         "doc_id long, chunk_index int, title string, heading_path string, body string, tags string,"
         " properties string, namespace string",
     )
-    return build_postings(rows), token_positions(rows), corpus_stats(chunk_lengths(rows))
+    held = build_postings(rows)
+    return held, term_blocks(held), corpus_stats(chunk_lengths(rows))
 
 
 def ask(spark, lexical, text, namespace=None, **kw):
@@ -105,8 +106,7 @@ def test_large_query_tables_take_the_open_join(spark, lexical, monkeypatch):
 def test_postings_layout(spark, lexical):
     row = lexical[0].filter("term = 'oauth' AND doc_id = 11").first()
     assert (row.tf_title, row.tf_body, row.n_tokens) == (0, 2, 9)
-    places = lexical[1].filter("term = 'oauth' AND doc_id = 11").collect()
-    assert sorted((p.field, p.pos) for p in places) == [(2, 0), (2, 1)]
+    assert [(p >> 26, p % (1 << 26)) for p in row.places] == [(2, 0), (2, 1)]
     assert term_stats(lexical[0]).filter("term = 'oauth'").first().df == 2
 
 

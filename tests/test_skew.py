@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from notelake.operators import transcripts as tr
 from notelake.operators.fusion import top_k
 from notelake.operators.lexical import bm25_scores
-from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, token_positions
+from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_blocks
 from notelake.plans.indexing import detect_changes
 
 
@@ -16,7 +16,8 @@ def test_hot_term_and_copies(spark):
         F.lit("t").alias("title"),
         F.when(F.col("id") < 1000, "hot copy of one text").otherwise(F.concat(F.lit("hot word"), "id")).alias("body"),
     )
-    index = build_postings(rows), token_positions(rows), corpus_stats(chunk_lengths(rows))
+    held = build_postings(rows)
+    index = held, term_blocks(held), corpus_stats(chunk_lengths(rows))
     q = spark.createDataFrame([(1, "hot"), (2, "hot copy"), (3, "copy-of one"), (4, "hot word2500")], "query_id long, text string")
     scores = bm25_scores(q, *index)
     counts = {r.query_id: r["count"] for r in scores.groupBy("query_id").count().collect()}
