@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.operators.cache import ResultCache, read_through
 from notelake.operators.fusion import linear_fusion, rrf_fusion, hybrid_rrf, strong_signal, top_k
 from notelake.operators.lexical import bm25_topk
 from notelake.operators.lookup import attach_contexts, enrich_results
-from notelake.operators.rerank import blend, rerank_inputs
+from notelake.operators.rerank import blend, cache_key, rerank_inputs
 from notelake.operators.sizing import MAX_BROADCAST_ROWS, row_bound
 from notelake.operators.vectors import knn_topk
 from notelake.params import MODES, SearchParams
@@ -43,18 +44,21 @@ def search(
     skip_expansion: bool = False,
     skip_reranking: bool = False,
     contexts: DataFrame | None = None,
+    cache: ResultCache | None = None,
 ) -> SearchOutput:
     """Answer every query of a table.
 
     ``queries``: ``query_id, text`` and optionally ``embedding`` and ``namespace``.
     Engines that are missing degrade the mode, with a warning in the report; a
-    query without an embedding is answered by words alone.
+    query without an embedding is answered by words alone. The ranking is made
+    once, for the results and the report. ``cache`` keeps what the expander and
+    the scorer of a deep search return.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "deep":
         ranked, report = _deep(
-            queries, index, params, expander, scorer, skip_expansion, skip_reranking
+            queries, index, params, expander, scorer, skip_expansion, skip_reranking, cache
         )
     else:
         ranked, report = _classic(queries, index, mode, params)
@@ -137,6 +141,7 @@ def _classic(
         row_warnings = F.when(
             bare, F.array(F.lit("Vector search failed: the query has no embedding"))
         ).otherwise(F.array().cast("array<string>"))
+    ranked = cut(ranked)
     counts = ranked.groupBy("query_id").agg(F.count("*").alias("total_candidates"))
     report = (
         queries.select("query_id", row_mode.alias("mode"), row_warnings.alias("warnings"))
@@ -204,23 +209,64 @@ def multi_query_lists(
     k = params.candidate_k
     cols = ["query_id", "doc_id", "chunk_index", "rank", "weight"]
     lists = first.withColumn("weight", F.lit(params.original_weight)).select(*cols)
-    if variants is not None:
+    if variants is not None and index.postings is not None:
         keys = ("query_id", "variant_no")
         words = _words(variants, index, params, keys)
         lists = lists.unionByName(words.withColumn("weight", F.lit(params.variant_weight)).select(*cols))
     asked = originals if variants is None else originals.unionByName(variants, True)
     if index.vectors is not None and "embedding" in asked.columns:
-        named = asked.withColumn("list_id", F.xxhash64("query_id", "variant_no"))
-        near = knn_topk(
-            named.drop("query_id").withColumnRenamed("list_id", "query_id"), index.vectors, k, params.metric
-        )
-        owner = named.select("list_id", "query_id", "weight")
-        lists = lists.unionByName(
-            near.withColumnRenamed("query_id", "list_id").join(owner, "list_id").select(*cols)
-        )
+        lists = lists.unionByName(_near_variants(asked, index, k, params).select(*cols))
     return lists
 
 
+def _near_variants(asked: DataFrame, index: NoteIndex, k: int, params: SearchParams) -> DataFrame:
+    """Nearest neighbours of every variant. A variant is one query to the engine, under a number of its own that is
+    written down once."""
+    named = cut(asked.withColumn("_list", F.monotonically_increasing_id()))
+    near = knn_topk(named.drop("query_id").withColumnRenamed("_list", "query_id"), index.vectors, k, params.metric)
+    owner = named.select("_list", "query_id", "weight")
+    return near.withColumnRenamed("query_id", "_list").join(owner, "_list")
+
+
+def _failure(error: Exception) -> str:
+    """First line of what a model function or the job that ran it said."""
+    return (str(error).strip().splitlines() or [type(error).__name__])[0][:200]
+
+
+def _expanded(queries: DataFrame, expander: Expander, cache: ResultCache | None) -> DataFrame:
+    """Variants of the open queries, each distinct text asked once when there is a cache."""
+    if cache is None:
+        return expander(queries)
+    keyed = cut(queries.select("query_id", cache_key("expand", cache.model, F.col("text")).alias("cache_key")))
+    item = "variant_no int, text string" + (", embedding array<double>" if "embedding" in queries.columns else "")
+
+    def compute(ids: DataFrame) -> DataFrame:
+        made = expander(queries.join(ids, "query_id", "left_semi"))
+        made = made.withColumn("variant_no", F.col("variant_no").cast("int"))
+        if "embedding" not in queries.columns:
+            return made
+        given = F.col("embedding").cast("array<double>") if "embedding" in made.columns else F.lit(None).cast("array<double>")
+        return made.withColumn("embedding", given)
+
+    out = read_through(keyed, compute, item, cache)
+    if "embedding" in queries.columns:
+        out = out.withColumn("embedding", F.col("embedding").cast(queries.schema["embedding"].dataType))
+    return out
+
+
+def _rescored(inputs: DataFrame, scorer: Scorer, cache: ResultCache | None) -> DataFrame:
+    """Scores of the candidates; the same question about the same candidates is asked once when there is a cache."""
+    cols = ["query_id", "doc_id", "chunk_index", "score"]
+    if cache is None:
+        return scorer(inputs).select(*cols)
+    inputs = cut(inputs)
+    ids = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "doc_id", "chunk_index"))), ",")
+    asked = inputs.groupBy("query_id", "query_text").agg(ids.alias("ids"))
+    keyed = cut(asked.select("query_id", cache_key("rerank", cache.model, F.concat("query_text", F.lit("::"), "ids")).alias("cache_key")))
+    item = "doc_id long, chunk_index int, score double"
+    return read_through(keyed, lambda some: scorer(inputs.join(some, "query_id", "left_semi")), item, cache).select(*cols)
+
+
 def _deep(
     queries: DataFrame,
     index: NoteIndex,
@@ -229,45 +275,81 @@ def _deep(
     scorer: Scorer | None,
     skip_expansion: bool,
     skip_reranking: bool,
+    cache: ResultCache | None,
 ) -> tuple[DataFrame, DataFrame]:
+    """Without one engine the other answers, and a model function that fails is left out; the report says so."""
+    said: list[str] = []  # warnings that hold for every query
     # Lexical ranking of the original texts; it decides on expansion and is fused later.
-    first = cut(_words(queries, index, params))
+    if index.postings is None:
+        said.append("Initial BM25 search failed: no lexical index")
+        first = queries.select("query_id").filter("false").selectExpr(
+            "query_id", "cast(null as bigint) doc_id", "cast(null as int) chunk_index", "cast(null as double) score", "cast(null as int) rank"
+        )
+    else:
+        first = cut(_words(queries, index, params))
     signals = strong_signal(first, params.strong_min_score, params.strong_min_gap)
-    gate = expansion_gate(queries, signals, expander is not None, skip_expansion)
+    gate = cut(expansion_gate(queries, signals, expander is not None, skip_expansion))
 
     originals = query_variants(queries, None, params)
     variants = None
     if expander is not None and not skip_expansion:
         open_queries = queries.join(gate.filter("NOT skipped"), "query_id", "left_semi")
-        both = query_variants(open_queries, expander(open_queries), params)
-        variants = cut(both.filter("variant_no > 0"))
+        try:
+            both = query_variants(open_queries, _expanded(open_queries, expander, cache), params)
+            variants = cut(both.filter("variant_no > 0"))
+        except Exception as error:  # noqa: BLE001 - an expander may fail in any way
+            said.append(f"Query expansion failed: {_failure(error)}")
 
     lists = multi_query_lists(originals, variants, index, params, first)
     fused = cut(rrf_fusion(lists, params.rrf_k))
     # The first rerank_limit rows are scored; the rest of the ranking follows behind them.
-    ranking = top_k(fused, max(params.rerank_limit, params.top_k)).drop("best_rank")
+    ranking = cut(top_k(fused, max(params.rerank_limit, params.top_k)).drop("best_rank"))
     best = ranking.filter(F.col("rank") < params.rerank_limit)
 
+    scored = None
+    ranked = _final(best.withColumn("rrf_score", F.col("score")), _no_score())
     if scorer is not None and not skip_reranking:
         inputs = rerank_inputs(best, index.chunks, params.rerank_chars).join(
             queries.select("query_id", F.col("text").alias("query_text")), "query_id"
         )
-        scores = cut(scorer(inputs).select("query_id", "doc_id", "chunk_index", "score"))
-        scored = scores.select("query_id").distinct()
-        mixed = blend(best.join(scored, "query_id", "left_semi"), scores, params)
-        plain = best.join(scored, "query_id", "left_anti")
-        ranked = _final(mixed, F.col("rerank_score")).unionByName(
-            _final(plain.withColumn("rrf_score", F.col("score")), _no_score())
-        )
-    else:
-        scored = None
-        ranked = _final(best.withColumn("rrf_score", F.col("score")), _no_score())
+        try:
+            scores = cut(_rescored(inputs, scorer, cache))
+        except Exception as error:  # noqa: BLE001 - a scorer may fail in any way
+            said.append(f"Re-ranking failed: {_failure(error)}")
+        else:
+            scored = scores.select("query_id").distinct()
+            mixed = blend(best.join(scored, "query_id", "left_semi"), scores, params)
+            plain = best.join(scored, "query_id", "left_anti")
+            ranked = _final(mixed, F.col("rerank_score")).unionByName(
+                _final(plain.withColumn("rrf_score", F.col("score")), _no_score())
+            )
     if params.top_k > params.rerank_limit:
         rest = ranking.filter(F.col("rank") >= params.rerank_limit)
         ranked = ranked.unionByName(_final(rest.withColumn("rrf_score", F.col("score")), _no_score()))
-    ranked = ranked.filter(F.col("rank") < params.top_k)
+    ranked = cut(ranked.filter(F.col("rank") < params.top_k))
     report = _deep_report(gate, fused, variants, scored, scorer is not None, skip_reranking)
-    return ranked, report
+    return ranked, report.join(_deep_warnings(originals, variants, index, said), "query_id")
+
+
+def _deep_warnings(originals: DataFrame, variants: DataFrame | None, index: NoteIndex, said: list[str]) -> DataFrame:
+    """``query_id, warnings``: those of all queries, then per asked text the engines that could not answer it."""
+    asked = originals if variants is None else originals.unionByName(variants, True)
+    name = F.concat(F.lit(' failed for query "'), F.left("text", F.lit(50)), F.lit('": '))
+    no_words = F.lit(index.postings is None)
+    has_vectors = index.vectors is not None
+    bare = F.col("embedding").isNull() if "embedding" in asked.columns else F.lit(True)
+    why = F.when(F.lit(not has_vectors), "no vectors").otherwise("the query has no embedding")
+    texts = F.filter(
+        F.array(
+            F.when(no_words, F.concat(F.lit("BM25 search"), name, F.lit("no lexical index"))),
+            F.when(F.lit(not has_vectors) | bare, F.concat(F.lit("Vector search"), name, why)),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    each = asked.select("query_id", F.struct("variant_no", texts.alias("texts")).alias("_one"))
+    common = F.array(*[F.lit(x) for x in said]).cast("array<string>")
+    per = F.flatten(F.sort_array(F.collect_list("_one"))["texts"])
+    return each.groupBy("query_id").agg(F.concat(common, per).alias("warnings"))
 
 
 def _final(df: DataFrame, rerank: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import tokens
+from notelake.operators.cache import ResultCache
 from notelake.operators.fusion import rrf_fusion, strong_signal, top_k
 from notelake.operators.lookup import detail
 from notelake.operators.rerank import (
@@ -25,10 +26,12 @@ from notelake.operators.rerank import (
 from notelake.params import SearchParams
 from notelake.plans.search import expansion_gate, search
 from suite.blocks import DOCVEC, TOKENS, bm25, knn, rrf, tok
-from suite.inputs import DOC_PATH_SQL, SENTENCES_SQL, index, sentences, table
+from suite.inputs import DOC_PATH_SQL, SENTENCES_SQL, index, new_dir, sentences, table
 from suite.registry import query
 from suite.retrieval import BOTH, LINEAR, LISTS, P, both_engines, ranked, words
 
+_NOW = 1_700_000_000_000
+
 _SHAPE = f"""
 SELECT query_id, rank, doc_id, {DOC_PATH_SQL} AS doc_path, source AS title, lang AS heading_path, lang AS namespace,
        round(score, 6) AS score, round(lex_norm, 6) AS lex_norm, round(vec_norm, 6) AS vec_norm,
@@ -193,6 +196,45 @@ def search_deep(spark, sf):
     )
 
 
+@query(
+    "search_deep_cached",
+    f"""WITH {BOTH}, {_VARIANTS}, {rrf('lists')}, {_RERANK}
+SELECT query_id, rank, doc_id, round(score, 6) AS score, round(rrf, 6) AS rrf_score, round(rel, 6) AS rerank_score
+FROM ranked WHERE rank < 10""",
+)
+def search_deep_cached(spark, sf):
+    """A deep search a second time: its expander and its scorer are not asked again."""
+    root = new_dir(spark, "cache")
+
+    def never(rows):
+        raise AssertionError("the cache has to answer")
+
+    asked, held = sentences(spark, sf), index(spark, sf)
+    search(asked, held, "deep", expander=variants(spark, sf), scorer=overlap_scores, cache=ResultCache(root, _NOW))
+    out = search(asked, held, "deep", expander=never, scorer=never, cache=ResultCache(root, _NOW + 3_000_000))
+    return out.results.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+        *[F.round(c, 6).alias(c) for c in ("score", "rrf_score", "rerank_score")],
+    )
+
+
+@query(
+    "search_deep_degraded",
+    f"""WITH {SENTENCES_SQL}, {DOCVEC},
+sq AS (SELECT query_id, item_id, s.text, embedding::DOUBLE[] AS qv FROM sentences s LEFT JOIN embeddings ON vec_id = item_id),
+{knn('sq', 50)}, n AS (SELECT query_id, count(*) AS c FROM vec GROUP BY 1)
+SELECT query_id, 'deep' AS mode, coalesce(c, 0) AS total_candidates, FALSE AS strong_signal,
+       'Initial BM25 search failed: no lexical index|BM25 search failed for query "' || substring(text, 1, 50) || '": no lexical index'
+       || CASE WHEN qv IS NULL THEN '|Vector search failed for query "' || substring(text, 1, 50) || '": the query has no embedding' ELSE '' END AS warnings
+FROM sq LEFT JOIN n USING (query_id)""",
+)
+def search_deep_degraded(spark, sf):
+    """Report of a deep search over an index without words: vectors answer, and the report says so."""
+    held = replace(index(spark, sf), postings=None, blocks=None)
+    report = search(sentences(spark, sf), held, "deep").report
+    return report.select("query_id", "mode", "total_candidates", "strong_signal", F.array_join("warnings", "|").alias("warnings"))
+
+
 @query(
     "search_deep_top50",
     f"""WITH {BOTH}, {_VARIANTS}, {rrf('lists')}, {_RERANK}
@@ -360,9 +402,6 @@ def position_blend(spark, sf):
     return ranked(blend(best, overlap_scores(inputs)))
 
 
-_NOW = 1_700_000_000_000
-
-
 def _cache(spark, sf):
     """Conversation texts of even turns, some of them expired."""
     return table(spark, sf, "conversations").filter("turn % 2 = 0").select(

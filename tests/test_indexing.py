@@ -2,7 +2,9 @@ from dataclasses import replace
 
 import pytest
 
+from notelake.operators.cache import ResultCache
 from notelake.operators.health import health_report, lexical_gaps, orphan_chunks
+from notelake.operators.rerank import score_with
 from notelake.params import SearchParams
 from notelake.plans.indexing import build_index, delete_documents, detect_changes, rebuild_lexical, update_index
 from notelake.plans.search import search
@@ -173,3 +175,45 @@ def test_parameters_are_checked():
     with pytest.raises(ValueError):
         SearchParams(fusion="other")
     assert SearchParams(top_k=4).candidate_k == 20
+
+
+def test_deep_search_degrades_and_warns(spark, built):
+    held = load_index(spark, built)
+    asked = queries(spark, "user", "JIRA-1234")
+
+    def broken(rows):
+        raise RuntimeError("model is down\nsecond line")
+
+    out = search(asked, held, "deep", expander=broken, scorer=broken)
+    warned = {r.query_id: r.warnings for r in out.report.collect()}
+    assert warned[0] == ["Query expansion failed: model is down", "Re-ranking failed: model is down"]
+    assert not out.report.first().rerank_applied and out.results.count() > 0
+    words = search(queries(spark, "gateway", vec=False), held, "deep")
+    assert words.report.first().warnings == ['Vector search failed for query "gateway": the query has no embedding']
+    assert {r.doc_path for r in words.results.collect()} == {"services/gate/gateway.md"}
+    near = search(asked, replace(held, postings=None), "deep", skip_expansion=True)
+    assert near.results.filter("query_id = 0").count() == 6 and "no lexical index" in near.report.first().warnings[0]
+    none = search(asked, replace(held, postings=None, vectors=None), "deep")
+    assert none.results.count() == 0 and len(none.report.first().warnings) == 3
+
+
+def test_deep_search_cache(spark, built, tmp_path):
+    held, calls = load_index(spark, built), spark.sparkContext.accumulator(0)
+
+    def scorer(rows):
+        def one(text, texts):
+            calls.add(1)
+            return [len(t) % 7 / 7 for t in texts]
+
+        return score_with(rows, one)
+
+    asked = queries(spark, "user", "user", "management")
+    cache = ResultCache(str(tmp_path / "cache"), 1000, ttl_ms=50)
+    plain = sorted(search(asked, held, "deep", scorer=scorer).results.select("query_id", "doc_id", "chunk_index", "score").collect())
+    before = calls.value
+    first = sorted(search(asked, held, "deep", scorer=scorer, cache=cache).results.select("query_id", "doc_id", "chunk_index", "score").collect())
+    assert first == plain and calls.value - before == 2  # two of the three queries are the same
+    again = sorted(search(asked, held, "deep", scorer=scorer, cache=replace(cache, now_ms=1050)).results.select("query_id", "doc_id", "chunk_index", "score").collect())
+    assert again == plain and calls.value - before == 2
+    search(asked, held, "deep", scorer=scorer, cache=replace(cache, now_ms=1051)).results.collect()
+    assert calls.value - before == 4  # expired entries do not count
