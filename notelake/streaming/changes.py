@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from datetime import timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from notelake.functions.text import trim_ws
 from notelake.operators.sessions import upsert_sessions
 from notelake.operators.transcripts import capture
 from notelake.plans.indexing import update_index
 from notelake.sources.notes import clean_paths, read_changed_notes
+from notelake.sources.workdir import cut
 
 
 def changed_paths(lines: DataFrame, suffix: str = ".md", column: str = "value") -> DataFrame:
@@ -109,29 +113,84 @@ def stream_session_capture(
 
     ``lines``: a stream with ``session_file``; ``read_all`` returns the complete
     lines of the touched files, ``read_sessions`` the current session table, and
-    ``publish`` stores the new one under the batch number.
+    ``publish`` stores the sessions that the batch changed under its number. Only those
+    are read, merged and written; ``latest_sessions`` gives readers the newest row of each.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         touched = batch.select("session_file").distinct()
-        snapshots = capture(read_all(spark, touched), project_dir, now_ms)
-        publish(upsert_sessions(read_sessions(spark), snapshots), batch_id)
+        snapshots = cut(capture(read_all(spark, touched), project_dir, now_ms))
+        known = read_sessions(spark).join(snapshots.select("session_id"), "session_id", "left_semi")
+        publish(upsert_sessions(known, snapshots), batch_id)
 
     return run_batches(lines, handle, checkpoint)
 
 
-def live_session_totals(turn_stream: DataFrame, event_time: str = "at", delay: str = "1 hour") -> DataFrame:
-    """Running totals per session of a turn stream ``session_id, role, at``.
+def latest_sessions(rows: DataFrame, batch: str = "batch") -> DataFrame:
+    """The row of the latest batch of every session."""
+    cols = [c for c in rows.columns if c not in ("session_id", batch)]
+    newest = rows.groupBy("session_id").agg(F.max_by(F.struct(*cols), batch).alias("_row"))
+    return newest.select("session_id", "_row.*").select(*[c for c in rows.columns if c != batch])
 
-    A session may go on at any time, so its three totals are kept for good; late turns count too.
+
+TOTALS = "started_at timestamp, ended_at timestamp, turn_count long"
+
+
+class _SessionTotals(StatefulProcessor):
+    """First and last turn and the user's turns of a session, until it has been idle for a while."""
+
+    def __init__(self, event_time: str, idle_ms: int):
+        self.event_time, self.idle_ms = event_time, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", TOTALS)
+
+    def _row(self, key: tuple, totals: tuple, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "started_at": [totals[0]], "ended_at": [totals[1]], "turn_count": [totals[2]], "closed": [closed]})
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803 - the interface's names
+        held = self.totals.get() if self.totals.exists() else None
+        first, last, n = held if held is not None else (None, None, 0)
+        for frame in rows:
+            low, high = frame[self.event_time].min(), frame[self.event_time].max()
+            first = low if first is None else min(first, low)
+            last = high if last is None else max(last, high)
+            n += int((frame["role"] == "user").sum())
+        totals = (pd.Timestamp(first).to_pydatetime(), pd.Timestamp(last).to_pydatetime(), n)
+        self.totals.update(totals)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(totals[1].replace(tzinfo=timezone.utc).timestamp() * 1000) + self.idle_ms)
+        yield self._row(key, totals, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802,N803
+        totals = self.totals.get()
+        self.totals.clear()
+        yield self._row(key, totals, True)
+
+    def close(self) -> None:
+        pass
+
+
+def live_session_totals(turn_stream: DataFrame, event_time: str = "at", delay: str = "1 hour", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Running totals per session of a turn stream ``session_id, role, at``: a row for every session a batch touches.
+
+    Turns may be late by ``delay``; later ones, and those not after the epoch, are not counted. A session that has been idle for ``idle_ms`` of event time is ``closed`` and its
+    state goes, so state is bounded by the sessions that are active; when it returns, a new row begins with its own
+    start. The session needs the RocksDB state store (``use_state_store``).
     """
-    return (
-        turn_stream.withWatermark(event_time, delay)
-        .groupBy("session_id")
-        .agg(
-            F.min(event_time).alias("started_at"),
-            F.max(event_time).alias("ended_at"),
-            F.count_if(F.col("role") == "user").alias("turn_count"),
-        )
+    kind = turn_stream.schema["session_id"].dataType.simpleString()
+    turns = turn_stream.select("session_id", "role", event_time).withWatermark(event_time, delay)
+    return turns.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_SessionTotals(event_time, idle_ms),
+        outputStructType=f"session_id {kind}, {TOTALS}, closed boolean",
+        outputMode="Update",
+        timeMode="EventTime",
     )
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, which stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -10,10 +10,12 @@ from notelake.plans.indexing import build_index
 from notelake.sources.store import load_index
 from notelake.streaming.changes import (
     distinct_changes,
+    latest_sessions,
     live_session_totals,
     run_batches,
     stream_index_updates,
     stream_session_capture,
+    use_state_store,
 )
 from suite.indexing import _CHANGES, scanned_notes, stored_notes
 from suite.inputs import new_dir, table
@@ -21,6 +23,10 @@ from suite.registry import query
 from suite.sessions import _ROLLING, NOW, lines, stored
 
 
+#: Conversations begin a day after the epoch: the first watermark is the epoch itself, and what is not above it is late.
+DAY = 86_400
+
+
 def stream(spark, sf, name) -> DataFrame:
     """A given table as a stream."""
     schema = table(spark, sf, name).schema
@@ -61,9 +67,10 @@ SELECT conv_id AS session_id, (min(turn) * 60)::BIGINT AS started, (max(turn) *
 )
 def stream_session_totals(spark, sf):
     turns = stream(spark, sf, "conversations").select(
-        F.col("conv_id").alias("session_id"), "role", F.timestamp_seconds(F.col("turn") * 60).alias("at")
+        F.col("conv_id").alias("session_id"), "role", F.timestamp_seconds(F.col("turn") * 60 + DAY).alias("at")
     )
     work = new_dir(spark, "totals")
+    use_state_store(spark)
     handle = lambda batch, n: batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}")
     job = (
         live_session_totals(turns, delay="10 days")
@@ -75,12 +82,10 @@ def stream_session_totals(spark, sf):
     )
     job.awaitTermination()
     # A later batch replaces the totals of the sessions it touched.
-    rows = spark.read.parquet(f"{work}/out")
-    newest = rows.groupBy("session_id").agg(F.max_by(F.struct("started_at", "ended_at", "turn_count"), "batch").alias("t"))
+    newest = latest_sessions(spark.read.parquet(f"{work}/out").filter("NOT closed"))
     return newest.select(
-        "session_id", F.unix_seconds("t.started_at").alias("started"), F.unix_seconds("t.ended_at").alias("ended"),
-        "t.turn_count",
-    )
+        "session_id", (F.unix_seconds("started_at") - DAY).alias("started"), (F.unix_seconds("ended_at") - DAY).alias("ended"), "turn_count"
+    )
 
 
 @query(
@@ -175,8 +180,7 @@ def stream_session_capture_(spark, sf):
     lines(spark, sf).write.parquet(f"{work}/lines")
     stored(spark, sf).write.parquet(f"{work}/sessions/batch=-1")
     def read_sessions(s):
-        all_rows = s.read.parquet(f"{work}/sessions")
-        return all_rows.filter(F.col("batch") == all_rows.agg(F.max("batch")).scalar()).drop("batch")
+        return latest_sessions(s.read.parquet(f"{work}/sessions"))
 
     def read_all(s, touched):
         return s.read.parquet(f"{work}/lines").join(touched, "session_file", "left_semi")
