@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.paths import ancestors
+from notelake.functions.paths import ancestors, normalize_path
 from notelake.functions.text import trim_ws
-from notelake.operators.sizing import broadcast_if_small
 from notelake.params import NAMESPACE_PARENTS
 
 # The submodule file format.
 SECTION = '^\\[submodule\\s+"(.+)"\\]$'
 KEY_VALUE = "^(\\w+)\\s*=\\s*(.+)$"
 
-MAX_LISTED_NAMES = 1000
+#: Names that travel to the tasks, at most (some 20 MB).
+MAX_LISTED_NAMES = 200_000
 
 
 def submodules(files: DataFrame) -> DataFrame:
@@ -87,25 +88,39 @@ def submodule_warnings(declared: DataFrame, directories: DataFrame) -> DataFrame
 
 
 def with_namespace(docs: DataFrame, namespaces: DataFrame, path: str = "doc_path", default: str = "root") -> DataFrame:
-    """Add the ``namespace`` of every row by its path.
+    """Add the ``namespace`` of every row by its path: the deepest ancestor that is a name.
 
-    A short list of names is looked up inside the row, so that the rows, which
-    may hold whole texts, are not shuffled. Only a long list is joined.
+    Up to MAX_LISTED_NAMES names travel to the tasks, where a path asks for its ancestors from the deepest up. Only the
+    path goes through that function; the rows, which may hold whole texts, stay where they are. More names than that
+    are joined, and only with the paths.
     """
     names = namespaces.filter(F.col("name") != default).select("name").distinct()
     listed = [r.name for r in names.limit(MAX_LISTED_NAMES + 1).collect()]
-    if len(listed) <= MAX_LISTED_NAMES:
-        # Ancestors come deepest first, so the first hit is the longest name.
-        known = F.array(*[F.lit(n) for n in listed]).cast("array<string>")
-        hit = F.get(F.array_intersect(ancestors(F.col(path)), known), F.lit(0))
-        return docs.withColumn("namespace", F.coalesce(hit, F.lit(default)))
-    assigned = assign_namespaces(docs.select(F.col(path).alias("path")).distinct(), namespaces, default)
-    return docs.join(assigned.withColumnRenamed("path", path), path)
+    if len(listed) > MAX_LISTED_NAMES:
+        assigned = assign_namespaces(docs.select(F.col(path).alias("path")).distinct(), namespaces, default)
+        named = assigned.filter(F.col("namespace") != default).withColumnRenamed("path", "_path")
+        out = docs.join(named, F.col(path) == F.col("_path"), "left").drop("_path")
+        return out.withColumn("namespace", F.coalesce("namespace", F.lit(default)))
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(listed))
+
+    def deepest(paths: pd.Series) -> pd.Series:
+        names = known.value
+
+        def find(at: str | None) -> str:
+            while at:
+                if at in names:
+                    return at
+                at = at.rpartition("/")[0]
+            return default
+
+        return paths.map(find, na_action=None)
+
+    return docs.withColumn("namespace", F.pandas_udf(deepest, "string")(normalize_path(F.col(path))))
 
 
 def assign_namespaces(paths: DataFrame, namespaces: DataFrame, default: str = "root") -> DataFrame:
     """Namespace of every ``path``: the longest namespace name that is an ancestor."""
-    named = broadcast_if_small(namespaces.filter(F.col("name") != default).select("name").distinct())
+    named = namespaces.filter(F.col("name") != default).select("name").distinct()
     hits = (
         paths.select("path", F.explode(ancestors(F.col("path"))).alias("name"))
         .join(named, "name")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from datetime import datetime
 
@@ -12,17 +11,21 @@ from pyspark.sql import functions as F
 from notelake.functions.markdown import normal_path, parse_notes
 from notelake.functions.paths import first_folder
 from notelake.functions.text import trim_ws
-from notelake.operators.sizing import broadcast_if_small
 from notelake.params import VAULT_FOLDERS
+from notelake.sources.files import folder_files, named_files
 
-#: Changed files that are named to the reader one by one; a longer list is joined with the whole folder.
-MAX_NAMED_FILES = 10_000
+#: File systems whose folders are listed by ``sources.files``; others are listed by Spark, which hides names that begin with ``_`` or ``.``.
+LISTED = ("file", "hdfs", "s3", "s3a", "gs", "gcs")
 
 
 def _base(root: str) -> str:
     return root.rstrip("/").split("://")[-1].removeprefix("file:")
 
 
+def _own(root: str) -> bool:
+    return "://" not in root or root.split("://", 1)[0] in LISTED
+
+
 def _relative(path, root: str):
     """Path below ``root``; the reader gives unescaped file URIs."""
     return normal_path(F.substring_index(path, f"{_base(root)}/", -1))
@@ -31,10 +34,9 @@ def _relative(path, root: str):
 def list_notes(spark: SparkSession, root: str, folders: Iterable[str] | None = VAULT_FOLDERS) -> DataFrame:
     """Markdown files below ``root``: ``path, file_size, mtime_ms``; contents are not read.
 
-    Hidden directories are skipped, as are names that start with ``_`` (Spark's
-    own rule). ``folders`` restricts the first path segment; None takes all.
+    Hidden folders are skipped. ``folders`` restricts the first path segment; None takes all.
     """
-    return _files(spark, root, folders).select("path", "file_size", "mtime_ms")
+    return _files(spark, root, folders, None, False).select("path", "file_size", "mtime_ms")
 
 
 def read_notes(
@@ -47,7 +49,7 @@ def read_notes(
 
     With ``modified_since`` older files are listed but not read.
     """
-    return _texts(_files(spark, root, folders, modified_since))
+    return _files(spark, root, folders, modified_since, True)
 
 
 def read_changed_notes(
@@ -55,56 +57,34 @@ def read_changed_notes(
     root: str,
     changed: DataFrame,
     folders: Iterable[str] | None = VAULT_FOLDERS,
-    limit: int = MAX_NAMED_FILES,
 ) -> DataFrame:
     """The notes of ``changed`` (``path`` below ``root``), as from ``read_notes``; missing files have no row.
 
-    The folder is listed without contents; then only the changed files are opened. A
-    list of more than ``limit`` existing files is joined with the whole folder instead.
+    However many there are, each file is opened by the task that has its name, and no other file is listed or opened.
     """
-    paths = broadcast_if_small(changed.select("path").distinct())
-    folders = None if folders is None else list(folders)
-    listed = _load(spark, root).select(F.col("path").alias("file"), _relative(F.col("path"), root).alias("path"))
-    found = [r.file for r in listed.join(paths, "path", "left_semi").limit(limit + 1).collect()]
-    if len(found) > limit:
-        return read_notes(spark, root, folders).join(paths, "path", "left_semi")
-    # The reader takes names as patterns, so pattern characters are escaped.
-    named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", file) for file in found]
-    if not named:
-        return read_notes(spark, root, folders).limit(0)
-    return _texts(_columns(spark.read.format("binaryFile").load(named), root, folders))
-
-
-def _files(
-    spark: SparkSession,
-    root: str,
-    folders: Iterable[str] | None,
-    modified_since: datetime | None = None,
-) -> DataFrame:
-    listed = _load(spark, root)
-    if modified_since is not None:
-        listed = listed.filter(F.col("modificationTime") >= F.lit(modified_since))
-    return _columns(listed, root, folders)
-
+    if not _own(root):
+        return read_notes(spark, root, folders).join(changed.select("path").distinct(), "path", "left_semi")
+    return _within(named_files(spark, root, changed), folders)
 
-def _load(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
 
+def _within(files: DataFrame, folders: Iterable[str] | None) -> DataFrame:
+    return files if folders is None else files.filter(first_folder(F.col("path")).isin(list(folders)))
 
-def _texts(files: DataFrame) -> DataFrame:
-    return files.select("path", "file_size", "mtime_ms", F.decode("content", "UTF-8").alias("content"))
 
-
-def _columns(listed: DataFrame, root: str, folders: Iterable[str] | None) -> DataFrame:
+def _files(spark: SparkSession, root: str, folders: Iterable[str] | None, since: datetime | None, contents: bool) -> DataFrame:
+    if _own(root):
+        since_ms = -1 if since is None else int(since.timestamp() * 1000)
+        return _within(folder_files(spark, root, ".md", contents, since_ms), folders)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
+    if since is not None:
+        listed = listed.filter(F.col("modificationTime") >= F.lit(since))
     files = listed.select(
         _relative(F.col("path"), root).alias("path"),
         F.col("length").alias("file_size"),
         F.unix_millis("modificationTime").alias("mtime_ms"),
-        "content",
+        F.decode("content", "UTF-8").alias("content"),
     )
-    if folders is None:
-        return files
-    return files.filter(first_folder(F.col("path")).isin(list(folders)))
+    return _within(files, folders)
 
 
 def catalogue(notes: DataFrame) -> DataFrame:
@@ -154,14 +134,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_submodule_files(spark: SparkSession, folder: str) -> DataFrame:
     """Submodule files of many repositories: ``repo, content``.
 
-    One file ``<repo>.gitmodules`` per repository. Spark never lists names that
-    start with a dot, so the files are collected under visible names.
+    ``.gitmodules`` in a folder is that of the repository there; ``<repo>.gitmodules`` that of the named one.
     """
-    return (
-        spark.read.option("pathGlobFilter", "*.gitmodules")
-        .text(folder, wholetext=True)
-        .select(
-            F.regexp_extract(F.input_file_name(), "([^/]+)\\.gitmodules$", 1).alias("repo"),
-            F.col("value").alias("content"),
-        )
-    )
+    name = F.substring_index("path", "/", -1)
+    above = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    repo = F.when(name == ".gitmodules", above).otherwise(F.regexp_extract("path", "([^/]+)\\.gitmodules$", 1))
+    if _own(folder):
+        return folder_files(spark, folder, ".gitmodules").select(repo.alias("repo"), "content")
+    texts = spark.read.option("pathGlobFilter", "*.gitmodules").text(folder, wholetext=True)
+    return texts.select(F.regexp_extract(F.input_file_name(), "([^/]+)\\.gitmodules$", 1).alias("repo"), F.col("value").alias("content"))

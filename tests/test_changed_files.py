@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from notelake.operators.vectors import knn_topk
 from notelake.plans.indexing import build_index, check_keys, update_index
-from notelake.sources.notes import clean_paths, read_changed_notes, read_notes
+from notelake.operators.namespaces import submodules
+from notelake.sources.files import FolderFiles, appended_lines
+from notelake.sources.notes import clean_paths, list_notes, read_changed_notes, read_notes, read_submodule_files
 from notelake.sources.store import load_index
-from notelake.streaming.changes import stream_index_updates
+from notelake.streaming.changes import distinct_changes, run_batches, stream_index_updates
 
 NAMES = ["a.md", "sub/b c.md", "sub/d[1]{x}.md", "e%20+f.md"]
 
@@ -32,8 +34,8 @@ def test_only_listed_files_are_opened(spark, tmp_path):
     changed = listed(spark, *NAMES[1:], "gone.md", NAMES[1])
     got = read_changed_notes(spark, str(root), changed, None)
     assert sorted(r.path for r in got.collect()) == sorted(NAMES[1:])
-    assert len(got.inputFiles()) == 3
-    assert sorted(r.path for r in read_changed_notes(spark, str(root), changed, None, limit=1).collect()) == sorted(NAMES[1:])
+    assert "Scan" not in got._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
+    assert read_changed_notes(spark, str(root), listed(spark, "../vault/a.md", ".git/x.md", "sub/../a.md"), None).collect() == []
     assert read_changed_notes(spark, str(root), listed(spark, "gone.md"), None).collect() == []
 
 
@@ -86,3 +88,49 @@ def test_many_queries_keep_their_best(spark):
     got = knn_topk(queries, vectors.coalesce(1), 4).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.round(-F.col("score"), 9).alias("s"), "doc_id"))).alias("near")).collect()
     assert len(got) == 1500
     assert all([x.doc_id for x in r.near] == want[r.query_id].tolist() for r in got)
+
+
+def test_all_names_but_hidden_folders(spark, tmp_path):
+    for name in ("_x.md", ".y.md", "a/_b/.c.md", "a/z.md", ".git/no.md", "a/.trash/no.md", "a/other.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text of {name}")
+    got = {r.path: r for r in read_notes(spark, str(tmp_path), None).collect()}
+    assert set(got) == {"_x.md", ".y.md", "a/_b/.c.md", "a/z.md"} and got["a/_b/.c.md"].content == "text of a/_b/.c.md"
+    assert got["_x.md"].file_size == len("text of _x.md") and got["_x.md"].mtime_ms > 0
+    assert {r.path for r in list_notes(spark, f"file://{tmp_path}", ["a"]).collect()} == {"a/_b/.c.md", "a/z.md"}
+    assert {r.path for r in read_changed_notes(spark, str(tmp_path), listed(spark, ".y.md", "_x.md", "none.md"), None).collect()} == {".y.md", "_x.md"}
+
+
+def test_folders_are_dealt_out(tmp_path):
+    for i in range(30):
+        (tmp_path / f"d{i}" / "sub").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "sub" / f"{i}.md").write_text("x")
+    for slices in ("1", "4", "64"):
+        reader = FolderFiles({"path": str(tmp_path), "slices": slices}).reader(None)
+        parts = reader.partitions()
+        found = [p for part in parts for batch in reader.read(part) for p in batch.column("path").to_pylist()]
+        assert sorted(found) == sorted(f"d{i}/sub/{i}.md" for i in range(30))
+    assert len(FolderFiles({"path": str(tmp_path), "slices": "4"}).reader(None).partitions()) == 31
+
+
+def test_submodule_files_by_their_real_name(spark, tmp_path):
+    for repo in ("one", "two/inner"):
+        (tmp_path / repo).mkdir(parents=True)
+        (tmp_path / repo / ".gitmodules").write_text(f'[submodule "{repo}"]\n\tpath = p\n\turl = u\n')
+    assert {(r.repo, r.name) for r in submodules(read_submodule_files(spark, str(tmp_path))).collect()} == {("one", "one"), ("two/inner", "two/inner")}
+
+
+def test_a_growing_list_is_read_once(spark, tmp_path):
+    listing, out = tmp_path / "dirty.txt", str(tmp_path / "out")
+    listing.write_text("a.md\nb.md\nhal")
+
+    def run():
+        handle = lambda batch, n: distinct_changes(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        run_batches(appended_lines(spark, str(listing)), handle, str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted((r.path, r.batch) for r in spark.read.parquet(out).collect())
+
+    assert [p for p, _ in run()] == ["a.md", "b.md"]
+    with listing.open("a") as f:
+        f.write("f.md\nc.md\n")
+    rows = run()
+    assert [p for p, _ in rows] == ["a.md", "b.md", "c.md", "half.md"] and len({n for _, n in rows}) == 2
