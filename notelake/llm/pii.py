@@ -1,8 +1,9 @@
 """Personal data: generators propose spans, boosted trees and calibrated thresholds choose among them.
 
 All expressions are DataFrame functions. Base spans follow fixed patterns and checks and always stay. Loose
-generators propose further spans of the same kinds; a proposal that overlaps a base span of its kind is a
-positive example. Examples are counted by their format and context features over the whole table (the
+generators propose further spans of the same kinds. A proposal that overlaps a base span of its kind is a
+positive example; one that overlaps a match of its kind that failed its check, or lies in a long run of digits
+that failed Luhn's, is a negative one; the others are no examples. Examples are counted by their format and context features over the whole table (the
 features are yes or no, so there are few combinations). Gradient-boosted trees are fitted to the counts of two
 thirds of the texts; on the others a threshold per kind is set where the precision stops to hold, group by group.
 Proposals have to pass the checks of their kind as well.
@@ -81,6 +82,10 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: What a proposal has to pass where it differs: of mail addresses, only spelled-out separators add anything to the base.
+PROPER: dict[str, Callable[[Column], Column]] = {"email": lambda m: m.rlike(r"[(\[](?:at|dot)[)\]]")}
+
+
 def features(kind: str, x: Column) -> dict[str, Column]:
     """Format and context of a proposal, yes or no."""
     number = digits(x["match"])
@@ -107,18 +112,19 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def proposed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with ``_base`` (kind number, start, end) and ``_loose`` (with bits of the features and ``known``)."""
+    """docs with ``_base`` (start, kind number, end) and ``_loose`` (with the bits of the features, ``known``, ``wrong`` and ``free``)."""
     t = F.col(text)
     number, at = t.rlike("[0-9].{0,5}[0-9]"), t.rlike("@|\\(at\\)|\\[at\\]")
     use = {"email": at, "ip": number, "card": number, "phone": number}
     made = docs.select("*", *(found(t, BASE[k], t.rlike("\\+[0-9]") if k == "phone" else use[k]).alias(f"_b{i}") for i, k in enumerate(KINDS)), *(found(t, p, use[k]).alias(f"_l{i}") for i, (k, p) in enumerate(LOOSE)))
 
-    def valid(i: int, kind: str) -> Column:
-        kept = F.filter(F.col(f"_b{i}"), lambda x: VALID[kind](x["match"]))
-        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
+    def checked(i: int, kind: str) -> Column:
+        return F.transform(F.col(f"_b{i}"), lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), VALID[kind](x["match"]).alias("ok"), (F.length(digits(x["match"])) >= 14).alias("long")))
 
-    base = [valid(i, k) for i, k in enumerate(KINDS)]
-    made = made.select(*docs.columns, F.array_sort(F.concat(*base)).alias("_base"), *(f"_l{i}" for i in range(len(LOOSE))))
+    loose = [f"_l{i}" for i in range(len(LOOSE))]
+    made = made.select(*docs.columns, F.array_sort(F.concat(*(checked(i, k) for i, k in enumerate(KINDS)))).alias("_checked"), *loose)
+    kept = F.transform(F.filter("_checked", lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    made = made.select(*docs.columns, kept.alias("_base"), F.filter("_checked", lambda x: ~x["ok"]).alias("_failed"), *loose)
 
     def described(i: int, kind: str) -> Column:
         nr = KINDS.index(kind)
@@ -128,7 +134,9 @@ def proposed(docs: DataFrame, text: str) -> DataFrame:
             for bit, value in enumerate(features(kind, x).values()):
                 bits = bits.bitwiseOR(F.when(value, F.lit(1 << bit)).otherwise(F.lit(0)))
             near = F.filter(F.col("_base"), lambda b: ~_apart(b, x))
-            return F.struct(x["start"].alias("start"), F.lit(nr).alias("kind"), x["end"].alias("end"), bits.alias("bits"), F.exists(near, lambda b: b["kind"] == nr).alias("known"), ((F.size(near) == 0) & VALID[kind](x["match"])).alias("free"))
+            inside = lambda b: (b["kind"] == KINDS.index("card")) & b["long"] & (b["start"] <= x["start"]) & (x["end"] <= b["end"])
+            wrong = F.exists("_failed", lambda b: ~_apart(b, x) & ((b["kind"] == nr) | inside(b)))
+            return F.struct(x["start"].alias("start"), F.lit(nr).alias("kind"), x["end"].alias("end"), bits.alias("bits"), F.exists(near, lambda b: b["kind"] == nr).alias("known"), wrong.alias("wrong"), ((F.size(near) == 0) & PROPER.get(kind, VALID[kind])(x["match"])).alias("free"))
 
         return F.transform(F.col(f"_l{i}"), one)
 
@@ -224,7 +232,7 @@ def find_personal_data(docs: DataFrame, *, precision: float = 0.9, text_col: str
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     made = proposed(given, "_text")
     fitted = F.pmod(F.xxhash64("_text"), F.lit(3)) < 2
-    seen = made.select(fitted.alias("fit"), F.explode("_loose").alias("x")).groupBy("fit", "x.bits").agg(F.count("*").alias("n"), F.sum(F.col("x.known").cast("long")).alias("hits"))
+    seen = made.select(fitted.alias("fit"), F.explode("_loose").alias("x")).groupBy("fit", "x.bits").agg(F.count_if(F.col("x.known") | F.col("x.wrong")).alias("n"), F.count_if("x.known").alias("hits")).where("n > 0")
     rows = sorted((r["fit"], r["bits"], r["n"], r["hits"]) for r in seen.collect())  # at most two rows per combination of features
     trees = boosted([r[1:] for r in rows if r[0]])
     limits = thresholds([r[1:] for r in rows if not r[0]], trees, precision)
