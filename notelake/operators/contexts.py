@@ -25,10 +25,11 @@ def upsert_contexts(contexts: DataFrame, changes: DataFrame) -> DataFrame:
         .unionByName(fresh)
         .groupBy("virtual_path")
         .agg(
-            F.max_by("description", "updated_at").alias("description"),
+            # Of changes of the same time the greatest description wins, so a repeated run gives the same.
+            F.max(F.struct("updated_at", "description")).alias("_last"),
             F.min("created_at").alias("created_at"),
-            F.max("updated_at").alias("updated_at"),
         )
+        .select("virtual_path", "_last.description", "created_at", "_last.updated_at")
     )
 
 

@@ -23,20 +23,20 @@ def enrich_results(
     """Result rows with chunk and document columns; rows without a match are dropped.
 
     ``max_rows`` is the caller's bound on the result rows (queries x top k). With
-    a small bound the results go to the chunk scan; without one the joins are
-    left to the optimiser, whose run-time filters cut the chunk side first.
+    a small bound the results, which hold no texts, go to the scans; without one the joins are
+    left to the optimiser, whose run-time filters cut the chunk side first. Texts come last and are
+    not broadcast.
     """
-    if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
-        results = F.broadcast(results)
-    with_text = chunks.select(*CHUNK_KEY, *_CHUNK_COLS).join(results, list(CHUNK_KEY))
-    if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
-        with_text = F.broadcast(with_text)
+    small = max_rows is not None and max_rows <= MAX_BROADCAST_ROWS
     ref = F.when(F.size("ref_code_paths") > 0, F.col("ref_code_paths"))
-    return (
-        docs.select("doc_id", "doc_path", "title", "namespace", ref.alias("ref_code_paths"))
-        .join(with_text, "doc_id")
-        .withColumn("snippet", snippet(F.col("text"), snippet_chars))
+    held = docs.select("doc_id", "doc_path", "title", "namespace", ref.alias("ref_code_paths")).join(
+        F.broadcast(results) if small else results, "doc_id"
     )
+    texts = chunks.select(*CHUNK_KEY, *_CHUNK_COLS)
+    joined = texts.join(F.broadcast(held) if small else held, list(CHUNK_KEY))
+    order = ["doc_id", "doc_path", "title", "namespace", "ref_code_paths", "chunk_index", *_CHUNK_COLS]
+    more = [c for c in results.columns if c not in order]
+    return joined.select(*order, *more).withColumn("snippet", snippet(F.col("text"), snippet_chars))
 
 
 def attach_contexts(results: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -196,9 +196,15 @@ def search_deep(spark, sf):
     )
 
 
+# A cache answers by the text: equal texts get the variants of the first of them.
+_VARIANTS_BY_TEXT = _VARIANTS.replace(
+    "word AS (SELECT query_id, item_id,", "word AS (SELECT query_id, first_value(item_id) OVER (PARTITION BY text ORDER BY query_id) AS item_id,"
+)
+
+
 @query(
     "search_deep_cached",
-    f"""WITH {BOTH}, {_VARIANTS}, {rrf('lists')}, {_RERANK}
+    f"""WITH {BOTH}, {_VARIANTS_BY_TEXT}, {rrf('lists')}, {_RERANK}
 SELECT query_id, rank, doc_id, round(score, 6) AS score, round(rrf, 6) AS rrf_score, round(rel, 6) AS rerank_score
 FROM ranked WHERE rank < 10""",
 )
