@@ -18,9 +18,11 @@ FIELDS = tuple(FIELD_WEIGHTS)
 VAULT_FOLDERS = ("code-notes", "rules", "integrations", "sessions", "structure")
 NAMESPACE_PARENTS = ("services", "packages", "apps", "libs", "modules")
 
+# The search modes.
 MODES = ("hybrid", "bm25_only", "vec_only", "deep")
 
 
+# The defaults of chunking and search below.
 @dataclass(frozen=True)
 class ChunkParams:
     """Chunking: sections above ``split_tokens`` (4 chars each) are split by paragraph."""
