@@ -28,9 +28,9 @@ DAY = 86_400
 
 
 def stream(spark, sf, name) -> DataFrame:
-    """A given table as a stream."""
+    """A given table as a stream, whether it is one file or a folder of files. A pattern takes both; a plain path has to be a folder."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_changed_paths", "SELECT DISTINCT user_id || '/' || event_type || '.md' AS path FROM events WHERE event_type <> 'error'")

@@ -40,3 +40,15 @@ def test_sessions_expire_and_return(spark, tmp_path):
 def test_latest_sessions(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("a", None, 2), ("b", 3, 1)], "session_id string, turn_count int, batch int")
     assert {r.session_id: r.turn_count for r in latest_sessions(rows).collect()} == {"a": None, "b": 3}
+
+
+def test_tables_of_several_files_are_streamed(spark, tmp_path):
+    from suite.streams import stream_session_totals
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(6) for t in range(4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    table.toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    for at in (f"{tmp_path}/folder", str(tmp_path)):
+        got = sorted(tuple(r) for r in stream_session_totals(spark, at).collect())
+        assert got == [(c, 0, 180, 2) for c in range(6)]
