@@ -4,11 +4,13 @@ import re
 import threading
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators.lexical import bm25_reads, bm25_topk
-from notelake.operators.postings import BUCKETS, build_postings, chunk_lengths, corpus_stats, dealt, frequent_terms, lexical_rows, term_blocks
+from notelake.operators.postings import BUCKETS, build_postings, chunk_lengths, corpus_stats, dealt, dealt_blocks, frequent_terms, lexical_rows, term_blocks, token_slices
+from notelake.params import FIELDS
 from notelake.plans.indexing import build_index, delete_documents, repair_index, update_index
 from notelake.plans.search import search
 from notelake.sources import store
@@ -215,3 +217,25 @@ def test_dealt_postings_stay_whole(spark):
     rows = spark.createDataFrame([(i, 0, "a b", f"c{i} a") for i in range(40)], "doc_id long, chunk_index int, title string, body string")
     plain = build_postings(rows)
     assert sorted(map(str, dealt(plain, ["a"]).drop("bucket").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_parts_of_larger_tables(spark, corpus):
+    root, rows = corpus
+    often = frequent_terms(lexical_rows(rows))
+    postings = spark.read.parquet(f"{root}/postings/folder=1-a")
+    laid = dealt(postings.drop("bucket"), often, 3)
+    at = laid.groupBy(F.spark_partition_id().alias("at")).agg(F.count_distinct("bucket").alias("buckets"), F.count("*").alias("n")).collect()
+    whole = postings.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert laid.rdd.getNumPartitions() == 3 * (BUCKETS + 1) and all(r.buckets == 1 for r in at) and max(r.n for r in at) < whole
+    order = [c for c in postings.columns if c != "bucket"]
+    assert sorted(map(str, laid.select(order).collect())) == sorted(map(str, postings.select(order).collect()))
+    want = sorted(map(str, term_blocks(postings).collect()))
+    assert [sorted(map(str, dealt_blocks(postings, often, n).collect())) for n in (1, 3)] == [want, want]
+
+
+def test_postings_group_a_bounded_number_of_tokens():
+    sizes = [5, 0, 9, 40, 3, 3, 3, 3]
+    one = pa.array([["x"] * n for n in sizes], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([one] + [pa.array([[]] * len(sizes), pa.list_(pa.string()))] * (len(FIELDS) - 1), [f"_{f}" for f in FIELDS])
+    got = [x.column(0).to_pylist() for x in token_slices([batch, batch.slice(0, 0)], 10)]
+    assert [[len(r) for r in part] for part in got] == [[5, 0], [9], [40], [3, 3, 3], [3]]
