@@ -5,7 +5,7 @@ import cases
 import xxhash
 
 from notelake.llm.graph import components
-from notelake.llm.simhash import close_fingerprints, near_copies, one_of_each, simhash_components
+from notelake.llm.simhash import close_fingerprints, near_copies, one_of_each, simhash_components, shingle_prefixes, shingle_ranks, simhash_pairs
 
 
 def simhash(text, k=3):
@@ -181,3 +181,17 @@ def test_one_of_each_keeps_clashing_columns(spark):
     rows = made.collect()
     assert made.columns == docs.columns and all(r[c] == i for r in rows for i, c in enumerate(names))
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in one_of_each(cases.frame(spark)).collect())
+
+
+def test_near_copies_are_proposed_by_simhash(spark):
+    rng, texts = random.Random(15), []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(900)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    frame = spark.createDataFrame([(i, t, i) for i, t in enumerate([*texts, "", None])], "doc_id long, text string, content long")
+    prints = shingle_prefixes(frame, 5, 0.8, shingle_ranks(frame, 5)).cache()
+    rows = {r["doc_id"]: r for r in prints.collect()}
+    bits = lambda a, b: ((rows[a]["sim"] ^ rows[b]["sim"]) & (1 << 64) - 1).bit_count()
+    near = {tuple(sorted((rows[i]["fp"], rows[i + 1]["fp"]))) for i in range(0, 60, 2) if bits(i, i + 1) <= 2}
+    assert len(near) > 15
+    assert {tuple(sorted((r["a"], r["b"]))) for r in simhash_pairs(prints).collect()} == near
