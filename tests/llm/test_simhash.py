@@ -195,3 +195,33 @@ def test_near_copies_are_proposed_by_simhash(spark):
     near = {tuple(sorted((rows[i]["fp"], rows[i + 1]["fp"]))) for i in range(0, 60, 2) if bits(i, i + 1) <= 2}
     assert len(near) > 15
     assert {tuple(sorted((r["a"], r["b"]))) for r in simhash_pairs(prints).collect()} == near
+
+
+def test_shingles_of_a_batch_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from notelake.llm import simhash
+
+    class Tasks:  # runs the task function on a batch of its own
+        def mapInArrow(self, make, schema):  # noqa: N802
+            tracemalloc.start()
+            out = pa.Table.from_batches(make(iter([batch])))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return out
+
+    rng = random.Random(16)
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 500))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(range(4000), pa.int64()), pa.array(texts)], ["doc_id", "content", "text"])
+    tasks = Tasks()
+    rows = simhash.shingle_prefixes(tasks, 5, 0.8, np.zeros(simhash.BUCKETS, np.uint8)).to_pylist()
+    assert tasks.peak < 32 << 20
+    assert [r["n"] for r in rows] == [len(shingle_set(t)) for t in texts]
+    for r, text in zip(rows[:50], texts, strict=False):
+        hashes, _ = simhash.shingle_sets([text.encode()], 5, simhash.WordHashes())
+        odd = np.bincount((hashes % np.uint64(simhash.PARITY)).astype(int), minlength=simhash.PARITY) % 2
+        assert np.array_equal(np.unpackbits(np.array(r["parity"], np.int64).view(np.uint8)), odd)
