@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notelake.operators.fusion import linear_fusion, ranks, rrf_fusion, strong_signal, top_k
 from notelake.operators.lexical import bm25_scores, bm25_topk
 from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_blocks, term_stats, token_positions
-from notelake.operators.vectors import check_dimension, knn_topk
+from notelake.operators.vectors import BLOCK_BYTES, SIDE, block_count, check_dimension, knn_topk
 
 ROWS = [
     (1, "Auth Service", "Auth", "Handles JWT token generation", "auth", "", "root"),
@@ -230,3 +230,31 @@ def test_strong_signal_on_normalised_scores(spark):
     assert row.detected and row.gap == pytest.approx(0.3)
     assert not strong_signal(scores(spark, [(1, 0.7), (2, 0.1)]), normalized=True).first().detected
     assert strong_signal(scores(spark, [])).count() == 0
+
+
+def test_a_vector_is_not_copied_once_per_small_block():
+    assert block_count(600, 512, 1 << 18) == 2
+    assert block_count(600_000, 512, 1 << 18) == SIDE
+    assert block_count(10**8, 512, 1 << 18) * BLOCK_BYTES >= 10**8 * 512
+
+
+def test_queries_meet_vectors_of_their_namespace_only(spark, monkeypatch):
+    from notelake.operators import vectors
+
+    rng, pairs = np.random.default_rng(8), []
+    plain = vectors._Best._block
+    monkeypatch.setattr(vectors._Best, "_block", lambda self, block, doc, *rest: (pairs.append(len(block.q) * len(doc)), plain(self, block, doc, *rest)))
+    x = rng.normal(size=(900, 16)) + 300.0  # far from the origin, so that rounding of products matters
+    x[100:140] = x[7]
+    scopes = np.array([None if i % 90 == 0 else f"n{i % 9}" for i in range(900)], dtype=object)
+    best = vectors._Best(np.arange(900), x, scopes, 4, "l2")
+    for at in range(0, 900, 300):
+        best.add(np.arange(900)[at : at + 300], np.zeros(900, int)[at : at + 300], x[at : at + 300], scopes[at : at + 300])
+    assert sum(pairs) < 900 * 900 / 7
+    got = {}
+    for row in best.table().to_pylist():
+        got.setdefault(row["query_id"], []).append((-round(row["score"], 9), row["doc_id"]))
+    for i in range(900):
+        inside = [j for j in range(900) if scopes[i] is None or scopes[j] == scopes[i]]
+        score = [(-round(1 / (1 + float(np.sqrt(((x[j] - x[i]) ** 2).sum()))), 9), j) for j in inside]
+        assert sorted(got[i]) == sorted(score)[:4]
