@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators.fusion import linear_fusion, ranks, rrf_fusion, strong_signal, top_k
-from notelake.operators.lexical import bm25_scores, bm25_topk
+from notelake.operators.lexical import bm25_scores, bm25_topk, match_several, phrase_terms, scan_several
 from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_blocks, term_stats, token_positions
 from notelake.operators.vectors import BLOCK_BYTES, SIDE, block_count, check_dimension, knn_topk
+from notelake.params import FIELD_WEIGHTS
 
 ROWS = [
     (1, "Auth Service", "Auth", "Handles JWT token generation", "auth", "", "root"),
@@ -258,3 +259,32 @@ def test_queries_meet_vectors_of_their_namespace_only(spark, monkeypatch):
         inside = [j for j in range(900) if scopes[i] is None or scopes[j] == scopes[i]]
         score = [(-round(1 / (1 + float(np.sqrt(((x[j] - x[i]) ** 2).sum()))), 9), j) for j in inside]
         assert sorted(got[i]) == sorted(score)[:4]
+
+
+def test_a_scan_finds_the_phrases_of_the_join(spark):
+    rng = np.random.default_rng(5)
+    said = lambda n: " ".join(rng.choice(list("abcd"), n))
+    rows = [(d, d % 2, said(3), "x", said(int(rng.integers(0, 60))), "", "a b", "root" if d % 3 else None) for d in range(150)]
+    names = "doc_id long, chunk_index int, title string, heading_path string, body string, tags string, properties string, namespace string"
+    postings = build_postings(spark.createDataFrame(rows, names))
+    phrases = ["a a", "a a a", "a b", "a b c d", "b", "b a", "d c b a d", "x a", "q a", "a q"]
+    terms = phrase_terms(spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    cols = ["phrase", "doc_id", "chunk_index", "namespace", "n_tokens", "origin", "block", "wtf"]
+    want = match_several(postings, term_blocks(postings), terms, FIELD_WEIGHTS).select(*cols)
+    got = scan_several(postings, [p for p in phrases if " " in p], FIELD_WEIGHTS)
+    assert got.select(*cols).schema.simpleString() == want.schema.simpleString()
+    rows = sorted(map(str, want.collect()))
+    assert sorted(map(str, got.select(*cols).collect())) == rows and len(rows) > 300
+    # A few rows at a time: chunks go on in the next batch.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(str, scan_several(postings, [p for p in phrases if " " in p], FIELD_WEIGHTS).select(*cols).collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_phrases_that_share_words_do_not_multiply_postings(spark, lexical):
+    phrases = [f"oauth {w}" for w in ("oauth", "text", "notes", *"abcdefgh")]
+    plan = scan_several(lexical[0], phrases, FIELD_WEIGHTS)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.phrase, r.doc_id) for r in plan.collect()) == [("oauth notes", 10), ("oauth oauth", 11), ("oauth text", 11)]
