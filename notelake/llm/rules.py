@@ -19,6 +19,8 @@ from notelake.llm.common import WordHashes, hashed_words, mixed, owner, raw_text
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lower", "n_marks", "n_same_next", "n_lines")
 #: Labelled rows that the list is learned from, at most; taken by a hash of the id.
 MAX_ROWS = 12_000
+#: Text bytes whose words a task counts at once; the arrays of the words take many times as much.
+COUNT_BYTES = 1 << 20
 
 
 def _bytes(chars: bytes) -> np.ndarray:
@@ -72,7 +74,7 @@ def with_counts(docs: DataFrame, *, text_col: str = "text", keep: list[str] | No
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
-        for batch in slices(b.rename_columns(["text" if c == at else c for c in b.schema.names]) for b in batches):
+        for batch in slices((b.rename_columns(["text" if c == at else c for c in b.schema.names]) for b in batches), COUNT_BYTES):
             found = count_text(raw_texts(batch), table)
             counts = pa.StructArray.from_arrays([pa.array(found[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("text" if f"c{i}" == at else f"c{i}") for i in range(len(keep))] + [counts], [f"c{i}" for i in range(len(keep))] + ["counts"])

@@ -4,10 +4,12 @@ from collections import Counter
 
 import cases
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from notelake.llm.rules import count_text, judged, kept_documents, learn_list
 from notelake.llm.common import WordHashes
+from notelake.llm.rules import count_text, judged, kept_documents, learn_list
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +80,27 @@ def test_clashing_columns_keep_their_values(spark):
     kept = kept_documents(docs, labelled(spark, cases.rows(), {0}))
     rows = kept.collect()
     assert kept.columns == docs.columns and rows and all(r[c] == 7 + i for r in rows for i, c in enumerate(names))
+
+
+def test_words_are_counted_a_bounded_number_of_bytes_at_a_time(spark, monkeypatch):
+    from notelake.llm import rules
+
+    kept, seen = [], []
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    with monkeypatch.context() as patched:
+        patched.setattr(type(docs), "mapInArrow", lambda self, make, schema: kept.append(make) or spark.createDataFrame([], schema))
+        rules.with_counts(docs)
+    count = rules.count_text
+    monkeypatch.setattr(rules, "count_text", lambda raw, table: seen.append([len(x) for x in raw]) or count(raw, table))
+    texts = ["one two three " * 20_000] * 9 + ["word " * 400_000, "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["c0", "c1"])
+    made = list(kept[0](iter([batch])))
+    assert sum(b.num_rows for b in made) == len(texts) and [len(x) for x in texts] == sum(seen, [])
+    assert all(sum(x) <= 1 << 20 or len(x) == 1 for x in seen)
+
+
+def test_the_cache_of_word_hashes_is_small():
+    table = WordHashes()
+    words = [b"w%d" % i for i in range(60_000)]
+    assert [table[x] for x in words[:3] * 2] == [xxhash.xxh64_intdigest(x) for x in words[:3] * 2]
+    assert max(len(table) for x in words if table[x] is not None) <= 50_000
