@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators.fusion import linear_fusion, ranks, rrf_fusion, strong_signal, top_k
-from notelake.operators.lexical import bm25_scores, bm25_topk, match_several, phrase_terms, scan_several
+from notelake.operators.lexical import _prepare, bm25_scores, bm25_topk, distinct_questions, match_several, phrase_terms, phrases_of, scan_several
 from notelake.operators.postings import build_postings, chunk_lengths, corpus_stats, term_blocks, term_stats, token_positions
 from notelake.operators.vectors import BLOCK_BYTES, SIDE, block_count, check_dimension, knn_topk
-from notelake.params import FIELD_WEIGHTS
+from notelake.params import FIELD_WEIGHTS, SearchParams
 
 ROWS = [
     (1, "Auth Service", "Auth", "Handles JWT token generation", "auth", "", "root"),
@@ -288,3 +288,25 @@ def test_phrases_that_share_words_do_not_multiply_postings(spark, lexical):
     plan = scan_several(lexical[0], phrases, FIELD_WEIGHTS)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r.phrase, r.doc_id) for r in plan.collect()) == [("oauth notes", 10), ("oauth oauth", 11), ("oauth text", 11)]
+
+
+def test_equal_questions_are_answered_once(spark, lexical):
+    asked = [(1, "jwt-validation  endpoint", None), (2, "endpoint JWT-validation", None), (3, "oauth", None), (4, "oauth oauth", None), (5, "oauth", "root"), (6, "..", None)]
+    q = spark.createDataFrame(asked, "query_id long, text string, namespace string")
+    phrases, same = distinct_questions(q, ("query_id",))
+    number = {r.query_id: r._no for r in same.collect()}
+    assert number[1] == number[2] and len(set(number.values())) == 4 and 6 not in number
+    assert phrases.count() == 5
+    rows = bm25_topk(q, *lexical, k=10).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in rows] == [(1, 3, 0), (2, 3, 0), *((i, d, n) for i in (3, 4, 5) for n, d in enumerate((10, 11)))]
+    assert rows[0].score == rows[1].score and rows[4].score == pytest.approx(2 * rows[2].score)
+
+
+def test_one_phrase_a_question_takes_one_exchange_less(spark, lexical):
+    asked = lambda *texts: phrases_of(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"), ("query_id",))
+    single, several = (_prepare(asked(*t), *lexical, SearchParams(), ("query_id",), None) for t in (("jwt", "oauth", "jwt-validation"), ("jwt", "jwt api")))
+    assert single.single and not several.single
+    assert "_parts" not in single.blocks.columns + several.blocks.columns
+    plans = [x.blocks._jdf.queryExecution().executedPlan().toString() for x in (single, several)]
+    assert "Exchange hashpartitioning" not in plans[0] and "SortAggregate" not in plans[1]
+    assert single.blocks.count() == 3
