@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from notelake.operators.cache import ResultCache
 from notelake.operators.health import health_report, lexical_gaps, orphan_chunks
@@ -217,3 +218,27 @@ def test_deep_search_cache(spark, built, tmp_path):
     assert again == plain and calls.value - before == 2
     search(asked, held, "deep", scorer=scorer, cache=replace(cache, now_ms=1051)).results.collect()
     assert calls.value - before == 4  # expired entries do not count
+
+
+def test_a_failed_job_is_no_result(spark, built):
+    """A model function may fail; a job that fails for another reason must not look like a search without the model."""
+    held, asked = load_index(spark, built), queries(spark, "user", "JIRA-1234")
+
+    def no_disk(rows):
+        return rows.select("query_id", F.lit(1).alias("variant_no"), F.raise_error(F.lit("the disk is full")).cast("string").alias("text"))
+
+    def no_scores(rows):
+        return rows.select("query_id", "doc_id", "chunk_index", F.raise_error(F.lit("the disk is full")).cast("double").alias("score"))
+
+    def worker(message):
+        def fail(text):
+            raise RuntimeError(message)
+
+        return lambda rows: rows.select("query_id", F.lit(1).alias("variant_no"), F.udf(fail, "string")("text").alias("text"))
+
+    for models in ({"expander": no_disk}, {"scorer": no_scores}, {"expander": worker("[Errno 28] No space left on device")}):
+        with pytest.raises(Exception, match="the disk is full|No space left"):
+            search(asked, held, "deep", **models)
+    assert "Query expansion failed" in search(asked, held, "deep", expander=worker("model is down")).report.first().warnings[0]
+    with pytest.raises(Exception, match="model is down"):
+        search(asked, held, "deep", expander=worker("model is down"), strict=True)
