@@ -3,18 +3,21 @@
 import re
 import threading
 import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.operators import lexical, postings as made
 from notelake.operators.lexical import bm25_reads, bm25_topk
-from notelake.operators.postings import BUCKETS, build_postings, chunk_lengths, corpus_stats, dealt, dealt_blocks, frequent_terms, lexical_rows, term_blocks, token_slices
+from notelake.operators.postings import BUCKETS, build_postings, chunk_lengths, corpus_stats, dealt, dealt_blocks, frequent_terms, lexical_rows, packed_blocks, term_blocks, token_slices
 from notelake.params import FIELDS
 from notelake.plans.indexing import build_index, delete_documents, repair_index, update_index
 from notelake.plans.search import search
 from notelake.sources import store
 from notelake.sources.store import Conflict, State, Version, commit, committed, compact_index, due, load_index, read_state, vacuum_index, write_lexical
+from notelake.sources.workdir import cut
 
 
 def notes(spark, files):
@@ -239,3 +242,48 @@ def test_postings_group_a_bounded_number_of_tokens():
     batch = pa.RecordBatch.from_arrays([one] + [pa.array([[]] * len(sizes), pa.list_(pa.string()))] * (len(FIELDS) - 1), [f"_{f}" for f in FIELDS])
     got = [x.column(0).to_pylist() for x in token_slices([batch, batch.slice(0, 0)], 10)]
     assert [[len(r) for r in part] for part in got] == [[5, 0], [9], [40], [3, 3, 3], [3]]
+
+
+def test_postings_are_written_where_they_are_made(spark, corpus, tmp_path, monkeypatch):
+    root, rows = corpus
+    monkeypatch.setattr(store, "dealt", None)  # what shuffles postings is for versions that are merged
+    assert write_lexical(rows.limit(90), str(tmp_path), "1-a") == (90, 90 * 6)
+    shown = spark.read.parquet(f"{root}/postings/folder=1-a").filter("bucket >= 0").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "term", "doc_id")
+    for rows in shown.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "term", "doc_id"))).alias("rows")).collect():
+        order = [(r.term, r.doc_id) for r in rows.rows]
+        assert order == sorted(order)
+    table = spark.createDataFrame([(i, 0, "a", f"c{i % 9} a") for i in range(99)], "doc_id long, chunk_index int, title string, body string")
+    assert "Exchange" not in build_postings(table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_blocks_are_the_blocks(spark, corpus, monkeypatch):
+    root, _ = corpus
+    postings = spark.read.parquet(f"{root}/postings/folder=1-a")
+    want = sorted(map(str, term_blocks(postings).collect()))
+    monkeypatch.setattr(made, "PACK_ROWS", 700)  # blocks are bounded in several packs
+    for tokens in (0, 3 * BUCKETS * made.PART_TOKENS):
+        got = packed_blocks(postings.repartition(5), tokens)
+        assert got.columns == term_blocks(postings).columns and sorted(map(str, got.collect())) == want
+    assert packed_blocks(postings.filter("false"), 0).collect() == []
+
+
+def test_scores_are_summed_by_block_or_by_broadcast(spark, corpus, monkeypatch):
+    root, _ = corpus
+    postings, blocks = (spark.read.parquet(f"{root}/{t}/folder=1-a") for t in ("postings", "blocks"))
+    stats = corpus_stats(spark.read.parquet(f"{root}/lengths/folder=1-a"))
+    best = lambda: sorted(map(str, bm25_topk(asked(spark, "everywhere w3 the-end", "the u77", "w4"), postings, blocks, stats, 50).collect()))
+    want = best()
+    monkeypatch.setattr(lexical, "row_bound", lambda df: None)
+    assert best() == want and len(want) > 50
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    held = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = held()
+    sums = spark.range(5000).groupBy((F.col("id") % 97).alias("k")).count()
+    rows = sorted(cut(sums).collect())
+    until = time.time() + 20  # files are removed behind the step
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and rows == sorted(sums.collect())
