@@ -15,9 +15,10 @@ from notelake.functions.text import content_hash, is_blank
 from notelake.operators.health import repair_chunks
 from notelake.operators.namespaces import with_namespace
 from notelake.operators.postings import CHUNK_KEY, build_postings, chunk_lengths, lexical_rows, term_blocks
+from notelake.operators.sizing import broadcast_if_small
 from notelake.operators.vectors import check_dimension
 from notelake.params import ChunkParams
-from notelake.sources.store import State, Version, committed, compact_index, due, hide, new_folder, visible, write_lexical, write_table
+from notelake.sources.store import State, Version, committed, compact_index, due, hide, new_folder, remove_table, visible, write_lexical, write_table
 
 DOC_COLS = (
     "doc_id", "doc_path", "namespace", "source_kind", "title", "content_hash", "file_size",
@@ -77,20 +78,23 @@ def _write_version(
     dimension: int | None,
     known: DataFrame | None = None,
 ) -> tuple[Version, int | None]:
-    """Write the tables one after the other, each from the one before. Notes are parsed once: their bodies are kept
-    with the documents, which chunks are cut from. Returns the version and the length of its vectors.
+    """Write the tables one after the other, each from the one before. Notes are parsed once: documents with their bodies
+    are written down, which chunks are cut from, and go when the chunks are there, so an index holds each text once.
+    Returns the version and the length of its vectors.
 
     ``known``: documents of earlier versions, whose keys must not be those of other paths.
     """
     tables = ["docs", "chunks", "postings", "blocks", "lengths"]
     columns = [c for c in (*DOC_COLS, *TEXT_COLS) if c in docs.columns]
     numbered = docs.select(*columns, F.lit(origin).alias("origin"), F.monotonically_increasing_id().alias("doc_no"))
-    held = write_table(numbered, root, "docs", folder)
+    parsed = write_table(numbered, root, "parsed", folder)
+    held = write_table(parsed.drop(*TEXT_COLS), root, "docs", folder)
     written = held.select("doc_id", "doc_path")
     if known is not None:
         written = written.unionAll(known.select("doc_id", "doc_path").join(written.select("doc_id"), "doc_id", "left_semi"))
     check_keys(written)
-    chunks = write_table(chunk_notes(held, params=params).select(*CHUNK_COLS, "origin", "doc_no"), root, "chunks", folder)
+    chunks = write_table(chunk_notes(parsed, params=params).select(*CHUNK_COLS, "origin", "doc_no"), root, "chunks", folder)
+    remove_table(spark, root, "parsed", folder)
     total = write_lexical(chunks, root, folder)
     if embedder is not None:
         numbers = chunks.select(*CHUNK_KEY, "namespace", "text", "origin", "doc_no")
@@ -189,7 +193,8 @@ def update_index(
         changes = write_table(detect_changes(notes, held, dirty), root, "changes", folder)
         applied[:] = [changes]
         todo = changes.filter("change_kind IN ('added', 'modified')").select(F.col("doc_path").alias("_p"))
-        fresh = notes.join(todo, F.translate("path", "\\", "/") == F.col("_p"), "left_semi")
+        # Texts stay where they are unless very many notes have changed.
+        fresh = notes.join(broadcast_if_small(todo), F.translate("path", "\\", "/") == F.col("_p"), "left_semi")
         doomed = changes.filter("change_kind IN ('modified', 'deleted')").select(F.xxhash64("doc_path").alias("doc_id"))
         batches = state.batches | ({batch[0]: {"batch": batch[1], "folder": folder}} if batch else {})
         live, hiding = (state.live, []) if doomed.isEmpty() else hide(spark, root, folder, state, doomed)

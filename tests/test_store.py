@@ -287,3 +287,29 @@ def test_a_step_leaves_no_shuffle_files(spark):
     while held() - before and time.time() < until:
         time.sleep(0.2)
     assert not held() - before and rows == sorted(sums.collect())
+
+
+def test_an_index_holds_each_text_once(spark, tmp_path):
+    root = str(tmp_path / "index")
+    files = {f"n{i}.md": text(i) for i in range(5)}
+    build_index(notes(spark, files), root)
+    changed = files | {"n1.md": text(7), "m.md": text(8)}
+    update_index(notes(spark, changed), spark.createDataFrame([("n1.md",), ("m.md",)], "path string"), root)
+    assert "body" not in spark.read.parquet(f"{root}/docs").columns and not list(Path(root).glob("parsed/folder=*"))
+    plan = hidden_joins(spark, root)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # texts stay where they are
+    assert {r.doc_path for r in load_index(spark, root).docs.collect()} == set(changed)
+
+
+def hidden_joins(spark, root):
+    """Plans of what hides a document, with joins that Spark would shuffle by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    build = store.build_postings
+    try:
+        store.build_postings = lambda rows, **more: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or build(rows, **more)
+        delete_documents(spark, str(root), load_index(spark, root).docs.filter("doc_path = 'none'"))
+    finally:
+        store.build_postings = build
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plans[0]
